@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyforge.llm.bpe import op4_byte_bpe
+from tallyforge.llm.langid import op9_language_id
 from tallyforge.llm.minhash import op5_minhash
 from tallyforge.llm.packing import op1_packing
+from tallyforge.llm.quality import op6_quality
 from tallyforge.llm.substring import op3_substring
 from tallyforge.llm.topk import op2_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_topk, op3_substring, op4_byte_bpe, op5_minhash)}
+    return {f.__name__: f for f in (op1_packing, op2_topk, op3_substring, op4_byte_bpe, op5_minhash, op6_quality, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
