@@ -14,6 +14,7 @@ not read.
 from __future__ import annotations
 
 import functools
+import itertools
 import html as references
 import re
 from collections.abc import Iterator
@@ -143,101 +144,81 @@ def _signs(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
     return around, within
 
 
+#: Words and link density are told by class: up to 3, 12, 25 words or more; under 1/3, under 2/3 linked or more.
+WORD_CUTS, LINK_CUTS = (3.5, 12.5, 25.5), (1 / 3, 2 / 3)
+
+
 def features(found: list[Block]) -> np.ndarray:
-    """words, density, words and density of the block before, of the block after, around, within, heading, listed, legal."""
-    rows = np.zeros((len(found), 11))
+    """Classes of words and density, of the block before, of the block after; around, within, heading, listed, legal."""
+    rows = np.zeros((len(found), 11), int)
     for i, b in enumerate(found):
-        rows[i, [0, 1, 6, 7, 8, 9, 10]] = b.words, b.density, b.around, b.within, b.heading, b.listed, b.text[:1] == "©" or b.text[:9].lower() == "copyright"
+        rows[i, 6:] = b.around, b.within, b.heading, b.listed, b.text[:1] == "©" or b.text[:9].lower() == "copyright"
+    rows[:, 0] = np.searchsorted(WORD_CUTS, [b.words for b in found])
+    rows[:, 1] = np.searchsorted(LINK_CUTS, [b.density for b in found], "right")
     rows[1:, 2:4] = rows[:-1, :2]
     rows[:-1, 4:6] = rows[1:, :2]
     return rows
 
 
-#: Blocks labelled by hand: the features in their order, then 1 for main text.
+#: Blocks labelled by hand: the features in their order, then 1 for main text. A star stands for every class.
 LABELLED = """
-1 1.0 0 0.0 1 1.0 1 0 0 1 0 0
-1 1.0 1 1.0 1 1.0 1 0 0 1 0 0
-2 1.0 2 1.0 8 0.0 1 0 0 1 0 0
-9 0.0 1 1.0 9 0.0 1 0 0 0 0 0
-12 0.0 3 1.0 10 0.0 1 0 0 0 0 0
-9 0.0 9 0.0 80 0.0 0 1 1 0 0 1
-5 0.0 2 1.0 40 0.0 0 1 1 0 0 1
-80 0.0 9 0.0 70 0.0 0 1 0 0 0 1
-60 0.1 80 0.0 1 0.0 0 1 0 0 0 1
-1 0.0 60 0.0 90 0.0 0 1 0 0 0 1
-3 0.0 120 0.0 14 0.0 0 1 0 0 0 1
-2 0.0 3 0.0 14 0.0 0 1 0 0 0 1
-30 0.3 20 0.0 25 0.0 0 1 0 0 0 1
-12 0.4 50 0.0 30 0.0 0 1 0 0 0 1
-10 0.0 20 0.0 12 0.0 0 1 0 1 0 1
-18 0.2 10 0.0 40 0.0 0 1 0 1 0 1
-4 1.0 4 1.0 4 1.0 0 1 0 1 0 0
-6 1.0 60 0.0 5 1.0 0 1 0 0 0 0
-3 1.0 40 0.0 3 1.0 0 1 0 0 0 0
-14 0.0 60 0.0 0 0.0 1 0 0 0 1 0
-12 0.1 80 0.0 0 0.0 1 0 0 0 0 0
-25 0.0 70 0.0 20 0.0 1 0 0 0 0 0
-45 0.0 25 0.0 30 0.0 1 0 0 0 0 0
-60 0.0 40 0.0 2 0.0 1 0 0 0 0 0
-35 0.0 90 0.0 35 0.0 1 1 0 0 0 0
-50 0.0 35 0.0 3 0.0 1 1 0 0 0 0
-4 0.0 50 0.0 20 0.0 1 1 1 0 0 0
-8 0.0 30 0.0 8 0.0 1 1 0 1 0 0
-3 0.0 10 0.0 10 0.0 1 0 1 0 0 0
-7 0.0 0 0.0 60 0.0 1 0 1 0 0 0
-8 0.0 26 0.0 11 0.0 0 1 0 0 0 1
-61 0.0 49 0.0 1 0.0 0 1 0 0 0 1
-1 0.0 61 0.0 1 0.0 0 1 0 0 0 1
-24 0.0 48 0.0 14 0.0 0 1 0 0 0 1
-4 0.0 34 0.0 15 0.0 0 1 0 0 0 1
-2 0.0 64 0.0 5 0.0 0 1 0 0 0 1
-19 0.0 51 0.0 8 0.0 0 1 0 0 0 1
-34 0.2 8 0.0 4 1.0 0 1 0 0 0 1
-6 0.0 1 0.0 0 0.0 0 1 0 0 0 1
-90 0.1 2 0.0 12 0.0 0 1 0 0 0 1
-15 0.0 15 0.0 22 0.0 0 1 0 1 0 1
-40 0.0 12 0.0 90 0.0 1 0 0 0 0 0
-85 0.0 60 0.0 70 0.0 1 0 0 0 0 0
-120 0.1 5 0.0 95 0.0 1 1 0 0 0 0
-22 0.0 80 0.0 110 0.0 1 0 0 0 0 0
-9 0.0 70 0.0 85 0.0 1 1 0 0 0 0
-33 0.0 45 0.0 28 0.0 1 0 0 1 0 0
-64 0.2 33 0.0 41 0.0 1 1 0 0 0 0
-17 0.0 26 0.0 64 0.0 1 0 0 0 0 0
-75 0.0 90 0.0 33 0.0 1 0 0 0 0 0
-28 0.0 1 1.0 55 0.0 1 0 0 0 0 0
-52 0.0 41 0.0 52 0.0 1 1 0 1 0 0
-11 0.0 22 0.0 48 0.0 1 0 1 0 0 0
-39 0.1 66 0.0 74 0.0 1 0 0 0 0 0
-6 0.0 12 0.0 38 0.0 1 1 0 0 0 0
-12 0.0 50 0.0 0 0.0 0 0 0 0 1 0
-15 0.0 60 0.0 4 1.0 0 0 0 0 1 0
-70 0.0 60 0.0 80 0.0 0 0 0 0 0 1
-40 0.0 9 0.0 50 0.0 0 0 0 0 0 1
-25 0.1 40 0.0 30 0.0 0 0 0 0 0 1
-20 0.0 30 0.0 2 1.0 0 0 0 0 0 1
-14 0.0 50 0.0 40 0.0 0 0 0 0 0 1
-5 0.0 60 0.0 70 0.0 0 0 0 0 0 1
-4 0.0 45 0.0 50 0.0 0 0 1 0 0 1
-8 0.0 4 0.0 50 0.0 0 0 1 0 0 1
-7 0.0 1 1.0 60 0.0 0 0 1 0 0 1
-3 0.0 1 1.0 1 1.0 0 0 1 0 0 0
-2 0.0 2 1.0 4 1.0 0 0 1 0 0 0
-1 1.0 1 1.0 1 1.0 0 0 0 1 0 0
-3 1.0 2 1.0 3 1.0 0 0 0 0 0 0
-2 0.0 1 1.0 2 1.0 0 0 0 0 0 0
-3 0.0 3 0.0 2 0.0 0 0 0 0 0 0
-6 0.5 3 1.0 4 1.0 0 0 0 0 0 0
-10 0.9 10 0.9 12 0.8 0 0 0 1 0 0
-20 0.8 60 0.0 18 0.9 0 0 0 0 0 0
-30 0.7 20 0.8 10 1.0 0 0 0 0 0 0
-5 0.0 2 1.0 1 1.0 0 0 0 0 0 0
-6 0.0 3 0.0 0 0.0 0 0 0 0 0 0
+* * * 0 * 0 1 * * 0 0 0
+* * * 2 * 2 1 0 0 1 0 0
+* 0 * * * * 0 1 * * 0 1
+* 1 * 0 * 0 0 1 0 * 0 1
+0 2 * * * * 0 1 0 * 0 0
+1 2 * * * * 0 1 0 * 0 0
+2 2 * 0 * 0 0 1 0 0 0 1
+3 2 * 0 * 0 0 1 0 0 0 1
+0 2 * 0 * 0 0 1 1 0 0 1
+1 2 * 0 * 0 0 1 1 0 0 1
+3 0 * * * * 0 0 0 0 0 1
+3 1 * 0 * 0 0 0 0 0 0 1
+3 2 * * * * 0 0 0 * 0 0
+2 0 * 0 * 0 0 0 0 0 0 1
+2 0 * 2 * 2 0 0 0 0 0 0
+2 1 * * * * 0 0 0 * 0 0
+2 2 * * * * 0 0 0 * 0 0
+1 0 3 0 * 0 0 0 0 0 0 1
+1 0 2 0 * 0 0 0 0 0 0 1
+1 0 1 0 3 0 0 0 0 0 0 1
+1 0 1 0 2 0 0 0 0 0 0 1
+1 0 0 * 0 * 0 0 0 0 0 0
+1 0 * 2 * 2 0 0 0 0 0 0
+1 1 * * * * 0 0 0 * 0 0
+1 2 * * * * 0 0 0 * 0 0
+0 0 3 0 * 0 0 0 0 0 0 1
+0 0 2 0 2 0 0 0 0 0 0 1
+0 0 2 0 3 0 0 0 0 0 0 1
+0 0 0 * * * 0 0 0 * 0 0
+0 0 1 2 * * 0 0 0 * 0 0
+0 1 * * * * 0 0 0 * 0 0
+0 2 * * * * 0 0 0 * 0 0
+0 0 * * 3 0 0 0 1 0 0 1
+0 0 * * 2 0 0 0 1 0 0 1
+1 0 * * 3 0 0 0 1 0 0 1
+1 0 * * 2 0 0 0 1 0 0 1
+2 0 * * 3 0 0 0 1 0 0 1
+0 0 * * 0 2 0 0 1 0 0 0
+1 0 * * 0 2 0 0 1 0 0 0
+0 0 * 0 * 0 0 0 0 0 1 0
+1 0 * 0 * 0 0 0 0 0 1 0
+2 0 * 0 * 0 0 0 0 0 1 0
+1 0 * 0 * 0 * 0 0 0 1 0
 """
+_CLASSES = (4, 3, 4, 3, 4, 3, 2, 2, 2, 2, 2)
+
+
+def labelled_rows() -> np.ndarray:
+    rows = []
+    for line in LABELLED.strip().split("\n"):
+        *values, label = line.split()
+        rows += itertools.product(*(range(n) if v == "*" else (int(v),) for v, n in zip(values, _CLASSES, strict=True)), (int(label),))
+    return np.array(rows)
 
 
 class Tree:
-    """A binary decision tree grown by Gini impurity until its leaves are pure."""
+    """A binary decision tree grown by Gini impurity until no split helps."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
         self.leaf = int(2 * y.sum() >= len(y))
@@ -266,7 +247,7 @@ class Tree:
 
 @functools.cache
 def tree() -> Tree:
-    rows = np.array([[float(x) for x in line.split()] for line in LABELLED.strip().split("\n")])
+    rows = labelled_rows()
     return Tree(rows[:, :-1], rows[:, -1])
 
 
