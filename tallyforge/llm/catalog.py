@@ -11,6 +11,7 @@ from tallyforge.llm.html import op7_html
 from tallyforge.llm.langid import op9_language_id
 from tallyforge.llm.minhash import op5_minhash
 from tallyforge.llm.packing import op1_packing
+from tallyforge.llm.pii import op10_pii
 from tallyforge.llm.quality import op6_quality
 from tallyforge.llm.spotsigs import op8_spotsigs
 from tallyforge.llm.substring import op3_substring
@@ -18,7 +19,7 @@ from tallyforge.llm.topk import op2_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_topk, op3_substring, op4_byte_bpe, op5_minhash, op6_quality, op7_html, op8_spotsigs, op9_language_id)}
+    return {f.__name__: f for f in (op1_packing, op2_topk, op3_substring, op4_byte_bpe, op5_minhash, op6_quality, op7_html, op8_spotsigs, op9_language_id, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
