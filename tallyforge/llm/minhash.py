@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE)
     groups = materialise(connected_components(lists.join(heads, "value").select(F.col("doc_id").alias("a"), "b")))
     released(lists)
 
-    texts = docs.join(groups.withColumnRenamed("node", "doc_id"), "doc_id").join(reps.select("doc_id", "n_shingles"), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.join(groups.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id").join(reps.select("doc_id", "n_shingles"), "doc_id").dropDuplicates(["doc_id"])
     ordered = texts.repartitionByRange("component", "n_shingles", "doc_id").sortWithinPartitions("component", "n_shingles", "doc_id")
     blocks = materialise(ordered.select("doc_id", "text", "component").mapInArrow(_blocks(shingle), _BLOCK))
     side = lambda s: blocks.select(*(F.col(c).alias(f"{c}_{s}") for c in blocks.columns))
