@@ -148,7 +148,7 @@ def replace_pii(docs: DataFrame, key: str = "tallyforge") -> DataFrame:
     pairs = materialise(pairs)
     released(occurs)
     columns = docs.columns
-    out = docs.join(pairs, "doc_id", "left").withColumn("_found", F.when(F.col("_map").isNotNull(), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
+    out = docs.join(pairs.hint("merge"), "doc_id", "left").withColumn("_found", F.when(F.col("_map").isNotNull(), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
     out = out.withColumn("_new", F.transform("_found", lambda v: F.coalesce(F.try_element_at(F.col("_map"), v), v)))
     between = F.split("text", ANY, -1)
     woven = F.array_join(F.zip_with(between, F.concat("_new", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
