@@ -247,4 +247,4 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies (similarity 0.8 or more) stays."""
     kept = near_duplicates(docs, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns)

@@ -191,5 +191,13 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
     documents = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
     net = train(documents, table(spark, sf_dir, "labels"))
-    good = score_quality(docs, net).where(F.col("score") >= ACCEPTED).select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").select(*docs.columns)
+    shared = spark.sparkContext.broadcast(net)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [shared.value.probabilities(data, off) for _, _, data, off in utf8_parts(batch.column(at))]
+            if scores:
+                yield batch.filter(pa.array(np.concatenate(scores) >= ACCEPTED))
+
+    return docs.mapInArrow(run, docs.schema)  # the documents themselves go through, so nothing is shuffled

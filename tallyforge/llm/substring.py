@@ -18,8 +18,8 @@ hold is no single task's work.
 
 Cases: null and empty texts have no words; texts shorter than a window lose nothing; of
 equal rows the one with the smaller id stays whole, and rows that share an id count as one
-document; no rows give no rows; other columns are kept by ``dedup_substrings`` and not
-read by the query.
+document; no rows give no rows; ``dedup_substrings`` keeps other columns and the query
+does not read them.
 """
 
 from __future__ import annotations
@@ -152,50 +152,68 @@ def repeated_windows(docs: DataFrame, length: int = WINDOW) -> tuple[DataFrame,
     return texts, cover
 
 
-def _cut(length: int, digest: bool):
+def _kept(length: int, batch: pa.RecordBatch, text: int, ids: pa.Array) -> Iterator[tuple[int, int, bytes]]:
+    """Of each row: words, words removed, and the words left, joined by a space. The last two columns are where windows to remove begin, and the twin."""
+    found, twins = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+    for lo, hi, data, off in utf8_parts(batch.column(text)):
+        starts, ends, heads = word_bounds(data, off)
+        raw = data.tobytes()
+        for i in range(lo, hi):
+            a, b = heads[i - lo : i - lo + 2]
+            n = int(b - a)
+            gone = np.zeros(n + 1, np.int32)
+            if twins[i].is_valid and ids[i].as_py() != twins[i].as_py() and n >= length:
+                gone[0] = 1
+            elif found[i].is_valid:
+                at = np.asarray(found[i].values)
+                np.add.at(gone, at, 1)
+                np.add.at(gone, np.minimum(at + length, n), -1)
+            keep = np.flatnonzero(np.cumsum(gone[:n]) == 0)
+            s, e = starts[a:b][keep].tolist(), ends[a:b][keep].tolist()
+            yield n, n - len(keep), b" ".join(map(raw.__getitem__, map(slice, s, e)))
+
+
+def _marked(docs: DataFrame, length: int) -> DataFrame:
+    """``docs`` with where windows to remove begin, and the twin."""
+    texts, cover = repeated_windows(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), length)
+    marks = texts.groupBy("doc_id").agg(F.min("twin").alias("_twin")).join(cover.withColumnRenamed("found", "_found"), "doc_id", "left")
+    return docs.join(marks.hint("merge"), "doc_id", "left").select(*docs.columns, "_found", "_twin")
+
+
+def removed_digests(docs: DataFrame, length: int = WINDOW) -> DataFrame:
+    """``docs`` (doc_id, text): doc_id, n_words, n_removed, and the SHA-256 of the words left."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found, twins = batch.column(0), batch.column(2), batch.column(3)
-            out: dict[str, list] = {"doc_id": [], "n_words": [], "n_removed": [], "kept": []}
-            for lo, hi, data, off in utf8_parts(batch.column(1)):
-                starts, ends, heads = word_bounds(data, off)
-                raw = data.tobytes()
-                for i in range(lo, hi):
-                    a, b = heads[i - lo : i - lo + 2]
-                    n = int(b - a)
-                    gone = np.zeros(n + 1, np.int32)
-                    if ids[i].as_py() != twins[i].as_py() and n >= length:
-                        gone[0] = 1
-                    elif found[i].is_valid:
-                        at = np.asarray(found[i].values)
-                        np.add.at(gone, at, 1)
-                        np.add.at(gone, np.minimum(at + length, n), -1)
-                    keep = np.flatnonzero(np.cumsum(gone[:n]) == 0)
-                    s, e = starts[a:b][keep].tolist(), ends[a:b][keep].tolist()
-                    text = b" ".join(map(raw.__getitem__, map(slice, s, e)))
-                    out["doc_id"].append(ids[i])
-                    out["n_words"].append(n)
-                    out["n_removed"].append(n - len(keep))
-                    out["kept"].append(hashlib.sha256(text).hexdigest() if digest else text.decode())
-            yield pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in out["doc_id"]], pa.int64()), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept"], pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+            rows = [(n, gone, hashlib.sha256(text).hexdigest()) for n, gone, text in _kept(length, batch, 1, batch.column(0))]
+            n, gone, sha = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return run
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return _marked(docs, length).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def cut_windows(docs: DataFrame, length: int = WINDOW, digest: bool = False) -> DataFrame:
-    """``docs`` without the words that a repeated window covers: doc_id, n_words, n_removed, kept (the words left, joined by a space, or their SHA-256)."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    texts, cover = repeated_windows(docs, length)
-    marks = texts.groupBy("doc_id").agg(F.min("twin").alias("twin")).join(cover, "doc_id", "left")
-    return docs.join(marks, "doc_id", "left").select("doc_id", "text", "found", "twin").mapInArrow(_cut(length, digest), "doc_id long, n_words long, n_removed long, kept string")
+def dedup_substrings(docs: DataFrame, length: int = WINDOW) -> DataFrame:
+    """``docs`` with all its columns, without the words that a repeated window covers. A text that loses nothing stays as it is; one of which nothing is left goes."""
+    text, key = docs.columns.index("text"), docs.columns.index("doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            old = batch.column(text)
+            new, stay = [], []
+            for i, (n, gone, left) in enumerate(_kept(length, batch, text, batch.column(key))):
+                new.append(left.decode() if gone else old[i].as_py())
+                stay.append(gone < n or not gone)
+            columns = [pa.array(new, old.type) if k == text else batch.column(k) for k in range(batch.num_columns - 2)]
+            yield pa.RecordBatch.from_arrays(columns, names=docs.columns).filter(pa.array(stay, pa.bool_()))
+
+    return _marked(docs, length).mapInArrow(run, docs.schema)
 
 
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut_windows(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+    return removed_digests(table(spark, sf_dir, "documents"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the repeated passages; one of which nothing is left goes. A text that loses nothing stays as it is."""
-    cut = cut_windows(docs, length=50).where("n_removed > 0").select("doc_id", F.col("kept"))
-    out = docs.join(cut, "doc_id", "left").withColumn("text", F.coalesce("kept", "text")).withColumn("n_chars", F.length("text").cast("long"))
-    return out.where("kept is null or kept <> ''").select(*docs.columns)
+    """Documents without passages of 50 words that a document before them has."""
+    return dedup_substrings(docs, length=50).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
