@@ -195,7 +195,8 @@ def removed_digests(docs: DataFrame, length: int = WINDOW) -> DataFrame:
 
 def dedup_substrings(docs: DataFrame, length: int = WINDOW) -> DataFrame:
     """``docs`` with all its columns, without the words that a repeated window covers. A text that loses nothing stays as it is; one of which nothing is left goes."""
-    text, key = docs.columns.index("text"), docs.columns.index("doc_id")
+    names = docs.columns
+    text, key = names.index("text"), names.index("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,7 +206,7 @@ def dedup_substrings(docs: DataFrame, length: int = WINDOW) -> DataFrame:
                 new.append(left.decode() if gone else old[i].as_py())
                 stay.append(gone < n or not gone)
             columns = [pa.array(new, old.type) if k == text else batch.column(k) for k in range(batch.num_columns - 2)]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns).filter(pa.array(stay, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stay, pa.bool_()))
 
     return _marked(docs, length).mapInArrow(run, docs.schema)
 
