@@ -130,3 +130,27 @@ def incident_count(rows: DataFrame, key: str) -> DataFrame:
 def overriding(rows: DataFrame, key: str, codes: dict[str, str]) -> DataFrame:
     """The table's values that replace the narrative's, as one column a field; null where the table has no such code."""
     return rows.where(F.col("stt").isin(list(codes))).groupBy(key).agg(*(F.max(F.when(F.col("stt") == c, F.col("ket_qua"))).alias(f) for c, f in codes.items()))
+
+
+#: Labels of rows that count incidents, and the headers of a table of incidents.
+INCIDENT_ROWS = ["TONG SO VU TAI NAN SU CO", "TONG SO VU CNCH", "TONG SO VU TAI NAN"]
+INCIDENT_HEADERS = ["Địa điểm", "Nguyên nhân", "Thời gian"]
+
+
+def incident_rows(df: DataFrame, key: str, tables: str) -> DataFrame:
+    """(key, noi_dung, so_luong) of rows whose first two cells name a count of incidents, spaces and marks aside, and whose third is above 0."""
+    rows = df.select(key, F.explode(F.flatten(tables)).alias("r")).where(F.size("r") >= 2)
+    cell = lambda i: F.coalesce(F.get("r", F.lit(i)), F.lit(""))
+    named = _says(F.regexp_replace(fold(F.concat_ws(" ", cell(0), cell(1))), r"(?U)\W", ""), [w.replace(" ", "") for w in INCIDENT_ROWS])
+    value = F.regexp_extract(collapse(cell(2)), r"^-?\d+$", 0).try_cast("bigint")
+    return rows.where(named & (value > 0)).select(key, collapse(cell(1)).alias("noi_dung"), value.alias("so_luong"))
+
+
+def incident_table_rows(df: DataFrame, key: str, tables: str) -> DataFrame:
+    """(key, dia_diem, nguyen_nhan, thiet_hai) of the rows below a header that has all of ``INCIDENT_HEADERS``; a missing cell is empty."""
+    found = df.select(key, F.explode(tables).alias("t")).where(F.size("t") >= 2)
+    head = F.array_join(F.get("t", F.lit(0)), " ", "")
+    for h in INCIDENT_HEADERS:
+        found = found.where(F.contains(head, F.lit(h)))
+    cell = lambda i, name: F.coalesce(F.get("r", F.lit(i)), F.lit("")).alias(name)
+    return found.select(key, F.explode(F.expr("slice(t, 2, size(t) - 1)")).alias("r")).select(key, cell(1, "dia_diem"), cell(2, "nguyen_nhan"), cell(3, "thiet_hai"))

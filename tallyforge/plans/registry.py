@@ -29,7 +29,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    for name in ("aggregates", "reports", "texts", "narratives", "tables", "operations", "streams"):
+    for name in ("aggregates", "reports", "texts", "narratives", "tables", "payloads", "operations", "streams"):
         importlib.import_module(f"tallyforge.plans.{name}")
 
 
