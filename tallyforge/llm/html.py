@@ -3,11 +3,14 @@
 A page is read as a run of text blocks, cut at block-level tags. Each block is described by
 its words, its link density, the same of the block before and after it, and by what its
 open elements say of it (article or main part; menu, footer, form, comments and so on). A
-decision tree, grown on the small labelled table below, decides which blocks are the text.
+class word, or a form, tells of menus and the like only while the page's text, by words and
+link density, or its main part, doesn't lie in it. A decision tree, grown on the small
+labelled table below, decides which blocks are the text.
 
 Cases: a null or empty page, or one without a block of text, gives an empty string; a page
-is read whole however long; one that ends inside a tag loses that tag only; equal rows give
-equal text; no rows give no rows; rows keep their ids, repeated or not; other columns are
+is read whole however long; one that ends inside a tag loses that tag only, as does an
+element that is left out with its content but never closed (scripts and styles run to the
+end of the page); equal rows give equal text; no rows give no rows; rows keep their ids, repeated or not; other columns are
 not read.
 """
 
@@ -29,26 +32,54 @@ from tallyforge.llm.common import table
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|title|iframe|object|svg|math|canvas|select|textarea|button|option|audio|video)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|</?[a-zA-Z][^<>]*(?:\Z|(?=<)|>)",
     re.S | re.I,
 )
+#: Elements left out with all they hold, if they are closed; in the first no tags are read.
+RAW = frozenset("title textarea iframe noscript".split())
+LEFT_OUT = frozenset("template object svg math canvas select button audio video".split())
+RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input meta link base label".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements, and words in class, id or role, that tell of what stands around an article.
-AROUND = frozenset("nav aside footer form menu dialog fieldset".split())
+AROUND = frozenset("nav aside footer".split())
+#: Elements that stand around an article unless the page's text lies in them, as for a class word.
+MAY_BE_AROUND = frozenset("form menu dialog fieldset".split())
 AROUND_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disclaimer discussion footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification "
     "pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets complementary contentinfo alert".split()
 )
+#: Of these words, those of what readers wrote.
+READERS_WORDS = frozenset("comment comments commentlist discussion replies reply respond".split())
+#: First and last words of a class that tells of a page's layout, state or subject, not of what stands in the element.
+STATE_BEFORE = frozenset("has no with without is not tag category cat hide show layout".split())
+STATE_AFTER = frozenset("open opened close closed active inactive enabled disabled visible layout".split())
 WITHIN = frozenset("article main".split())
 WITHIN_WORDS = frozenset("article articlebody articlecontent content entry main post postbody postcontent story storybody".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
+@dataclass(eq=False)
+class Sign:
+    """A class word, or an element, that may mean that its text stands around an article; what lies in it decides."""
+
+    readers: bool
+    words: int = 0
+    within: int = 0
+    main: bool = False
+    article: bool = False
+
+    def outweighed(self, words: int, within: int) -> bool:
+        """Whether the page's text lies in it; ``words`` and ``within`` are those of the whole page, all and of the article's parts."""
+        if self.readers:
+            return within == self.within and 10 * (words - self.words) < self.words
+        return self.main or 2 * self.words > words or self.article and 4 * self.words > words
+
+
 @dataclass
 class Block:
     parts: list[str] = field(default_factory=list)
@@ -60,13 +91,44 @@ class Block:
     text: str = ""
     words: int = 0
     density: float = 0.0
+    signs: list[Sign] = field(default_factory=list)
+
+
+def tokens(page: str) -> list[tuple[int, int, re.Match]]:
+    """Start, end and match of each tag, comment or left-out element; of elements that aren't closed, only the tag."""
+    found: list[tuple[int, int, re.Match]] = []
+    opened: dict[str, list[int]] = {}
+    endless: set[str] = set()
+    at = 0
+    while m := TOKEN.search(page, at):
+        at = m.end()
+        name = (m[3] or "").lower()
+        ends, closed = bool(m[2]), (m[4] or "").endswith("/")
+        if name in RAW and not ends and not closed and name not in endless:
+            if end := RAW_ENDS[name].search(page, at):
+                at = end.end()
+            else:
+                endless.add(name)
+        found.append((m.start(), at, m))
+        if name in LEFT_OUT and not closed:
+            if not ends:
+                if name in ("button", "select"):  # these don't nest: one that is still open has no end
+                    opened.pop(name, None)
+                opened.setdefault(name, []).append(len(found) - 1)
+            elif opened.get(name):
+                first = opened[name].pop()
+                found[first:] = [(found[first][0], at, found[first][2])]
+                for other in opened:
+                    while opened[other] and opened[other][-1] >= first:
+                        opened[other].pop()
+    return found
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page, in order."""
     found: list[Block] = []
-    #: Open elements that aren't inline: (name, around, within, hidden).
-    stack: list[tuple[str, bool, bool]] = []
+    #: Open elements that aren't inline: (name, around, within, a sign that may be outweighed).
+    stack: list[tuple[str, bool, bool, Sign | None]] = []
     links, breaks = 0, 0
     now = Block()
 
@@ -77,6 +139,7 @@ def blocks(page: str) -> list[Block]:
             now.text, now.words = text, text.count(" ") + 1
             now.density = min(1.0, len(references.unescape(" ".join(now.linked)).split()) / now.words)
             now.around, now.within = any(x[1] for x in stack), any(x[2] for x in stack)
+            now.signs = [x[3] for x in stack if x[3]]
             now.heading, now.listed = any(x[0] in HEADINGS for x in stack[-2:]), any(x[0] in ("li", "dd", "dt") for x in stack)
             found.append(now)
         now = Block()
@@ -90,12 +153,14 @@ def blocks(page: str) -> list[Block]:
             if not text.isspace():
                 breaks = 0
 
-    at = 0
-    for m in TOKEN.finditer(page):
-        say(page[at : m.start()])
-        at = m.end()
+    at, silent = 0, False
+    for start, end, m in tokens(page):
+        if not silent:
+            say(page[at:start])
+        at = end
         name = (m[3] or "").lower()
-        if not name:
+        silent = name == "option" and not m[2]
+        if not name or name == "option" or name in RAW or name in LEFT_OUT:
             continue
         ends = bool(m[2])
         if name == "a":
@@ -123,25 +188,53 @@ def blocks(page: str) -> list[Block]:
                     if stack[-1][0] == "p" or stack[-1][0] == name:
                         stack.pop()
                 stack.append((name, *_signs(name, m[4], any(x[2] for x in stack))))
-    say(page[at:])
+                if name in WITHIN and not stack[-1][3]:
+                    for x in stack[:-1]:
+                        if x[3]:
+                            x[3].main |= name == "main"
+                            x[3].article |= name == "article"
+    if not silent:
+        say(page[at:])
     close()
+    _weigh(found)
     return found
 
 
-def _signs(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    around = name in AROUND or name == "header" and not inside
-    within = name in WITHIN
+def _weigh(found: list[Block]) -> None:
+    """Blocks under signs that the page's own text doesn't outweigh stand around."""
+    if not any(b.signs for b in found):
+        return
+    words = within = 0
+    for b in found:
+        if not b.around and b.words >= 4 and b.density < LINK_CUTS[0]:
+            words += b.words
+            within += b.words * b.within
+            for x in b.signs:
+                x.words += b.words
+                x.within += b.words * b.within
+    for b in found:
+        b.around |= not all(x.outweighed(words, within) for x in b.signs)
+
+
+def _signs(name: str, attributes: str, inside: bool) -> tuple[bool, bool, Sign | None]:
+    around, within = name in AROUND, name in WITHIN
+    sign = Sign(False) if name in MAY_BE_AROUND or name == "header" and not inside else None
     if attributes and not attributes.isspace():
         for key, *values in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), "".join(values)
             if key in ("class", "id", "role"):
-                words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())) | set(re.split(r"[^a-z]+", value.lower()))
-                if name not in ("body", "html"):
-                    around |= bool(words & AROUND_WORDS)
+                for word in value.split() if name not in ("body", "html") else ():
+                    parts = [x for x in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", word).lower()) if x]
+                    words = {*parts, *re.split(r"[^a-z]+", word.lower())}
                     within |= bool(words & WITHIN_WORDS)
+                    if words & AROUND_WORDS and not (len(parts) > 1 and (parts[0] in STATE_BEFORE or parts[-1] in STATE_AFTER)):
+                        if key == "role":
+                            around = True
+                        elif sign is None or words & READERS_WORDS:
+                            sign = Sign(bool(words & READERS_WORDS))
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
                 around = True
-    return around, within
+    return around, within, sign
 
 
 #: Words and link density are told by class: up to 3, 12, 25 words or more; under 1/3, under 2/3 linked or more.
