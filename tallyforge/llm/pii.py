@@ -9,7 +9,9 @@ table are checked for collisions: where two would share a surrogate, or one woul
 an entity that occurs, all but the first draw again, in a wider space from the third time
 on, until all are distinct.
 
-Numbers of card length that fail the Luhn check are not cards and stay.
+Numbers of card length that fail the Luhn check are not cards and stay. In a longer run of
+digits and blanks (a card, its date, its check number), what passes from one group to
+another is the card.
 
 Cases: null texts stay null, empty ones empty; texts are read whole; equal rows are
 replaced equally; overlapping entities are one, the leftmost; rows that share an id share a
@@ -25,16 +27,19 @@ from tallyforge.llm.common import materialise, released, table
 
 #: Types in the order in which they are tried at a place of the text.
 PATTERNS = {
-    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:sk|pk|rk)[-_][A-Za-z0-9_-]{16,128}|gh[pousr]_[A-Za-z0-9]{20,255}|AKIA[0-9A-Z]{16}|eyJ[\w-]{10,}+\.[\w-]{10,}+\.[\w-]{10,}+)(?![\p{L}\p{N}])",
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,256}+@[\p{L}\p{N}-]{1,64}+(?:\.[\p{L}\p{N}-]{1,64}+){0,8}?\.\p{L}{2,24}(?![\p{L}\p{N}])",
+    "secret": r"(?<![\p{L}\p{N}])(?:(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16}|eyJ[\w-]{10,}+\.[\w-]{10,}+\.[\w-]{10,}+)(?![\p{L}\p{N}])|(?:sk|pk|rk)[-_][A-Za-z0-9_-]{16,}+|gh[pousr]_[A-Za-z0-9]{20,}+)",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++){0,126}?\.(?:xn--[A-Za-z0-9-]++|\p{L}{2,63})(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
     "ip": r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\p{N}]|\.\d)",
-    "phone": r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\p{N})",
-    "card": r"(?<![\p{L}\p{N}])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])",
+    "ip6": r"(?<![\p{L}\p{N}:.])(?=[0-9A-Fa-f:]{0,38}\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?|::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
+    "phone": r"(?<![\p{L}\p{N}])(?:(?=\+(?:[ .()-]{0,2}\d){5})\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|(?:1[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}|(?:1[.-])?\d{3}[.-]\d{3}[.-]\d{4}|(?:1 )?[2-9]\d{2} [2-9]\d{2}[ -]\d{4}|1[3-9]\d[ -]\d{4}[ -]\d{4}|(?!\d{1,2}[ /-]\d{1,2}[ /-]\d{4}(?!\d))(?=(?:[() /-]{0,2}\d){9})(?:0\d{1,5}|\(0\d{1,5}\))[ /-]{1,2}\d{2,8}(?:[ -]\d{2,8}){0,4})(?!\p{N})",
+    "card": r"(?<![\p{L}\p{N}])(?=\d(?:[ -]?\d){12})\d++(?![\p{L}\p{N}])(?:[ -](?!\d{3}-\d{2}-\d{4}(?!\d)|\d{3}-\d{3}-\d{4}(?!\d)|\d{1,3}\.\d{1,3}\.\d{1,3}\.\d)\d++(?![\p{L}\p{N}]))*+",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "name": r"(?<![\p{L}\p{N}])(?:Mrs|Mr|Ms|Miss|Mister|Sir|Madam|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señora|Señor|Sra|Sr|Don|Doña)\.? \p{Lu}\p{Ll}{1,30}+(?:[ -]\p{Lu}\p{Ll}{1,30}+)?(?!\p{L})",
+    "name": r"(?<![\p{L}\p{N}])(?:Mrs|Mr|Ms|Miss|Mister|Sir|Madam|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señora|Señor|Sra|Sr|Don|Doña)\.? \p{Lu}\p{Ll}++(?:[ -]\p{Lu}\p{Ll}++)?(?!\p{L})",
 }
 ANY = "|".join(PATTERNS.values())
+#: How a card is written that stands in a longer run of digits: its digits together, or in groups of four to six.
+CARD = r"^(?:\d{13,19}|\d{4}(?:[ -]\d{4,6}){1,3}[ -]\d{1,6})$"
 #: A text that matches none of these has no entity; it is cheaper to look for.
 HINT = r"[@\p{N}]|\b(?:Mrs?|Ms|Miss|Mister|Sir|Madam|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señora?|Sra?|Don|Doña)\b|(?:sk|pk|rk)[-_]|gh[pousr]_|AKIA|eyJ"
 FEMALE = r"^(?:Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mlle|Señora|Sra|Doña)\b"
@@ -54,10 +59,43 @@ ALPHABETS = {
 }
 
 
+def cards(run: Column) -> Column:
+    """The places (start, length) of cards in a run of digits: the run, if it passes as one, or else what does from group to group, from the left and as long as can be."""
+    digits = lambda v: F.length(F.regexp_replace(v, r"\D", ""))
+    size = F.length(run)
+
+    def take(state: Column, at: Column) -> Column:
+        starts = (at >= state["next"]) & ((at == 1) | ~run.substr(at - 1, F.lit(1)).rlike(r"\d"))
+        fits = lambda n: (at + n - 1 <= size) & ~run.substr(at + n, F.lit(1)).rlike(r"\d") & run.substr(at, n).rlike(CARD) & digits(run.substr(at, n)).between(13, 19) & luhn(run.substr(at, n))
+        n = F.when(starts, F.array_max(F.filter(F.sequence(F.lit(13), F.lit(25)), fits)))
+        return F.when(n.isNull(), state).otherwise(F.struct((at + n).alias("next"), F.concat(state["found"], F.array(F.struct(at.alias("start"), n.alias("length")))).alias("found")))
+
+    whole = digits(run).between(13, 19) & luhn(run)
+    none = F.array().cast("array<struct<start:int,length:int>>")
+    parts = F.aggregate(F.sequence(F.lit(1), size), F.struct(F.lit(1).alias("next"), none.alias("found")), take)["found"]
+    return F.when(whole, F.array(F.struct(F.lit(1).alias("start"), size.alias("length")))).otherwise(parts)
+
+
+def card_parts(run: Column) -> Column:
+    """A run of digits cut at the cards in it: (kind, value) of each part, no kind between them."""
+    part = lambda kind_, value: F.struct(F.lit(kind_).cast("string").alias("kind"), value.alias("value"))
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<kind:string,value:string>>").alias("parts"))
+    add = lambda state, x: F.struct((x["start"] + x["length"]).alias("at"), F.concat(state["parts"], F.array(part(None, run.substr(state["at"], x["start"] - state["at"])), part("card", run.substr(x["start"], x["length"])))).alias("parts"))
+    return F.aggregate(cards(run), start, add, lambda state: F.concat(state["parts"], F.array(part(None, run.substr(state["at"], F.length(run))))))
+
+
+def parts(mentions: DataFrame) -> DataFrame:
+    """The parts of each of ``mentions`` (value), in order: (value, pos, kind, entity), no kind where the text stays."""
+    kinds = mentions.select("value", kind(F.col("value")).alias("kind")).where("kind is not null")
+    others = kinds.where("kind != 'card'").select("value", F.lit(0).alias("pos"), "kind", F.col("value").alias("entity"))
+    runs = kinds.where("kind = 'card'").select("value", F.posexplode(card_parts(F.col("value"))).alias("pos", "part"))
+    return others.unionByName(runs.select("value", "pos", F.col("part.kind").alias("kind"), F.col("part.value").alias("entity")))
+
+
 def kind(value: Column) -> Column:
     out = F.lit(None).cast("string")
     for name, pattern in reversed(PATTERNS.items()):
-        out = F.when(value.rlike(f"^(?:{pattern})$") & (luhn(value) if name == "card" else F.lit(True)), name).otherwise(out)
+        out = F.when(value.rlike(f"^(?:{pattern})$") , name).otherwise(out)
     return out
 
 
@@ -101,7 +139,10 @@ def surrogate(kind_: Column, value: Column, attempt: Column, key: str) -> Column
     email = F.concat(_drawn(F.regexp_extract(value, "^(.*)@", 1), noise), more, F.lit("@"), F.regexp_replace(_drawn(F.regexp_extract(value, r"@([^.]*)", 1), F.reverse(noise)), "^-|-$", "x"), F.lit("."), _of(["example.com", "example.org", "example.net"], _number(noise, 300)))
     octet = lambda i: (_number(noise, 16 * i) % 254 + 1).cast("string")
     ip = F.concat_ws(".", *(octet(i) for i in range(4)))
-    secret = F.when(value.rlike("^[0-9a-f]+$"), F.substring(noise, F.lit(1), F.length(value))).when(value.rlike("^[0-9A-F]+$"), F.upper(F.substring(noise, F.lit(1), F.length(value)))).otherwise(F.concat(F.regexp_extract(value, "^((?:sk|pk|rk)[-_]|gh[pousr]_|AKIA|eyJ)", 1), _drawn(F.regexp_replace(value, "^(?:(?:sk|pk|rk)[-_]|gh[pousr]_|AKIA|eyJ)", ""), noise)))
+    hexes = F.substring(F.repeat(noise, F.ceil(F.length(value) / 512).cast("int")), F.lit(1), F.length(value))
+    one = lambda c, i: F.when(c.rlike("[0-9a-f]"), F.substring(noise, i + 1, F.lit(1))).when(c.rlike("[A-F]"), F.upper(F.substring(noise, i + 1, F.lit(1)))).otherwise(c)
+    ip6 = F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), one), "")
+    secret = F.when(value.rlike("^[0-9a-f]+$"), hexes).when(value.rlike("^[0-9A-F]+$"), F.upper(hexes)).otherwise(F.concat(F.regexp_extract(value, "^((?:sk|pk|rk)[-_]|gh[pousr]_|AKIA|eyJ)", 1), _drawn(F.regexp_replace(value, "^(?:(?:sk|pk|rk)[-_]|gh[pousr]_|AKIA|eyJ)", ""), noise)))
     phone = F.concat(F.regexp_extract(value, r"^(\+\d{1,3}[ .-])", 1), _drawn(F.regexp_replace(value, r"^\+\d{1,3}[ .-]", ""), noise))
     iban = F.concat(F.substring(value, 1, 2), _drawn(F.substring(value, F.lit(3), F.length(value)), noise))
     ssn = F.concat(F.lit("9"), _drawn(F.substring(value, F.lit(2), F.length(value)), noise))
@@ -114,7 +155,7 @@ def surrogate(kind_: Column, value: Column, attempt: Column, key: str) -> Column
     parts = lambda n: F.concat(*(_of(SYLLABLES, _number(noise, 210 + 9 * i)) for i in range(n)))
     surname = F.initcap(F.when(attempt > 1, parts(6)).otherwise(parts(3)))
     name = F.concat(title, F.when(names.rlike(r"[ -]"), F.concat(given, F.regexp_extract(names, r"([ -])", 1), surname)).otherwise(surname))
-    return F.when(kind_ == "email", email).when(kind_ == "ip", ip).when(kind_ == "secret", secret).when(kind_ == "phone", phone).when(kind_ == "iban", iban).when(kind_ == "ssn", ssn).when(kind_ == "card", sums[0]).when(kind_ == "name", name)
+    return F.when(kind_ == "email", email).when(kind_ == "ip", ip).when(kind_ == "ip6", ip6).when(kind_ == "secret", secret).when(kind_ == "phone", phone).when(kind_ == "iban", iban).when(kind_ == "ssn", ssn).when(kind_ == "card", sums[0]).when(kind_ == "name", name)
 
 
 def mapping(entities: DataFrame, key: str, attempts: int = 60) -> DataFrame:
@@ -142,17 +183,20 @@ def replace_pii(docs: DataFrame, key: str = "tallyforge") -> DataFrame:
     text = F.col("text")
     found = docs.select("doc_id", "text").where(text.rlike(HINT)).select("doc_id", F.array_distinct(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("values")).where(F.size("values") > 0)
     occurs = materialise(found.select("doc_id", F.explode("values").alias("value")).distinct())
-    entities = occurs.select("value").distinct().select(kind(F.col("value")).alias("kind"), "value").where("kind is not null")
-    named = mapping(entities, key)
-    pairs = occurs.join(named, "value").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("_map"))
+    written = materialise(parts(occurs.select("value").distinct()))
+    entities = written.where("kind is not null").select("kind", F.col("entity").alias("value")).distinct()
+    named = mapping(entities, key).withColumnRenamed("value", "entity").withColumnRenamed("surrogate", "new")
+    piece = F.struct("pos", F.coalesce("new", "entity").alias("text"))
+    mentions = written.join(named, "entity", "left").groupBy("value").agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["text"]), "").alias("surrogate"), F.count("kind").alias("n")).where("n > 0")
+    pairs = occurs.join(mentions, "value").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("value", F.struct("surrogate", "n")))).alias("_map"))
     pairs = materialise(pairs)
     released(occurs)
     columns = docs.columns
     out = docs.join(pairs.hint("merge"), "doc_id", "left").withColumn("_found", F.when(F.col("_map").isNotNull(), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
-    out = out.withColumn("_new", F.transform("_found", lambda v: F.coalesce(F.try_element_at(F.col("_map"), v), v)))
+    out = out.withColumn("_new", F.transform("_found", lambda v: F.coalesce(F.try_element_at(F.col("_map"), v), F.struct(v.alias("surrogate"), F.lit(0).cast("long").alias("n")))))
     between = F.split("text", ANY, -1)
-    woven = F.array_join(F.zip_with(between, F.concat("_new", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    n = F.coalesce(F.size(F.filter("_found", lambda v: F.map_contains_key("_map", v))), F.lit(0))
+    woven = F.array_join(F.zip_with(between, F.concat("_new.surrogate", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    n = F.aggregate("_new.n", F.lit(0).cast("long"), lambda a, b: a + b)
     return out.select(*(F.when(F.col("_found").isNotNull(), woven).otherwise(text).alias("text") if c == "text" else c for c in columns), F.when(F.col("_found").isNotNull(), n).otherwise(0).cast("long").alias("n_entities"))
 
 
