@@ -4,10 +4,12 @@ Detected entities (secrets, e-mail addresses, network addresses, payment cards,
 social security numbers, account numbers, titled names) are replaced by surrogates drawn
 with a secret key from a hash of the entity: of the same type, each character of the same
 kind and script, in the same format (cards pass the Luhn check, names keep the title's
-gender). The same entity gets the same surrogate in every document. Entities of the whole
-table are checked for collisions: where two would share a surrogate, or one would equal
-an entity that occurs, all but the first draw again, in a wider space from the third time
-on, until all are distinct.
+gender). The same entity gets the same surrogate in every document and in each way to write
+it: a card or a phone number by its digits, mail and IPv6 addresses in any case, a person by
+surname and given name apart, whatever the title. Entities of the whole table are checked
+for collisions: where two would share a surrogate, or one would equal an entity that occurs,
+all but the first draw again, in a wider space from the third time on, until all are
+distinct. Names in scripts without syllables here (Georgian and others) get Latin ones.
 
 Numbers of card length that fail the Luhn check are not cards and stay. In a longer run of
 digits and blanks (a card, its date, its check number), what passes from one group to
@@ -50,6 +52,14 @@ GIVEN = {
     "n": "Alex Robin Kim Sascha Dominique Jamie Luca Marian Nikola Quinn Rene Sam Toni Uli Vale Kai".split(),
 }
 SYLLABLES = "an bel cor dan el fal gor han il jor kel lan mar nor ol per ran sel tor ul ver wen xan yor zel bri cal dor fen gal hol kin".split()
+#: Syllables of names in other scripts, by what tells a name of that script.
+SCRIPTS = {
+    r"^\p{IsCyrillic}": "ан бел вор дан ел фал гор хан ил йор кел лан мар нор ол пер ран сел тор ул вер зен бри кал дор фен гал хол кин рис мол тан".split(),
+    r"^\p{IsGreek}": "αν βελ κορ δαν ελ φαλ γορ χαν ιλ καλ κελ λαν μαρ νορ ολ περ ραν σελ τορ υλ βερ ξεν ζελ βρι θορ δορ φεν γαλ χολ κιν ριμ τασ".split(),
+    r"^\p{IsArmenian}": "ան բել կոր դան ել ֆալ գոր հան իլ յոր կել լան մար նոր ոլ պեր ռան սել տոր ուլ վեր զեն բրի կալ դոր ֆեն գալ հոլ կին րիս մոլ տան".split(),
+}
+#: Country codes of one and two digits; the others have three.
+COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: Letters from which those of the same script and case are drawn.
 ALPHABETS = {
     r"[a-z]": "abcdefghijklmnopqrstuvwxyz", r"[A-Z]": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"[0-9]": "0123456789", r"[\p{IsLatin}&&\p{Ll}]": "àáâãäåæçèéêëìíîïñòóôõöøùúûüý",
@@ -84,12 +94,40 @@ def card_parts(run: Column) -> Column:
     return F.aggregate(cards(run), start, add, lambda state: F.concat(state["parts"], F.array(part(None, run.substr(state["at"], F.length(run))))))
 
 
+def entity(kind_: Column, value: Column) -> Column:
+    """What is the same in all ways to write a thing: digits of cards and phone numbers (with the country, where it is known), folded addresses."""
+    digits = F.regexp_replace(value, r"\D", "")
+    us = value.rlike(r"^(?:1[ .-]?)?(?:\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|[2-9]\d{2} [2-9]\d{2}[ -]\d{4})$")
+    phone = F.when(value.startswith("+"), F.concat(F.lit("+"), digits)).when(us, F.concat(F.lit("+1"), F.right(digits, F.lit(10)))).when(digits.startswith("00"), F.concat(F.lit("+"), F.substring(digits, F.lit(3), F.length(digits)))).otherwise(digits)
+    return F.when(kind_ == "phone", phone).when(kind_ == "card", digits).when(kind_.isin("email", "ip6"), F.lower(value)).when(kind_ == "iban", F.replace(value, F.lit(" "), F.lit(""))).otherwise(value)
+
+
+def formatted(kind_: Column, raw: Column, new: Column) -> Column:
+    """A surrogate of an entity in the way in which ``raw`` is written."""
+    slot = F.when(kind_ == "iban", F.lit("[A-Z0-9]")).otherwise(F.lit("[0-9]"))
+    rest = F.when(kind_ == "iban", F.lit("[^A-Z0-9]")).otherwise(F.lit("[^0-9]"))
+    letters = F.regexp_replace(new, rest, F.lit(""))
+    count = lambda v: F.length(F.regexp_replace(v, rest, F.lit("")))
+    one = lambda c, i: F.when(F.regexp_like(c, slot), F.substring(letters, F.length(letters) - count(F.substring(raw, i + 1, F.length(raw))) + 1, F.lit(1))).otherwise(c)
+    placed = F.array_join(F.transform(F.filter(F.split(raw, ""), lambda c: c != ""), one), "")
+    placed = F.when(raw.startswith("00") & (kind_ == "phone"), F.concat(F.lit("00"), F.substring(placed, F.lit(3), F.length(placed)))).otherwise(placed)
+    upper = (raw == F.upper(raw)) & (raw != F.lower(raw))
+    return F.when(kind_.isin("phone", "card", "iban"), placed).when(kind_.isin("email", "ip6") & upper, F.upper(new)).otherwise(new)
+
+
 def parts(mentions: DataFrame) -> DataFrame:
-    """The parts of each of ``mentions`` (value), in order: (value, pos, kind, entity), no kind where the text stays."""
+    """The parts of each of ``mentions`` (value), in order: (value, pos, kind, raw, entity), no kind where the text stays."""
     kinds = mentions.select("value", kind(F.col("value")).alias("kind")).where("kind is not null")
-    others = kinds.where("kind != 'card'").select("value", F.lit(0).alias("pos"), "kind", F.col("value").alias("entity"))
-    runs = kinds.where("kind = 'card'").select("value", F.posexplode(card_parts(F.col("value"))).alias("pos", "part"))
-    return others.unionByName(runs.select("value", "pos", F.col("part.kind").alias("kind"), F.col("part.value").alias("entity")))
+    value, none = F.col("value"), F.lit(None).cast("string")
+    others = kinds.where("kind not in ('card', 'name')").select("value", F.lit(0).alias("pos"), "kind", F.col("value").alias("raw"))
+    runs = kinds.where("kind = 'card'").select("value", F.posexplode(card_parts(value)).alias("pos", "part"))
+    # a name: title, given name or first half of a surname, blank or hyphen, surname
+    title, first, gap, last = (F.regexp_extract(value, r"^(\S+ )(?:(\p{L}+)([ -]))?(\p{L}+)$", i) for i in range(1, 5))
+    gender = F.when(value.rlike(FEMALE), "given_f").when(value.rlike(MALE), "given_m").otherwise("given_n")
+    part = lambda kind_, raw: F.struct(kind_.alias("kind"), raw.alias("value"))
+    names = kinds.where("kind = 'name'").select("value", F.posexplode(F.array(part(none, title), part(F.when(gap == " ", gender).when(gap == "-", "surname"), first), part(none, gap), part(F.lit("surname"), last))).alias("pos", "part"))
+    split = runs.unionByName(names).select("value", "pos", F.col("part.kind").alias("kind"), F.col("part.value").alias("raw"))
+    return others.unionByName(split).withColumn("entity", entity(F.col("kind"), F.col("raw")))
 
 
 def kind(value: Column) -> Column:
@@ -143,38 +181,46 @@ def surrogate(kind_: Column, value: Column, attempt: Column, key: str) -> Column
     one = lambda c, i: F.when(c.rlike("[0-9a-f]"), F.substring(noise, i + 1, F.lit(1))).when(c.rlike("[A-F]"), F.upper(F.substring(noise, i + 1, F.lit(1)))).otherwise(c)
     ip6 = F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), one), "")
     secret = F.when(value.rlike("^[0-9a-f]+$"), hexes).when(value.rlike("^[0-9A-F]+$"), F.upper(hexes)).otherwise(F.concat(F.regexp_extract(value, "^((?:sk|pk|rk)[-_]|gh[pousr]_|AKIA|eyJ)", 1), _drawn(F.regexp_replace(value, "^(?:(?:sk|pk|rk)[-_]|gh[pousr]_|AKIA|eyJ)", ""), noise)))
-    phone = F.concat(F.regexp_extract(value, r"^(\+\d{1,3}[ .-])", 1), _drawn(F.regexp_replace(value, r"^\+\d{1,3}[ .-]", ""), noise))
+    country = F.regexp_extract(value, f"{COUNTRY}|^0*", 0)
+    phone = F.concat(country, _drawn(F.substring(value, F.length(country) + 1, F.length(value)), noise))
     iban = F.concat(F.substring(value, 1, 2), _drawn(F.substring(value, F.lit(3), F.length(value)), noise))
     ssn = F.concat(F.lit("9"), _drawn(F.substring(value, F.lit(2), F.length(value)), noise))
     # a card: the first digit and the format stay, the last digit makes the check come out
     drawn = F.concat(F.substring(value, 1, 1), _drawn(F.substring(value, F.lit(2), F.length(value) - 2), noise))
     sums = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(drawn, d.cast("string"))), luhn)
-    title, names = F.regexp_extract(value, r"^(\S+ )", 1), F.regexp_replace(value, r"^\S+ ", "")
+    def syllables(n: Column, at: int, limit: int = 6) -> Column:
+        of = lambda words: F.array_join(F.slice(F.array(*(_of(words, _number(noise, at + 9 * i)) for i in range(limit))), 1, n), "")
+        out = of(SYLLABLES)
+        for script, words in SCRIPTS.items():
+            out = F.when(value.rlike(script), of(words)).otherwise(out)
+        return out
+
+    surname = F.initcap(syllables(F.when(attempt > 1, 6).otherwise(3), 210))
     draw = lambda words: _of(words, _number(noise, 200))
-    given = F.when(value.rlike(FEMALE), draw(GIVEN["f"])).when(value.rlike(MALE), draw(GIVEN["m"])).otherwise(draw(GIVEN["n"]))
-    parts = lambda n: F.concat(*(_of(SYLLABLES, _number(noise, 210 + 9 * i)) for i in range(n)))
-    surname = F.initcap(F.when(attempt > 1, parts(6)).otherwise(parts(3)))
-    name = F.concat(title, F.when(names.rlike(r"[ -]"), F.concat(given, F.regexp_extract(names, r"([ -])", 1), surname)).otherwise(surname))
-    return F.when(kind_ == "email", email).when(kind_ == "ip", ip).when(kind_ == "ip6", ip6).when(kind_ == "secret", secret).when(kind_ == "phone", phone).when(kind_ == "iban", iban).when(kind_ == "ssn", ssn).when(kind_ == "card", sums[0]).when(kind_ == "name", name)
+    listed = F.when(kind_ == "given_f", draw(GIVEN["f"])).when(kind_ == "given_m", draw(GIVEN["m"])).otherwise(draw(GIVEN["n"]))
+    # too few are listed for a large table: from the second draw on they grow longer
+    given = F.when(value.rlike("|".join(SCRIPTS)), F.initcap(syllables(F.when(attempt > 1, 5).otherwise(2), 210))).when(attempt == 0, listed).otherwise(F.concat(listed, syllables(F.when(attempt > 2, 5).otherwise(attempt), 210)))
+    return F.when(kind_ == "email", email).when(kind_ == "ip", ip).when(kind_ == "ip6", ip6).when(kind_ == "secret", secret).when(kind_ == "phone", phone).when(kind_ == "iban", iban).when(kind_ == "ssn", ssn).when(kind_ == "card", sums[0]).when(kind_ == "surname", surname).when(kind_.startswith("given"), given)
 
 
 def mapping(entities: DataFrame, key: str, attempts: int = 60) -> DataFrame:
-    """Surrogates of distinct ``entities`` (kind, value): (value, surrogate), no two alike and none that is an entity itself."""
-    entities = materialise(entities)
-    originals = entities.select(F.col("value").alias("surrogate")).distinct()
+    """Surrogates of distinct ``entities`` (kind, value): (space, value, surrogate), no two of a space (a kind, or all given names) alike and none that is an entity itself."""
+    space = F.substring_index("kind", "_", 1).alias("space")
+    entities = materialise(entities.select("kind", "value", space))
+    originals = entities.select("space", F.col("value").alias("surrogate")).distinct()
     pending, done = entities, None
     for attempt in range(attempts):
         at = F.lit(attempt)
-        drawn = pending.withColumn("_noise", _noise(key, F.col("value"), at)).select("kind", "value", surrogate(F.col("kind"), F.col("value"), at, key).alias("surrogate"))
-        first = Window.partitionBy("surrogate").orderBy("value")
-        free = drawn.join(originals, "surrogate", "left_anti")
+        drawn = pending.withColumn("_noise", _noise(key, F.col("value"), at)).select("kind", "value", "space", surrogate(F.col("kind"), F.col("value"), at, key).alias("surrogate"))
+        first = Window.partitionBy("space", "surrogate").orderBy("value")
+        free = drawn.join(originals, ["space", "surrogate"], "left_anti")
         if done is not None:
-            free = free.join(done.select("surrogate"), "surrogate", "left_anti")
-        good = free.withColumn("r", F.row_number().over(first)).where("r = 1").select("kind", "value", "surrogate")
+            free = free.join(done.select("space", "surrogate"), ["space", "surrogate"], "left_anti")
+        good = free.withColumn("r", F.row_number().over(first)).where("r = 1").select("kind", "value", "space", "surrogate")
         done = materialise(good if done is None else done.unionByName(good))
-        pending = materialise(entities.join(done.select("value"), "value", "left_anti"))
+        pending = materialise(entities.join(done.select("space", "value"), ["space", "value"], "left_anti"))
         if pending.isEmpty():
-            return done.select("value", "surrogate")
+            return done.select("space", "value", "surrogate")
     raise RuntimeError(f"no distinct surrogates after {attempts} draws")
 
 
@@ -184,10 +230,15 @@ def replace_pii(docs: DataFrame, key: str = "tallyforge") -> DataFrame:
     found = docs.select("doc_id", "text").where(text.rlike(HINT)).select("doc_id", F.array_distinct(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("values")).where(F.size("values") > 0)
     occurs = materialise(found.select("doc_id", F.explode("values").alias("value")).distinct())
     written = materialise(parts(occurs.select("value").distinct()))
-    entities = written.where("kind is not null").select("kind", F.col("entity").alias("value")).distinct()
-    named = mapping(entities, key).withColumnRenamed("value", "entity").withColumnRenamed("surrogate", "new")
-    piece = F.struct("pos", F.coalesce("new", "entity").alias("text"))
-    mentions = written.join(named, "entity", "left").groupBy("value").agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["text"]), "").alias("surrogate"), F.count("kind").alias("n")).where("n > 0")
+    # a given name is of the gender of all its titles, of neither if they differ
+    whose = F.array_remove(F.collect_set("kind"), "given_n")
+    given = written.where("kind like 'given%'").groupBy("entity").agg(F.when(F.size(whose) == 1, whose[0]).otherwise("given_n").alias("kind"))
+    entities = written.where("kind is not null and kind not like 'given%'").select("kind", "entity").distinct().unionByName(given.select("kind", "entity")).withColumnRenamed("entity", "value")
+    named = mapping(entities, key).select("space", F.col("value").alias("entity"), F.col("surrogate").alias("new"))
+    piece = F.struct("pos", F.coalesce(formatted(F.col("kind"), F.col("raw"), F.col("new")), "raw").alias("text"))
+    counted = F.count(F.when(F.col("kind").isNotNull() & ((F.col("kind") != "surname") | (F.col("pos") == 3)) & ~F.col("kind").startswith("given"), 1))
+    joined = written.withColumn("space", F.substring_index("kind", "_", 1)).join(named, ["space", "entity"], "left")
+    mentions = joined.groupBy("value").agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["text"]), "").alias("surrogate"), counted.alias("n")).where("n > 0")
     pairs = occurs.join(mentions, "value").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("value", F.struct("surrogate", "n")))).alias("_map"))
     pairs = materialise(pairs)
     released(occurs)
