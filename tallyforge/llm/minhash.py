@@ -17,8 +17,9 @@ more than one link as a rule.
 
 Cases: null texts and texts without words have an empty set, link with nothing and are kept;
 with fewer words than a shingle, the whole sequence is the one shingle; very long texts give
-a block of their own; equal rows link; rows that share an id share its class; no rows give
-no rows; ``near_duplicates`` keeps other columns out and ``stage`` keeps them all.
+a block of their own; equal rows link and share a verdict; of rows that share an id each text
+is compared by itself; a row without an id is kept if no row of its class has one (of several
+such texts that of least hash), with a null component_id; no rows give no rows; ``near_duplicates`` keeps other columns out and ``stage`` keeps them all.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import WordHasher, connected_components, materialise, mix, released, signed, table, utf8_parts, word_bounds
@@ -74,8 +75,8 @@ def _sketches(shingle: int):
                     low.append(values[:SKETCH])
                     cuts.append(cuts[-1] + len(low[-1]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[lo:hi], pa.array(n, pa.int64()), *(pa.array(signed(np.array(x, np.uint64))) for x in (d1, d2)), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(signed(np.concatenate(low))))],
-                    names=["doc_id", "n_shingles", "d1", "d2", "sketch"],
+                    [batch.column(0)[lo:hi], batch.column(2)[lo:hi], pa.array(n, pa.int64()), *(pa.array(signed(np.array(x, np.uint64))) for x in (d1, d2)), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(signed(np.concatenate(low))))],
+                    names=["doc_id", "h", "n_shingles", "d1", "d2", "sketch"],
                 )
 
     return run
@@ -204,40 +205,59 @@ def _links(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE) -> DataFrame:
-    """Per document of ``docs`` (doc_id, text): n_shingles, component_id (smallest document of its class), kept (whether it is that one).
+def _row_key() -> tuple[Column, Column]:
+    """What tells rows apart: the id, where there is one, and a hash of the text."""
+    h = F.xxhash64(F.col("text").cast("string"))
+    return F.coalesce(F.col("doc_id").cast("long"), h), h
 
-    Documents are linked if the similarity of their sets is ``percent`` hundredths or more.
-    """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sketches = materialise(docs.mapInArrow(_sketches(shingle), "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>"))
-    same = sketches.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    reps = materialise(sketches.select("doc_id", "n_shingles", "d1", "d2").join(same, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
-    ones = sketches.join(reps.where("doc_id = rep and n_shingles > 0").select("doc_id").distinct(), "doc_id", "left_semi")
+
+def _classes(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, h (hash of the text), n_shingles, component_id, kept."""
+    i, h = _row_key()
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), h.alias("h"), i.alias("i"))
+    sketches = materialise(docs.select("doc_id", "text", "h").mapInArrow(_sketches(shingle), "doc_id long, h long, n_shingles long, d1 long, d2 long, sketch array<long>"))
+    # a row of least id stands for its set; one without an id only where no other has it
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    same = sketches.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min(row).alias("rep"))
+    reps = materialise(sketches.select("doc_id", "h", "n_shingles", "d1", "d2").join(same, ["d1", "d2", "n_shingles"], "left").select("doc_id", "h", "n_shingles", F.coalesce("rep", row).alias("rep")))
+    keys = reps.where("h = rep.h and doc_id <=> rep.doc_id and n_shingles > 0").select(F.coalesce("doc_id", "h").alias("i"), "h", "n_shingles").distinct()
+    ones = sketches.withColumn("i", F.coalesce("doc_id", "h")).join(keys.select("i", "h"), ["i", "h"], "left_semi")
 
     # the rarest values of each sketch, of those that occur elsewhere
-    values = ones.select("doc_id", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
+    values = ones.select("h", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
     often = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    rare = values.join(often, "value").groupBy("doc_id", "k").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("often"))
+    rare = values.join(often, "value").groupBy("h", "k").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("often"))
     reach = F.col("k") - F.greatest(F.lit(1), F.floor(SHARE * F.col("k"))).cast("int") + 1  # values to look up, with those that occur once
-    looked = rare.withColumn("n", reach - (F.col("k") - F.size("often"))).where("n > 0").select("doc_id", F.explode(F.expr("slice(often, 1, n)")).alias("x"))
-    lists = materialise(looked.select("doc_id", "x.value"))
+    looked = rare.withColumn("n", reach - (F.col("k") - F.size("often"))).where("n > 0").select("h", F.explode(F.expr("slice(often, 1, n)")).alias("x"))
+    lists = materialise(looked.select("h", "x.value"))
     released(sketches)
-    heads = lists.groupBy("value").agg(F.min("doc_id").alias("b"))
-    groups = materialise(connected_components(lists.join(heads, "value").select(F.col("doc_id").alias("a"), "b")))
+    heads = lists.groupBy("value").agg(F.min("h").alias("b"))
+    groups = materialise(connected_components(lists.join(heads, "value").select(F.col("h").alias("a"), "b")))
     released(lists)
 
-    texts = docs.join(groups.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id").join(reps.select("doc_id", "n_shingles"), "doc_id").dropDuplicates(["doc_id"])
-    ordered = texts.repartitionByRange("component", "n_shingles", "doc_id").sortWithinPartitions("component", "n_shingles", "doc_id")
-    blocks = materialise(ordered.select("doc_id", "text", "component").mapInArrow(_blocks(shingle), _BLOCK))
+    grouped = groups.withColumnRenamed("node", "h").join(keys, "h")
+    texts = docs.join(grouped.hint("merge"), ["i", "h"]).dropDuplicates(["h"])
+    ordered = texts.repartitionByRange("component", "n_shingles", "h").sortWithinPartitions("component", "n_shingles", "h")
+    blocks = materialise(ordered.select("h", "text", "component").mapInArrow(_blocks(shingle), _BLOCK))
     side = lambda s: blocks.select(*(F.col(c).alias(f"{c}_{s}") for c in blocks.columns))
     light = blocks.select("block", F.explode(F.array_distinct(F.array("first", "last"))).alias("grp"), "least", "greatest")
     spans = light.alias("x").join(light.alias("y"), F.expr("x.grp = y.grp and x.block < y.block")).where(F.expr(f"100 * x.greatest >= {percent} * y.least and 100 * y.greatest >= {percent} * x.least"))
     pairs = spans.select(F.col("x.block").alias("block_a"), F.col("y.block").alias("block_b")).distinct().unionByName(blocks.select(F.col("block").alias("block_a"), F.col("block").alias("block_b")))
     compared = side("a").join(pairs.repartition("block_a"), "block_a").join(side("b"), "block_b")
     links = connected_components(compared.mapInPandas(_links(percent), "a long, b long"))
-    links = links.select(F.col("node").alias("rep"), "component")
-    return reps.join(links, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")).withColumn("kept", F.expr("doc_id = component_id"))
+    links = links.select(F.col("node").alias("rep_h"), "component")
+    heads = reps.select("rep").distinct().withColumn("rep_h", F.col("rep.h")).join(links, "rep_h").groupBy("component").agg(F.min("rep").alias("head"))
+    linked = links.join(heads, "component").select("rep_h", "head")
+    out = reps.withColumn("rep_h", F.col("rep.h")).join(linked, "rep_h", "left").withColumn("top", F.coalesce("head", "rep"))
+    return out.select("doc_id", "h", "n_shingles", F.col("top.doc_id").alias("component_id"), F.expr("doc_id <=> top.doc_id and h = top.h").alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE) -> DataFrame:
+    """Per document of ``docs`` (doc_id, text): n_shingles, component_id (smallest document of its class), kept (whether it is that one).
+
+    Documents are linked if the similarity of their sets is ``percent`` hundredths or more.
+    """
+    return _classes(docs, percent, shingle).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,5 +266,6 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies (similarity 0.8 or more) stays."""
-    kept = near_duplicates(docs, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    kept = _classes(docs, 80, SHINGLE).where("kept").select(F.coalesce("doc_id", "h").alias("_i"), F.col("h").alias("_h")).distinct()
+    i, h = _row_key()
+    return docs.withColumn("_i", i).withColumn("_h", h).join(kept.hint("merge"), ["_i", "_h"], "left_semi").select(*docs.columns)

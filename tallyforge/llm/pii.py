@@ -17,7 +17,7 @@ another is the card.
 
 Cases: null texts stay null, empty ones empty; texts are read whole; equal rows are
 replaced equally; overlapping entities are one, the leftmost; rows that share an id share a
-mapping; no rows give no rows; ``replace_pii`` keeps all other columns.
+mapping, and rows without one are replaced as others are; no rows give no rows; ``replace_pii`` keeps all other columns.
 """
 
 from __future__ import annotations
@@ -227,8 +227,11 @@ def mapping(entities: DataFrame, key: str, attempts: int = 60) -> DataFrame:
 def replace_pii(docs: DataFrame, key: str = "tallyforge") -> DataFrame:
     """``docs`` (doc_id, text, and any others) with surrogates in ``text``, and ``n_entities``, the number of those replaced."""
     text = F.col("text")
-    found = docs.select("doc_id", "text").where(text.rlike(HINT)).select("doc_id", F.array_distinct(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("values")).where(F.size("values") > 0)
-    occurs = materialise(found.select("doc_id", F.explode("values").alias("value")).distinct())
+    columns = docs.columns
+    # rows without an id are told apart by their texts
+    docs = docs.withColumn("_row", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2("text", 256))))
+    found = docs.select("_row", "text").where(text.rlike(HINT)).select("_row", F.array_distinct(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("values")).where(F.size("values") > 0)
+    occurs = materialise(found.select("_row", F.explode("values").alias("value")).distinct())
     written = materialise(parts(occurs.select("value").distinct()))
     # a given name is of the gender of all its titles, of neither if they differ
     whose = F.array_remove(F.collect_set("kind"), "given_n")
@@ -239,11 +242,10 @@ def replace_pii(docs: DataFrame, key: str = "tallyforge") -> DataFrame:
     counted = F.count(F.when(F.col("kind").isNotNull() & ((F.col("kind") != "surname") | (F.col("pos") == 3)) & ~F.col("kind").startswith("given"), 1))
     joined = written.withColumn("space", F.substring_index("kind", "_", 1)).join(named, ["space", "entity"], "left")
     mentions = joined.groupBy("value").agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["text"]), "").alias("surrogate"), counted.alias("n")).where("n > 0")
-    pairs = occurs.join(mentions, "value").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("value", F.struct("surrogate", "n")))).alias("_map"))
+    pairs = occurs.join(mentions, "value").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("value", F.struct("surrogate", "n")))).alias("_map"))
     pairs = materialise(pairs)
     released(occurs)
-    columns = docs.columns
-    out = docs.join(pairs.hint("merge"), "doc_id", "left").withColumn("_found", F.when(F.col("_map").isNotNull(), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
+    out = docs.join(pairs.hint("merge"), "_row", "left").withColumn("_found", F.when(F.col("_map").isNotNull(), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
     out = out.withColumn("_new", F.transform("_found", lambda v: F.coalesce(F.try_element_at(F.col("_map"), v), F.struct(v.alias("surrogate"), F.lit(0).cast("long").alias("n")))))
     between = F.split("text", ANY, -1)
     woven = F.array_join(F.zip_with(between, F.concat("_new.surrogate", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
