@@ -17,18 +17,44 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 19
 
 
+#: Bytes of an Arrow batch between Spark and Python; Spark's own bound lets every task hold 64 MB a step.
+BATCH_BYTES = 4 << 20
+#: Keys that more than this part of all rows share are split in joins, so there are at most so many of them.
+HOT_KEYS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on the bytes of an Arrow batch, if it is higher."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) != str(BATCH_BYTES):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def own_name(columns: list[str], name: str) -> str:
+    """``name``, with underscores until no column has it (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 @functools.cache
 def _own_dir() -> str:
     return tempfile.mkdtemp(prefix="tallyforge-")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own where that is unset (local runs)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """A folder in ``spark.checkpoint.dir``. Where that is unset, a temporary one of this machine, if the session runs on no other."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own_dir()
     return f"{base.rstrip('/')}/tf-{uuid.uuid4().hex}"
 
 
@@ -153,21 +179,42 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def dealt(rows: DataFrame, keyed: DataFrame, keys: list[str], spread: str, total: int, n: str = "n") -> DataFrame:
+    """``rows`` with a column ``_part``: their key's rows are cut by the hash of ``spread`` into parts of at most a ``HOT_KEYS``-th of all ``total`` rows.
+
+    ``keyed`` has one row a key and in column ``n`` how many rows have it. Keys that need more than one part are at most
+    ``HOT_KEYS``, so the list of them that every task gets is bounded whatever the table's size.
+    """
+    share = max(1, total // HOT_KEYS)
+    hot = keyed.where(F.col(n) > share).select(*keys, F.ceil(F.col(n) / share).cast("int").alias("_parts"))
+    out = rows.join(F.broadcast(hot), keys, "left")
+    return out.withColumn("_part", F.pmod(F.xxhash64(spread), F.coalesce("_parts", F.lit(1)).cast("long")).cast("int")).drop("_parts")
+
+
+def salted_join(rows: DataFrame, keyed: DataFrame, keys: list[str], spread: str, total: int, n: str = "n", how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keyed``, which has one row a key. A key with very many rows is cut as by ``dealt``, its one row copied to each part; there are at most twice ``HOT_KEYS`` copies."""
+    share = max(1, total // HOT_KEYS)
+    parts = F.when(F.col(n) > share, F.sequence(F.lit(0), F.ceil(F.col(n) / share).cast("int") - 1)).otherwise(F.array(F.lit(0)))
+    copied = keyed.withColumn("_part", F.explode(parts)).drop(n)
+    return dealt(rows, keyed, keys, spread, total, n).join(copied, [*keys, "_part"], how).drop("_part")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of the undirected graph of ``edges`` (a, b: long); a component is its smallest node.
 
-    Rounds of large-star and small-star, each a grouped minimum joined back, so that a
-    node with very many neighbours is an ordinary skewed join; the rounds end when the
-    edges are stars. Nodes without an edge to another are left out.
+    Rounds of large-star and small-star, each a grouped minimum joined back by ``salted_join``, so that a node with very
+    many neighbours is not one task's work; the rounds end when the edges are stars. Nodes without an edge to another are
+    left out.
     """
     edges = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
     before = _shape(edges)
     while before[0]:
+        total = 2 * before[0]
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        lowest = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.join(lowest, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u <> v").distinct()
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v").select(F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("m").alias("u"))
+        lowest = both.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n")).select("v", F.least("v", "m").alias("m"), "n")
+        large = salted_join(both, lowest, ["v"], "u", total).where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u <> v").distinct()
+        low = large.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))
+        small = salted_join(large, low, ["v"], "u", total).select(F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("m").alias("u"))
         after = materialise(small.where("u <> v").distinct())
         released(edges)
         edges, now = after, _shape(after)
