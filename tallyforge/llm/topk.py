@@ -8,14 +8,18 @@ of the scores that equal it, the smallest ids that can still be needed; ties bre
 
 A task sends only the bins from its own k-th best upwards, since the k-th best overall
 can't lie lower; so a histogram has a few rows a task, however many candidates there are.
-Queries are blocked: a block meets each chunk of vectors once, by a join on the block's
-number, so neither the queries nor the vectors are ever held whole anywhere.
+Queries are blocked, blocks and chunks of vectors sized in bytes by their dimension. While
+all queries together are below ``BROADCAST_BYTES``, every task gets them and reads each
+vector once a round; beyond that a block meets each chunk once, by a shuffled join on the
+block's number, cut into parts so that all tasks have work. So neither the queries nor the
+vectors are ever held whole anywhere that isn't sized for them.
 
 Cases: vectors that are null or hold a null or a value that isn't finite take no part;
 vectors of unequal length are compared on the components they share; equal vectors tie
 and the smaller id goes first; a query with fewer than k candidates gets them all; no
 rows give no rows; rows with the same id are candidates each for itself, but not for a
-query of that id; other columns are not read.
+query of that id; of query rows with the same id, equal or not, the one of least vector is
+the query, once; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,10 +31,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import materialise, table
+from tallyforge.llm.common import materialise, released, table
 
-#: Vectors in a chunk, queries in a block, bins of a histogram.
-CHUNK, BLOCK, BINS = 4096, 1024, 256
+#: Vectors in a chunk and queries in a block at most, and bytes of either; bins of a histogram.
+CHUNK, BLOCK, BLOCK_BYTES, BINS = 4096, 512, 4 << 20, 2048
+#: Bytes of all queries up to which they are broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
 def _chunks(vectors: DataFrame) -> DataFrame:
@@ -39,8 +45,9 @@ def _chunks(vectors: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for dim, part in pdf.groupby(pdf["v"].map(len), sort=True):
-                for at in range(0, len(part), CHUNK):
-                    rows = part.iloc[at : at + CHUNK]
+                size = max(1, min(CHUNK, BLOCK_BYTES // (8 * max(1, dim))))
+                for at in range(0, len(part), size):
+                    rows = part.iloc[at : at + size]
                     data = np.vstack(rows["v"].to_numpy()).astype(np.int64) if dim else np.zeros((len(rows), 0), np.int64)
                     yield pd.DataFrame({"dim": [dim], "ids": [rows["id"].to_numpy(np.int64).tobytes()], "data": [data.tobytes()]})
 
@@ -61,12 +68,14 @@ def _scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return q @ v.T
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The k best of ``vectors`` (id, v: array<long>) for each of ``queries`` (id, v): query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
-    n_queries, reach = queries.agg(F.count("*"), F.max(F.expr("aggregate(v, 0d, (a, x) -> a + abs(x))"))).first()
+    queries = queries.groupBy("id").agg(F.min("v").alias("v"))
+    n_queries, dim, reach = queries.agg(F.count("*"), F.max(F.size("v")), F.max(F.expr("aggregate(v, 0d, (a, x) -> a + abs(x))"))).first()
     (highest,) = vectors.agg(F.max(F.expr("aggregate(v, 0d, (a, x) -> greatest(a, abs(x)))"))).first()
-    n_blocks = max(1, -(-n_queries // BLOCK))
+    query_bytes = 8 * (dim or 0) + 64
+    n_blocks = max(1, -(-n_queries // max(1, min(BLOCK, BLOCK_BYTES // query_bytes))))
     limit = int(min((reach or 0) * (highest or 0), 2.0**62)) + 1
 
     blocked = queries.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block"))
@@ -76,25 +85,34 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             "block long, q_ids binary, q_data binary, q_dim int",
         )
     )
-    chunks = _chunks(vectors).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    small = n_queries * query_bytes <= broadcast_bytes
+    parts = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // n_blocks)
+    chunks = _chunks(vectors).withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts))).withColumn("block", every(n_blocks))
 
     def scored(state: DataFrame, fold, schema: str) -> DataFrame:
         """``fold`` over the pairs of a block of queries, with the state of each, and a chunk."""
-        packed = state.groupBy("block").agg(F.collect_list(F.struct("id", "low", "width", "wanted")).alias("state"))
-        return chunks.join(F.broadcast(q.join(packed, "block")) if n_queries * 600 < 8 << 20 else q.join(packed, "block"), "block").mapInPandas(fold, schema)
+        packed = q.join(state.groupBy("block").agg(F.collect_list(F.struct("id", "low", "width", "wanted")).alias("state")), "block")
+        if small:
+            return chunks.join(F.broadcast(packed), "block").mapInPandas(fold, schema)
+        return chunks.join(packed.withColumn("part", every(parts)), ["block", "part"]).mapInPandas(fold, schema)
 
     #: A query's range of scores, bins of ``width`` from ``low`` on; ``wanted``: how many of its best lie in this range.
     width = 1
     while width * BINS < 2 * limit + 1:
         width *= BINS
     state = blocked.select("block", "id", F.lit(-limit).cast("long").alias("low"), F.lit(width).cast("long").alias("width"), F.lit(k).alias("wanted"))
+    held = None
     while True:
         counted = scored(state, _count(k), "block long, id long, low long, width long, wanted int, bin int, n long")
         summed = counted.groupBy("block", "id", "low", "width", "wanted", "bin").agg(F.sum("n").alias("n"))
         above = Window.partitionBy("block", "id").orderBy(F.desc("bin"))
         found = summed.withColumn("upto", F.sum("n").over(above)).withColumn("least", F.min("bin").over(Window.partitionBy("block", "id")))
-        held = found.where("upto >= wanted and upto - n < wanted or bin = least and upto < wanted")
-        state = materialise(held.select("block", "id", (F.col("low") + F.col("bin") * F.col("width")).alias("low"), F.lit(max(1, width // BINS)).cast("long").alias("width"), (F.col("wanted") - F.col("upto") + F.col("n")).cast("int").alias("wanted")))
+        chosen = found.where("upto >= wanted and upto - n < wanted or bin = least and upto < wanted")
+        state = materialise(chosen.select("block", "id", (F.col("low") + F.col("bin") * F.col("width")).alias("low"), F.lit(max(1, width // BINS)).cast("long").alias("width"), (F.col("wanted") - F.col("upto") + F.col("n")).cast("int").alias("wanted")))
+        if held is not None:
+            released(held)
+        held = state
         if width == 1:
             break
         width //= BINS
@@ -160,3 +178,13 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     finite = F.expr("x is not null and not exists(x, e -> e is null or isnan(e) or abs(e) = double('infinity'))")
     vectors = rows.where(F.col("id").isNotNull() & finite).select("id", F.expr("transform(x, e -> cast(floor(256 * e) as long))").alias("v"))
     return top_k(vectors, vectors.where("id % 50 = 0"), k=5)
+
+
+#: The same by scoring all pairs; vectors of equal length with finite components, as the table has.
+ORACLE = """
+WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(CAST(x AS DOUBLE))]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
