@@ -6,8 +6,10 @@ waits in the pool of the smallest tier that holds it. A tier is packed longest p
 first, and the gap behind each piece is filled from shorter pieces: best fit while
 one fits, then the head of a short piece, whose rest goes back to its pool. So a
 sequence is as long as its tier, a power of two, and needs no padding; only the last
-pieces of a partition are cut into shorter powers of two. Sequences of a tier are dealt
-to step groups of equal token count in snake order of their attention cost.
+pieces of a partition are cut into shorter powers of two. Sequences wait until they fill
+whole step groups of their tier: groups of ``STEP_TOKENS`` tokens each, dealt in snake order
+of attention cost. What is left at a partition's end fills groups of mixed tiers; only the
+last of them can have fewer tokens.
 
 Each partition packs what it reads, a bounded pool at a time: no shuffle, and a lost
 task yields the same pieces again.
@@ -54,7 +56,8 @@ class WordEncoder:
     neighbours, go to the tokenizer whole.
     """
 
-    KEEP = 400_000
+    #: Words that are kept in a generation, and the bytes of the longest of them. A word that isn't met in one goes with it.
+    KEEP, KEEP_BYTES = 80_000, 64
 
     def __init__(self, path: str):
         import regex
@@ -70,12 +73,15 @@ class WordEncoder:
 
         class Words(dict):
             def __missing__(self, word: bytes) -> bytes:
-                if len(self) > encoder.KEEP:
-                    self.clear()
-                self[word] = ids = encoder.word(word.decode())
+                ids = encoder.older.get(word) or encoder.word(word.decode())
+                if len(word) <= encoder.KEEP_BYTES:
+                    if len(self) >= encoder.KEEP:
+                        encoder.older = dict(self)
+                        self.clear()
+                    self[word] = ids
                 return ids
 
-        self.known = Words()
+        self.known, self.older = Words(), {}
 
     def word(self, word: str) -> bytes:
         if word.isascii() and word.isalpha():
@@ -109,15 +115,18 @@ class Packer:
         self.base = self.sequences = self.groups = partition << 40
         #: Per tier, (length, -arrival, doc_id, start, ids of the document) in rising order.
         self.pools: list[list[tuple]] = [[] for _ in tiers]
+        #: Per length, whole sequences (lists of pieces) that wait for a step group.
+        self.ready: dict[int, list[list[tuple]]] = {}
         self.held = self.arrivals = 0
 
     def add(self, doc_id: int, ids: bytes) -> list[tuple]:
-        n, start, top = len(ids) // 4, 0, self.tiers[-1]
-        done = []
+        n, start, top, rows = len(ids) // 4, 0, self.tiers[-1], []
         while n - start >= top:
-            done.append((top, [(top, 0, doc_id, start, ids)]))
+            self.ready.setdefault(top, []).append([(top, 0, doc_id, start, ids)])
+            self.held += top
             start += top
-        rows = self.emit(done)
+            if self.held >= self.pool_tokens:
+                rows += self.pack(last=False)
         if n > start:
             self.hold((n - start, self.next(), doc_id, start, ids))
         if self.held >= self.pool_tokens:
@@ -138,7 +147,7 @@ class Packer:
     def pack(self, last: bool) -> list[tuple]:
         for pool in self.pools:
             pool.sort()
-        done, rest = [], []
+        rest = []
         for level in range(len(self.tiers) - 1, -1, -1):
             while self.pools[level]:
                 room = self.tiers[level]
@@ -149,14 +158,16 @@ class Packer:
                 if room:
                     rest += pieces
                 else:
-                    done.append((self.tiers[level], pieces))
-        rows = self.emit(done)
+                    self.ready.setdefault(self.tiers[level], []).append(pieces)
         self.held = 0
         if last:
-            rows += self.emit(self.split(rest))
+            for size, pieces in self.split(rest):
+                self.ready.setdefault(size, []).append(pieces)
         else:
             for item in rest:
                 self.hold(item)
+        rows = self.deal(last)
+        self.held += sum(size * len(waiting) for size, waiting in self.ready.items())
         return rows
 
     def take(self, room: int, level: int) -> tuple | None:
@@ -192,23 +203,38 @@ class Packer:
             done.append((size, pieces))
         return done
 
-    def emit(self, done: list[tuple[int, list[tuple]]]) -> list[tuple]:
-        rows = []
-        by_tier: dict[int, list[list[tuple]]] = {}
-        for tier, pieces in done:
-            by_tier.setdefault(tier, []).append(pieces)
-        for tier, sequences in sorted(by_tier.items()):
+    def deal(self, last: bool) -> list[tuple]:
+        """Rows of the sequences that fill step groups, those of least attention cost waiting on; at the end, of all."""
+        rows, left = [], []
+        for size, sequences in sorted(self.ready.items()):
             sequences.sort(key=lambda pieces: -sum(x[0] ** 2 for x in pieces))
-            n = -(-len(sequences) * tier // self.step_tokens)
-            for k, pieces in enumerate(sequences):
+            each = max(1, self.step_tokens // size)
+            n = len(sequences) // each
+            for k, pieces in enumerate(sequences[: n * each]):
                 turn, place = divmod(k, n)
-                group = self.groups + (n - 1 - place if turn % 2 else place)
-                offset = 0
-                for length, _, doc_id, start, ids in pieces:
-                    rows.append((doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), len(ids) // 4, self.sequences, offset, tier, group))
-                    offset += length
-                self.sequences += 1
+                rows += self.emit(size, pieces, self.groups + (n - 1 - place if turn % 2 else place))
             self.groups += n
+            left += [(size, pieces) for pieces in sequences[n * each :]]
+        self.ready = {}
+        if not last:
+            for size, pieces in left:
+                self.ready.setdefault(size, []).append(pieces)
+            return rows
+        room = 0
+        for size, pieces in reversed(left):  # longest first: powers of two fill a group without a gap
+            if room < size:
+                self.groups += 1
+                room = self.step_tokens
+            rows += self.emit(size, pieces, self.groups - 1)
+            room -= size
+        return rows
+
+    def emit(self, size: int, pieces: list[tuple], group: int) -> list[tuple]:
+        rows, offset = [], 0
+        for length, _, doc_id, start, ids in pieces:
+            rows.append((doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), len(ids) // 4, self.sequences, offset, size, group))
+            offset += length
+        self.sequences += 1
         return rows
 
 
