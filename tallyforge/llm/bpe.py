@@ -10,7 +10,8 @@ paths agree on them, after a lookahead bounded by the longest token.
 
 Cases: null and empty texts have no ids; a text is encoded whole however long it is; equal
 rows are encoded each for itself; no rows give no rows; other columns are not read. Ids
-that do not decode to UTF-8 give U+FFFD for each maximal invalid part.
+that do not decode to UTF-8 give U+FFFD for each maximal invalid part. All that is kept from
+text to text (states, pieces, chunks) is bounded in number and in the bytes of each.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 class Transducer:
     """Bytes to token ids by the merge ranks; ``encode`` runs over one piece of text."""
 
-    #: States that are kept; beyond that the machine starts anew, so memory is bounded.
-    MOST_STATES = 200_000
+    #: States, and pairs of tokens, that are kept; beyond that the machine forgets all but the state that it is in.
+    MOST_STATES, MOST_PAIRS = 200_000, 1_000_000
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -56,15 +57,19 @@ class Transducer:
                     node_count += 1
                 node = nxt
             self.ends[node] = rank
-        self.restart()
-
-    def restart(self) -> None:
         #: A state: paths (tokens not emitted yet, last token or -1, trie node).
-        start = (((), -1, 0),)
-        self.number = {start: 0}
-        self.paths = [start]
+        self.number: dict[tuple, int] = {}
+        self.paths: list[tuple] = []
         self.step: dict[int, tuple[int, bytes]] = {}
         self.final: dict[int, bytes] = {}
+        self.restart()
+
+    def restart(self, *keep: tuple) -> None:
+        """Forget all states but the first, and ``keep``, which follows it."""
+        for known in (self.number, self.paths, self.step, self.final):
+            known.clear()
+        self.paths += [(((), -1, 0),), *keep]
+        self.number.update((paths, k) for k, paths in enumerate(self.paths))
 
     def merge(self, data: bytes) -> list[int]:
         """The ids by merging the pair of lowest rank, leftmost first, again and again."""
@@ -99,7 +104,7 @@ class Transducer:
         key = left << 20 | right
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) >= self.MOST_PAIRS:
                 self.pairs.clear()
             self.halves(right)
             known = self.made[right] and (left < 0 or self.kept_apart(left, right))
@@ -120,6 +125,9 @@ class Transducer:
                 return True
 
     def advance(self, state: int, byte: int) -> tuple[int, bytes]:
+        if len(self.paths) >= self.MOST_STATES and state:
+            self.restart(self.paths[state])
+            state = 1
         after, child, ends, inner, pairs = [], self.child, self.ends, self.inner, self.pairs
         for pending, last, node in self.paths[state]:
             nxt = child.get(node << 8 | byte)
@@ -157,8 +165,6 @@ class Transducer:
 
     def encode(self, data: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if len(self.paths) > self.MOST_STATES:
-            self.restart()
         state, out, step = 0, [], self.step
         for byte in data:
             known = step.get(state << 8 | byte)
@@ -172,7 +178,8 @@ class Transducer:
 class ByteBpe:
     """A vocabulary of ranks, with the pattern that splits a text first."""
 
-    KEEP = 300_000
+    #: Pieces and chunks that are kept, and the characters of the longest.
+    KEEP, KEEP_CHARS = 300_000, 48
 
     def __init__(self, path: str, pattern: str):
         import regex
@@ -189,23 +196,24 @@ class ByteBpe:
 
         class Pieces(dict):
             def __missing__(self, piece: str) -> bytes:
-                if len(self) > codec.KEEP:
-                    self.clear()
                 data = piece.encode()
                 rank = codec.ranks.get(data)
-                self[piece] = ids = codec.machine.encode(data) if rank is None else rank.to_bytes(4, "little")
-                return ids
+                return codec.keep(self, piece, codec.machine.encode(data) if rank is None else rank.to_bytes(4, "little"))
 
         class Chunks(dict):
             def __missing__(self, chunk: str) -> bytes:
-                if len(self) > codec.KEEP:
-                    self.clear()
-                self[chunk] = ids = b"".join(map(pieces.__getitem__, codec.split(f" {chunk}")))
-                return ids
+                return codec.keep(self, chunk, b"".join(map(pieces.__getitem__, codec.split(f" {chunk}"))))
 
         self.pieces = pieces = Pieces()
         self.chunks = Chunks()
 
+    def keep(self, known: dict[str, bytes], text: str, ids: bytes) -> bytes:
+        if len(text) <= self.KEEP_CHARS:
+            if len(known) >= self.KEEP:
+                known.clear()
+            known[text] = ids
+        return ids
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers. A text is cut before its spaces, where the pattern cuts too, so that each chunk is split and encoded once."""
         if self.uneven(text):
@@ -241,36 +249,78 @@ def _utf8_table() -> np.ndarray:
 
 
 class Utf8Stream:
-    """Incremental UTF-8: bytes in any cut, text out, with at most three bytes held back."""
+    """Incremental UTF-8: bytes in any cut, text out, with at most three bytes held back.
+
+    ASCII stands between characters in any state, so the machine runs over the bytes beyond it, each distinct run of them once.
+    """
 
     TABLE = [row.tolist() for row in _utf8_table()]
+    RUNS = re.compile(rb"[\x80-\xff]+")
+
+    @staticmethod
+    @functools.lru_cache(4096)
+    def after(run: bytes) -> int:
+        """The machine's state after a run."""
+        state = 0
+        for byte in run:
+            state = Utf8Stream.TABLE[state][byte]
+            if state == 8:
+                break
+        return state
 
     def __init__(self) -> None:
         self.held = b""
 
     def feed(self, data: bytes) -> str:
-        """The characters that are whole by now. Only the last three bytes can belong to one that is not."""
+        """The characters that are whole by now; each longest part that can't be one is U+FFFD."""
         data = self.held + data
-        for back in range(1, min(3, len(data)) + 1):
-            lead = data[-back]
-            if lead < 0x80:
-                break
-            if lead >= 0xC0:
-                state = 0
-                for byte in data[-back:]:
-                    state = self.TABLE[state][byte]
-                    if state == 0 or state == 8:
-                        break
-                if 0 < state < 8:
-                    self.held = data[-back:]
-                    return data[:-back].decode("utf-8", "replace")
-                break
         self.held = b""
-        return data.decode("utf-8", "replace")
+        if data.isascii():
+            return data.decode("ascii")
+        runs = self.RUNS.findall(data)
+        last = runs.pop() if data[-1] >= 0x80 else b""
+        if self.after(last) < 8 and not any(map(self.after, set(runs))):
+            if self.after(last):
+                start = max(last.rfind(lead) for lead in self.LEADS if lead in last[-3:])
+                self.held = last[start:]
+            return data[: len(data) - len(self.held)].decode("utf-8")
+        return self.repaired(data)
+
+    #: Bytes that begin a character of several.
+    LEADS = [bytes([x]) for x in range(0xC2, 0xF5)]
+
+    def repaired(self, data: bytes) -> str:
+        out, at = [], 0
+        for run in self.RUNS.finditer(data):
+            start, end = run.span()
+            out.append(data[at:start].decode("ascii"))
+            at = end
+            state, whole = 0, start  # all before ``whole`` is put out; the character that is open begins at ``start``
+            k = start
+            while k < end:
+                state, before = self.TABLE[state][data[k]], state
+                if not state:
+                    start = k = k + 1
+                elif state < 8:
+                    k += 1
+                else:  # what is open by now is no character, nor is this byte, if nothing is
+                    out += (data[whole:start].decode("utf-8"), "\ufffd")
+                    k += not before
+                    whole = start = k
+                    state = 0
+            out.append(data[whole:start].decode("utf-8"))
+            if state:
+                if end == len(data):
+                    self.held = data[start:]
+                else:
+                    out.append("\ufffd")
+        out.append(data[at:].decode("ascii"))
+        return "".join(out)
 
     def close(self) -> str:
+        """The end of the bytes: what is held back can't become a character any more."""
         held, self.held = self.held, b""
-        return held.decode("utf-8", "replace")
+        return "\ufffd" if held else ""
 
 
 @functools.cache
