@@ -7,8 +7,10 @@ sends a text to K(text, landmarks) K(landmarks, landmarks)^-1/2. On it, one ridg
 regression a language (one against the rest) is solved in closed form. Scoring is a
 presence matrix of a batch of whole texts times landmarks, times map, times weights.
 
-Trained on a bounded sample: ``TRAIN`` texts a language at most, of each the first
-``TRAIN_BYTES`` bytes, of which ``LANDMARKS`` are landmarks. Scored texts are always whole.
+Trained on a bounded sample: ``TRAIN`` whole texts a language at most, of which ``LANDMARKS``
+are landmarks. Tasks find the n-grams of each text of the sample; those of most texts are the
+features, and only which of these a text has, a bit each, comes to the driver. Scored texts
+are whole as well.
 
 Cases: null texts and texts without a letter are ``und`` with score 0; very long texts are
 scored in pieces whose presence is joined; equal rows score equally; without labelled rows
@@ -26,10 +28,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import table, utf8_parts
+from tallyforge.llm.common import materialise, released, table, utf8_parts
 
-#: Bounds of the training sample: texts a language, bytes of a text, landmarks in all; n-grams kept; ridge.
-TRAIN, TRAIN_BYTES, LANDMARKS, GRAMS, RIDGE = 400, 3000, 240, 6000, 1e-2
+#: Bounds of the training sample: texts a language, landmarks in all; n-grams kept; ridge.
+TRAIN, LANDMARKS, GRAMS, RIDGE = 400, 240, 6000, 1e-2
+#: Bytes of a text that are looked at together.
+PIECE = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -44,22 +48,24 @@ def _codes(data: np.ndarray) -> list[np.ndarray]:
     return [x, two, three]
 
 
+def _distinct_codes(data: np.ndarray) -> np.ndarray:
+    """The n-grams of a text, each once; long texts in pieces that overlap by an n-gram."""
+    found = [np.unique(np.concatenate(_codes(data[at : at + PIECE + 2]))) for at in range(0, max(len(data), 1), PIECE)]
+    return np.unique(np.concatenate(found))
+
+
 class KernelModel:
-    def __init__(self, texts: list[bytes], labels: list[str]):
+    """``grams``: numbers of the n-grams that are features, sorted; ``present``: which of them each text of the sample has; ``labels``: its language."""
+
+    def __init__(self, grams: np.ndarray, present: np.ndarray, labels: list[str]):
         self.languages = sorted(set(labels))
-        order = np.random.default_rng(9).permutation(len(texts))
-        seen = [np.unique(np.concatenate([c for c in _codes(np.frombuffer(t, np.uint8))])) for t in texts]
-        codes, counts = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, int), np.zeros(0, int))
-        top = np.sort(codes[np.lexsort((codes, -counts))[:GRAMS]])
-        self.index = np.full(256 + 65536 + (1 << 24), len(top), np.uint16)
-        self.index[top] = np.arange(len(top))
-        self.size = len(top)
-        if not texts:
+        self.index = np.full(256 + 65536 + (1 << 24), len(grams), np.uint16)
+        self.index[grams] = np.arange(len(grams))
+        self.size = len(grams)
+        if not labels:
             return
-        rows = np.zeros((len(texts), self.size + 1), np.float32)
-        for i, s in enumerate(seen):
-            rows[i, self.index[s]] = 1
-        rows = self.unit(rows)
+        order = np.random.default_rng(9).permutation(len(labels))
+        rows = self.unit(present.astype(np.float32))
         self.landmarks = rows[order[:LANDMARKS]]
         values, vectors = np.linalg.eigh((self.landmarks @ self.landmarks.T).astype(np.float64))
         keep = values > 1e-6 * values.max()
@@ -75,11 +81,14 @@ class KernelModel:
         return rows / np.maximum(np.sqrt(rows.sum(1, keepdims=True)), 1)
 
     def presence(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """A row of 0 and 1 for each text, and a last column for n-grams that are no features."""
         n = len(off) - 1
         flat = np.zeros(n * (self.size + 1), np.float32)
-        if len(data):
-            text = np.repeat(np.arange(n) * (self.size + 1), np.diff(off))
-            for k, codes in enumerate(_codes(data)):
+        for start in range(0, len(data), PIECE):
+            some = data[start : start + PIECE + 2]
+            lo, hi = int(np.searchsorted(off, start, "right")) - 1, int(np.searchsorted(off, start + len(some)))
+            text = np.repeat(np.arange(lo, hi) * (self.size + 1), np.diff(np.clip(off[lo : hi + 1], start, start + len(some))))
+            for k, codes in enumerate(_codes(some)):
                 base = text[: len(codes)]
                 at = base + self.index[codes]
                 flat[at if not k else at[base == text[k:]]] = 1
@@ -93,15 +102,48 @@ class KernelModel:
         return e / e.sum(1, keepdims=True)
 
 
-def train(docs: DataFrame, per_language: int = TRAIN, text_bytes: int = TRAIN_BYTES) -> KernelModel:
-    """A model of a bounded sample of ``docs`` (doc_id, text, lang): those of least hash in each language."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.where("lang is not null and text is not null and trim(text) <> ''").select("doc_id", "lang")
-    # a bounded number a task and language first, then of those the same number a language
-    picked = ids.withColumn("part", F.spark_partition_id()).withColumn("r", F.row_number().over(Window.partitionBy("part", "lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("r") <= per_language)
-    picked = picked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("doc_id").distinct()
-    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", F.substring("text", 1, text_bytes).alias("text"), "lang").orderBy("doc_id", "text").collect()
-    return KernelModel([r.text.encode()[:text_bytes] for r in rows], [r.lang for r in rows])
+def least_hashes(rows: DataFrame, label: str, each: int) -> DataFrame:
+    """Of ``rows`` (doc_id and ``label``, a column of few values), those of least hash of the id, ``each`` of a label.
+
+    The labels are counted first; a threshold on the hash then leaves about twice as many rows as are wanted, all over the table, and
+    only these are ranked. A label with fewer than ``each`` above that (the chance is under 1e-20) would give those it has.
+    """
+    h = F.xxhash64("doc_id")
+    counts = rows.groupBy(label).count().collect()
+    if not counts:
+        return rows
+    scale = float(1 << 63)
+    most = lambda n: int(min(1.0, (2 * each + 200) / n) * 2 * scale - scale) if (2 * each + 200) < n else (1 << 63) - 1
+    below = F.create_map(*(F.lit(x) for r in counts for x in (r[label], most(r["count"]))))
+    few = rows.where(h <= F.try_element_at(below, F.col(label)))
+    order = Window.partitionBy(label).orderBy(h, "doc_id")
+    return few.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= each).drop("_rank")
+
+
+def _sample_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        codes = [_distinct_codes(data[a:b]) for _, _, data, off in utf8_parts(batch.column(2)) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.list_(pa.int32()))], names=["doc_id", "lang", "codes"])
+
+
+def train(docs: DataFrame, per_language: int = TRAIN) -> KernelModel:
+    """A model of a bounded sample of ``docs`` (doc_id, text, lang): those of least hash in each language. Of rows that share an id and a language one is taken."""
+    ids = docs.where("lang is not null and doc_id is not null and text is not null and trim(text) <> ''").select("doc_id", "lang").distinct()
+    picked = least_hashes(ids, "lang", per_language)
+    texts = docs.join(F.broadcast(picked), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("doc_id", "lang", "text")
+    sample = materialise(texts.mapInArrow(_sample_codes, "doc_id long, lang string, codes array<int>"))
+    grams = sample.select(F.explode("codes").alias("code")).groupBy("code").count().orderBy(F.desc("count"), "code").limit(GRAMS).collect()
+    grams = np.sort(np.array([r.code for r in grams], np.int64))
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.packbits(np.isin(grams, np.asarray(x.values))).tobytes() for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["doc_id", "lang", "present"])
+
+    rows = sample.mapInArrow(bits, "doc_id long, lang string, present binary").orderBy("doc_id", "lang").collect()
+    released(sample)
+    present = np.array([np.unpackbits(np.frombuffer(r.present, np.uint8))[: len(grams)] for r in rows], np.uint8).reshape(len(rows), len(grams))
+    return KernelModel(grams, present, [r.lang for r in rows])
 
 
 def predict(docs: DataFrame, model: KernelModel) -> DataFrame:

@@ -7,7 +7,9 @@ text's probability is the logistic of the evidence of its chunks, weighted by th
 every byte of the text takes part. Trained by gradient descent (Adam) on the log loss.
 
 Trained on a bounded sample: ``TRAIN`` labelled texts of each label at most, and of each
-text ``TRAIN_CHUNKS`` chunks a pass, drawn anew. Scored texts are always whole.
+text ``KEPT_CHUNKS`` chunks, spread evenly over the whole of it and cut out by the tasks that
+read it, of which each pass draws ``TRAIN_CHUNKS``. So the driver gets some 20 MB at most.
+Scored texts are always whole.
 
 Cases: null and empty texts are one empty chunk (the zero vector in each place) and get its
 score; very long texts are scored a few MB at a time; equal rows score equally; without
@@ -21,15 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import table, utf8_parts
-from tallyforge.llm.langid import held_out
+from tallyforge.llm.langid import held_out, least_hashes
 
 CHUNK, OVERLAP, WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 512, 64, 8, 3, 6, 24, 16
-#: Bounds of the training sample: texts a label, chunks of a text in a pass, passes.
-TRAIN, TRAIN_CHUNKS, PASSES = 1200, 4, 12
+#: Bounds of the training sample: texts a label, chunks of a text, of those in a pass, passes.
+TRAIN, KEPT_CHUNKS, TRAIN_CHUNKS, PASSES = 1200, 8, 4, 12
 #: A text is accepted from this probability on.
 ACCEPTED = 0.3
 _AT = (np.arange(0, CHUNK - WIDTH + 1, STRIDE)[:, None] + np.arange(WIDTH)).ravel()
@@ -92,11 +94,11 @@ class ByteNet:
         g["embed"][256] = 0
         return g
 
-    def fit(self, texts: list[bytes], labels: np.ndarray) -> ByteNet:
+    def fit(self, texts: list[np.ndarray], labels: np.ndarray) -> ByteNet:
+        """``texts``: the chunks of each, as rows of byte numbers."""
         rng = np.random.default_rng(66)
         share = np.clip(labels.mean(), 0.02, 0.98)
         balance = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
-        arrays = [np.frombuffer(t, np.uint8) for t in texts]
         mean = {k: np.zeros_like(v) for k, v in self.p.items()}
         square = {k: np.zeros_like(v) for k, v in self.p.items()}
         step = 0
@@ -105,9 +107,8 @@ class ByteNet:
             for at in range(0, len(order), 32):
                 docs, parts, owner = order[at : at + 32], [], []
                 for i, d in enumerate(docs):
-                    starts = chunk_starts(len(arrays[d]))
-                    some = rng.choice(starts, min(TRAIN_CHUNKS, len(starts)), replace=False)
-                    parts.append(_chunks(arrays[d], 0, len(arrays[d]), some))
+                    some = rng.choice(len(texts[d]), min(TRAIN_CHUNKS, len(texts[d])), replace=False)
+                    parts.append(texts[d][some].astype(np.int32))
                     owner += [i] * len(some)
                 x, owner = np.concatenate(parts), np.array(owner)
                 evidence, kept = self.forward(x, keep=True)
@@ -157,16 +158,29 @@ class ByteNet:
         return 1 / (1 + np.exp(-total / np.maximum(weight, 1)))
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, quality, chunks) of (doc_id, quality, text): chunks spread over the whole text, as 16-bit byte numbers."""
+    for batch in batches:
+        cut = []
+        for _, _, data, off in utf8_parts(batch.column(2)):
+            for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+                starts = chunk_starts(b - a)
+                some = starts[np.unique(np.linspace(0, len(starts) - 1, KEPT_CHUNKS).astype(int))]
+                cut.append(_chunks(data, a, b, some).astype("<u2").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cut, pa.binary())], names=["doc_id", "quality", "chunks"])
+
+
 def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN) -> ByteNet:
     """A network fitted on a bounded sample: of ``docs`` (doc_id, text), those of least hash among each label of ``labels`` (doc_id, quality)."""
-    marked = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long"), "quality")
-    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").partitionBy("part", "quality")
-    picked = marked.withColumn("part", F.spark_partition_id()).withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_label)
-    picked = picked.withColumn("part", F.lit(0)).withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_label).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality").orderBy("doc_id").collect()
+    marked = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
+    picked = least_hashes(marked, "quality", per_label)
+    # rows that share an id come to at most so many again; of those the least texts are taken
+    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", F.col("text").cast("string"))
+    chunks = rows.mapInArrow(_spread, "doc_id long, quality int, chunks binary")
+    found = chunks.groupBy("doc_id", "quality").agg(F.min("chunks").alias("chunks")).orderBy("doc_id").collect()
     net = ByteNet()
-    y = np.array([r.quality for r in rows], float)
-    return net.fit([(r.text or "").encode() for r in rows], y) if len(set(y)) == 2 else net
+    y = np.array([r.quality for r in found], float)
+    return net.fit([np.frombuffer(r.chunks, "<u2").reshape(-1, CHUNK) for r in found], y) if len(set(y)) == 2 else net
 
 
 def score_quality(docs: DataFrame, net: ByteNet) -> DataFrame:
