@@ -30,20 +30,18 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import table
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?][^>]*(?:>|\Z)"
-    r"|</?[a-zA-Z][^<>]*(?:\Z|(?=<)|>)",
-    re.S | re.I,
-)
-#: Elements left out with all they hold, if they are closed; in the first no tags are read.
-RAW = frozenset("title textarea iframe noscript".split())
-LEFT_OUT = frozenset("template object svg math canvas select button audio video".split())
-RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
+#: What may begin at a ``<``: a comment, a script or style, a tag with its attributes, a declaration. Nothing in it is tried twice.
+COMMENT_END = re.compile(r"-->|\Z")
+OPENED = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+ATTRIBUTES = re.compile(r"(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>")
+LOST = re.compile(r"[^<>]*+>?")
+#: Elements left out with all they hold, if they are closed; in the first no tags are read, and two of them run to the page's end otherwise.
+RAW = frozenset("script style title textarea iframe noscript".split())
+TO_THE_END = frozenset("script style".split())
+LEFT_OUT = frozenset("template desc canvas select button audio video".split())
+RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input meta link base label".split())
+INLINE = frozenset("math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle semantics annotation svg g text tspan path circle rect line polyline polygon ellipse use defs symbol object param a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input meta link base label".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements, and words in class, id or role, that tell of what stands around an article.
 AROUND = frozenset("nav aside footer".split())
@@ -94,30 +92,70 @@ class Block:
     signs: list[Sign] = field(default_factory=list)
 
 
-def tokens(page: str) -> list[tuple[int, int, re.Match]]:
-    """Start, end and match of each tag, comment or left-out element; of elements that aren't closed, only the tag."""
-    found: list[tuple[int, int, re.Match]] = []
+@dataclass
+class Token:
+    """A tag, comment or left-out element: where it begins and ends, its element's name, if it is a tag, and its attributes."""
+
+    start: int
+    end: int
+    name: str = ""
+    closing: bool = False
+    attributes: str = ""
+
+
+class Reader:
+    """The tags and comments of a page from ``at`` on, one by one, in one pass: a tag that is never closed is lost up to the next one, and is looked for once."""
+
+    def __init__(self, page: str):
+        self.page, self.at, self.last, self.broken = page, 0, page.rfind(">"), False
+
+    def __iter__(self) -> Iterator[Token]:
+        page = self.page
+        while (at := page.find("<", self.at)) >= 0:
+            self.at = at + 1
+            if page.startswith("<!--", at):
+                token = Token(at, COMMENT_END.search(page, at + 4).end())
+            elif m := OPENED.match(page, at):
+                rest = None if self.broken or at > self.last else ATTRIBUTES.match(page, m.end())
+                # a quote is open to the page's end: from here on tags end at the next bracket
+                self.broken |= rest is None and at <= self.last
+                end = rest.end() if rest else LOST.match(page, m.end()).end()
+                whole = page[end - 1] == ">"
+                token = Token(at, end, m[2].lower() if whole else "", bool(m[1]), page[m.end() : end - 1] if whole else "")
+            elif page.startswith(("!", "?"), at + 1):
+                token = Token(at, page.find(">", at) + 1 or len(page))
+            else:
+                continue
+            self.at = token.end
+            yield token
+
+
+def tokens(page: str) -> list[Token]:
+    """The tags of a page, with each element that is left out as one token; of those that aren't closed, only the tag."""
+    found: list[Token] = []
     opened: dict[str, list[int]] = {}
     endless: set[str] = set()
-    at = 0
-    while m := TOKEN.search(page, at):
-        at = m.end()
-        name = (m[3] or "").lower()
-        ends, closed = bool(m[2]), (m[4] or "").endswith("/")
-        if name in RAW and not ends and not closed and name not in endless:
-            if end := RAW_ENDS[name].search(page, at):
-                at = end.end()
+    reader = Reader(page)
+    for token in reader:
+        name = token.name
+        closed = token.attributes.endswith("/")
+        if name in RAW and not token.closing and not closed and name not in endless:
+            if (end := RAW_ENDS[name].search(page, token.end)) and (after := page.find(">", end.end())) >= 0:
+                reader.at = token.end = after + 1
+            elif name in TO_THE_END:
+                reader.at = token.end = len(page)
             else:
                 endless.add(name)
-        found.append((m.start(), at, m))
+        found.append(token)
         if name in LEFT_OUT and not closed:
-            if not ends:
+            if not token.closing:
                 if name in ("button", "select"):  # these don't nest: one that is still open has no end
                     opened.pop(name, None)
                 opened.setdefault(name, []).append(len(found) - 1)
             elif opened.get(name):
                 first = opened[name].pop()
-                found[first:] = [(found[first][0], at, found[first][2])]
+                found[first].end = token.end
+                del found[first + 1 :]
                 for other in opened:
                     while opened[other] and opened[other][-1] >= first:
                         opened[other].pop()
@@ -154,15 +192,14 @@ def blocks(page: str) -> list[Block]:
                 breaks = 0
 
     at, silent = 0, False
-    for start, end, m in tokens(page):
+    for token in tokens(page):
         if not silent:
-            say(page[at:start])
-        at = end
-        name = (m[3] or "").lower()
-        silent = name == "option" and not m[2]
+            say(page[at : token.start])
+        at, name = token.end, token.name
+        silent = name == "option" and not token.closing
         if not name or name == "option" or name in RAW or name in LEFT_OUT:
             continue
-        ends = bool(m[2])
+        ends = token.closing
         if name == "a":
             links = 0 if ends else 1
         elif name == "br":
@@ -187,7 +224,7 @@ def blocks(page: str) -> list[Block]:
                 if name in ("p", "li", "dd", "dt", *HEADINGS) and stack and stack[-1][0] in ("p", "li", "dd", "dt", *HEADINGS):
                     if stack[-1][0] == "p" or stack[-1][0] == name:
                         stack.pop()
-                stack.append((name, *_signs(name, m[4], any(x[2] for x in stack))))
+                stack.append((name, *_signs(name, token.attributes, any(x[2] for x in stack))))
                 if name in WITHIN and not stack[-1][3]:
                     for x in stack[:-1]:
                         if x[3]:
