@@ -2,8 +2,8 @@
 
 A signature is a common word (an anchor) with the next two content words after it. Words
 are runs of letters and digits in lower case; of neighbouring anchors the last counts. A
-text's fingerprint is the set of its signatures, each as 32 bits, in rising order; a text
-without a signature shows its words instead, one without words itself.
+text's fingerprint is the set of its signatures, each as the first 32 bits of its MD5, in
+rising order; a text without a signature shows its words instead, one without words itself.
 
 Likeness is the Jaccard similarity of two fingerprints. ``similar_documents`` joins a whole
 table: fingerprints are partitioned by set length, so that a set meets only partitions whose
@@ -40,6 +40,11 @@ def _anchor_pattern() -> str:
     return "|".join(f"{x}(?:{'|'.join(sorted(rest, reverse=True))})" for x, rest in letters.items())
 
 
+def _digest(x: Column) -> Column:
+    """The first 32 bits of the MD5, as an integer of the same order."""
+    return (F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long") - (1 << 31)).cast("int")
+
+
 def with_signatures(docs: DataFrame, text: str, out: str) -> DataFrame:
     """``docs`` with the fingerprint of a text column as array<int>, sorted and distinct. In steps, so that none is computed twice."""
     plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]++", " ")))
@@ -47,9 +52,9 @@ def with_signatures(docs: DataFrame, text: str, out: str) -> DataFrame:
     marked = F.split(F.regexp_replace(F.col("_plain"), f" ({_anchor_pattern()})(?= |$)", "\u0001$1"), "\u0001")
     parts = F.filter(F.transform(marked, lambda p: F.split(p, " ")), lambda p, i: (i > 0) & (F.size(p) > 1))
     shifted = F.concat(F.slice("_parts", 2, F.greatest(F.size("_parts") - 1, F.lit(0))), F.array(F.array(F.lit(""), F.lit(""))))
-    chains = F.zip_with("_parts", shifted, lambda p, n: F.when(F.size(p) > 2, F.hash(p[0], p[1], p[2])).when(n[1] != "", F.hash(p[0], p[1], n[1])))
-    words = F.transform(F.filter(F.split("_plain", " "), lambda w: w != ""), lambda w: F.hash(w))
-    itself = F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(text)))
+    chains = F.zip_with("_parts", shifted, lambda p, n: F.when(F.size(p) > 2, _digest(F.concat_ws(" ", p[0], p[1], p[2]))).when(n[1] != "", _digest(F.concat_ws(" ", p[0], p[1], n[1]))))
+    words = F.transform(F.filter(F.split("_plain", " "), lambda w: w != ""), _digest)
+    itself = F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<int>")).otherwise(F.array(_digest(F.col(text))))
     return (
         docs.withColumn("_plain", plain)
         .withColumn("_parts", parts)
@@ -61,7 +66,7 @@ def with_signatures(docs: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def written(sigs: Column) -> Column:
-    return F.array_join(F.transform(sigs, lambda x: F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))), 8, "0")), "")
+    return F.array_join(F.transform(sigs, lambda x: F.lpad(F.lower(F.hex(x.cast("long") + (1 << 31))), 8, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -144,3 +149,35 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     out = materialise(compared.where(F.col("likeness") >= t).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness"))
     released(ones)
     return out
+
+
+_SQL_SETS = r"""
+{0}w AS (SELECT doc_id, text, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM {1}),
+{0}p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM {0}w WHERE w <> ['']),
+{0}q AS (SELECT *, word IN ({anchors}) AS anchor, lag(word) OVER o AS before FROM {0}p WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+{0}c AS (SELECT doc_id, before, word, lead(word) OVER o AS after FROM {0}q WHERE NOT anchor WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+{0}s AS (SELECT doc_id, before || ' ' || word || ' ' || after AS sig FROM {0}c WHERE before IN ({anchors}) AND after IS NOT NULL),
+{0}v AS (SELECT * FROM {0}s UNION ALL SELECT doc_id, word FROM {0}p WHERE doc_id NOT IN (SELECT doc_id FROM {0}s)
+    UNION ALL SELECT doc_id, text FROM {0}w WHERE w = [''] AND text <> ''),
+{0} AS (SELECT doc_id, list_sort(list_distinct(list(substr(md5(sig), 1, 8)))) AS sigs FROM {0}v GROUP BY doc_id)"""
+
+
+def _sql_sets(out: str, source: str) -> str:
+    quoted = ", ".join(f"'{w}'" for w in sorted(set(ANCHORS)))
+    return _SQL_SETS.replace("{0}", out).replace("{1}", source).replace("{anchors}", quoted).strip()
+
+
+#: The same by windows over words; ids are taken to be distinct.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, text, coalesce(lead(doc_id) OVER o, first_value(doc_id) OVER o) AS next_id, coalesce(lead(text) OVER o, first_value(text) OVER o) AS next_text
+    FROM d WINDOW o AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS (SELECT doc_id, next_id, length(text) AS n_chars, substring(text, 1, length(text) - length(text) // 3) || substring(next_text, 1, length(text) // 3) AS text FROM n),
+{_sql_sets("f", "d")},
+{_sql_sets("g", "e")},
+r AS (SELECT e.doc_id, n_chars, e.text, coalesce(f.sigs, []) AS a, coalesce(g.sigs, []) AS b, coalesce(h.sigs, []) AS c
+    FROM e LEFT JOIN f ON f.doc_id = e.doc_id LEFT JOIN g ON g.doc_id = e.doc_id LEFT JOIN f h ON h.doc_id = e.next_id)
+SELECT doc_id, n_chars, sha256(text) AS edited_sha256, array_to_string(a, '') AS fingerprint, array_to_string(b, '') AS edited_fingerprint,
+    CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0::DOUBLE ELSE CAST(len(list_intersect(a, b)) AS DOUBLE) / (len(a) + len(b) - len(list_intersect(a, b))) END AS near_edited,
+    CASE WHEN len(a) = 0 AND len(c) = 0 THEN 1.0::DOUBLE ELSE CAST(len(list_intersect(a, c)) AS DOUBLE) / (len(a) + len(c) - len(list_intersect(a, c))) END AS near_next FROM r
+"""
