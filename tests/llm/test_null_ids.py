@@ -20,6 +20,6 @@ def test_stage_keeps_rows_without_an_id(spark):
 
 def test_private_data_of_rows_without_an_id(spark):
     df = spark.createDataFrame([(None, "mail ann@mail.example.com"), (None, "card 4111 1111 1111 1111"), (1, "mail ann@mail.example.com")], "doc_id long, text string")
-    got = pii.replace_pii(df).collect()
+    got = pii.replace_pii(df, "key").collect()
     assert [r.n_entities for r in got] == [1, 1, 1] and not any("ann@" in r.text or "4111 1111" in r.text for r in got)
     assert len({r.text for r in got}) == 2

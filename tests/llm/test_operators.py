@@ -166,7 +166,7 @@ def test_pii(spark):
         (1, "Mail ann.34@mail7.example.com or +1 (017) 555-7713.", "k"), (2, "Again ann.34@mail7.example.com from 10.2.33.4", "k"), (3, None, "k"), (4, "", "k"),
         (5, "4111 1111 1111 1111 but not 4111111111111112", "k"), (6, "Mrs. Smith met Mr. Smith", "k"), (7, "nothing here", "k"), (8, 'token = "' + "0a" * 20 + '"', "k"),
     ]
-    out = {r.doc_id: r for r in pii.replace_pii(spark.createDataFrame(said, "doc_id long, text string, value string")).collect()}
+    out = {r.doc_id: r for r in pii.replace_pii(spark.createDataFrame(said, "doc_id long, text string, value string"), "key").collect()}
     assert out[3].text is None and out[4].text == "" and out[7].text == "nothing here" and out[7].n_entities == 0
     first, second = (out[i].text.split()[1] for i in (1, 2))
     assert first == second != "ann.34@mail7.example.com" and "@" in first and "example." in first

@@ -18,7 +18,7 @@ def test_mentions_of_one_entity(spark):
         "Dr Иванов; Herr Παπαδόπουλος; Mr Իսահակյան; Dr Иван Иванов",
     ]
     df = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
-    got = {r.doc_id: r for r in pii.replace_pii(df).collect()}
+    got = {r.doc_id: r for r in pii.replace_pii(df, "key").collect()}
     names, cards, mails, phones, scripts = (got[i].text.split("; ") for i in range(5))
     surname = names[0].split()[1]
     assert surname != "Hall" and [x.replace("-", " ").split()[-1] for x in names] == [surname] * 6

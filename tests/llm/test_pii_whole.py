@@ -12,7 +12,7 @@ from tallyforge.llm import pii  # noqa: E402
 
 def replaced(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return [r.text for r in sorted(pii.replace_pii(df).collect(), key=lambda r: r.doc_id)]
+    return [r.text for r in sorted(pii.replace_pii(df, "key").collect(), key=lambda r: r.doc_id)]
 
 
 def luhn(text):
