@@ -1,4 +1,4 @@
-"""Date functions over text and dates (survey rows D1-D9)."""
+"""Date functions over text and dates (survey rows D1-D9, D11)."""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,3 +39,71 @@ def dates_in(x: Column) -> Column:
 def week_start(d: Column) -> Column:
     """The Monday of a date's week."""
     return F.date_sub(d, F.weekday(d))
+
+
+def first_report_date(*candidates: Column) -> Column:
+    """D3: the first candidate that is a date by one of the four formats."""
+    return F.coalesce(*map(report_date, candidates))
+
+
+#: What a free form of a date may look like; the general parser that this stands for knows more.
+FREE_FORMS = ((r"^\d{8}$", "yyyyMMdd"), (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"), (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"), (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"), (r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}$", "dd/MM/yyyy HH:mm"))
+
+
+def coerced_date(x: Column) -> Column:
+    """(value, note). A time as HH:MM; a date by day, month and year, by year, month and day, in words, or in a free form as dd/MM/yyyy; else the text as it is.
+
+    The note is null where nothing changed, else ``time``, ``date``, ``words``, ``free`` or ``not_recognised``. Blank texts give null.
+    """
+    s = stripped(x)
+    part = lambda pattern, i: F.regexp_extract(s, pattern, i)
+    clock = r"^(\d{1,2})\s*[hH:]\s*(\d{2})$"
+    hour, minute = part(clock, 1).try_cast("int"), part(clock, 2).try_cast("int")
+    time = F.when(hour.between(0, 23) & minute.between(0, 59), F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), part(clock, 2)))
+
+    def day(pattern: str, d: int, m: int, y: int) -> Column:
+        made = F.concat_ws("-", part(pattern, y), F.lpad(part(pattern, m), 2, "0"), F.lpad(part(pattern, d), 2, "0"))
+        return F.date_format(F.when(F.regexp_like(s, F.lit(pattern)), F.try_to_date(made, "yyyy-MM-dd")), "dd/MM/yyyy")
+
+    numbers = F.coalesce(day(r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})$", 1, 2, 3), day(r"^(\d{4})[/.-](\d{1,2})[/.-](\d{1,2})$", 3, 2, 1))
+    words = day(r"^(?i)(?:ngày|ngay)?\s*(\d{1,2})\s+(?:tháng|thang)\s*(\d{1,2})\s+(?:năm|nam)\s*(\d{4})", 1, 2, 3)
+    free = F.coalesce(*(F.date_format(F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(fmt))), "dd/MM/yyyy") for shape, fmt in FREE_FORMS))
+    value = F.when(s != "", F.coalesce(time, numbers, words, free, s))
+    note = F.when(time.isNotNull(), "time").when(numbers.isNotNull(), F.when(numbers != s, "date")).when(words.isNotNull(), "words").when(free.isNotNull(), "free").when(s != "", "not_recognised")
+    return F.struct(value.alias("value"), note.alias("note"))
+
+
+#: The forms of an incident's time.
+TIME_FORMS = [
+    r"^\d{2}/\d{2}/\d{4}$", r"^\d{2}/\d{2}/\d{4}\s+\d{2}:\d{2}$", r"^\d{2}:\d{2}\s+\d{2}/\d{2}/\d{4}$", r"^\d{2}:\d{2}\s+ngày\s+\d{2}/\d{2}/\d{4}$", r"^\d{2}:\d{2}$",
+    r"^\d{1,2}\s*giờ\s*\d{1,2}\s*phút\s*ngày\s*\d{2}/\d{2}/\d{4}$",
+]
+
+
+def incident_time(x: Column) -> Column:
+    """(value, valid). 7h30 becomes 07:30, dates get two digits for day and month; valid if the result has one of six forms or is empty."""
+    s = stripped(F.coalesce(x, F.lit("")))
+    clock = r"^(\d{1,2})\s*[hH]\s*(\d{2})$"
+    s = F.when(s.rlike(clock), F.concat(F.lpad(F.regexp_extract(s, clock, 1), 2, "0"), F.lit(":"), F.regexp_extract(s, clock, 2))).otherwise(s)
+    s = F.regexp_replace(s, r"(\d{1,2})/(\d{1,2})/(\d{4})", "0$1/0$2/$3")
+    s = F.regexp_replace(s, r"0(\d{2})/", "$1/")
+    valid = s == ""
+    for form in TIME_FORMS:
+        valid = valid | s.rlike(f"(?iU){form}")
+    return F.struct(s.alias("value"), valid.alias("valid"))
+
+
+def date_in_words(x: Column) -> Column:
+    """d/m/yyyy or yyyy-m-d in words, as written there; other texts as they are."""
+    s = stripped(F.coalesce(x, F.lit("")))
+    dmy, ymd = r"^(\d{1,2})/(\d{1,2})/(\d{4})$", r"^(\d{4})-(\d{1,2})-(\d{1,2})"
+    say = lambda p, d, m, y: F.concat(F.lit("ngày "), F.regexp_extract(s, p, d), F.lit(" tháng "), F.regexp_extract(s, p, m), F.lit(" năm "), F.regexp_extract(s, p, y))
+    return F.when(s.rlike(dmy), say(dmy, 1, 2, 3)).when(s.rlike(ymd), say(ymd, 3, 2, 1)).otherwise(s)
+
+
+def short_date(x: Column) -> Column:
+    """Yyyy-m-d as d/m/yyyy; other texts as they are."""
+    s = stripped(F.coalesce(x, F.lit("")))
+    ymd = r"^(\d{4})-(\d{1,2})-(\d{1,2})"
+    part = lambda i: F.regexp_extract(s, ymd, i)
+    return F.when(s.rlike(ymd), F.concat_ws("/", part(3), part(2), part(1))).otherwise(s)

@@ -16,11 +16,6 @@ def garbage_number(x: Column) -> Column:
     return F.coalesce(F.translate(stripped(x), ",", ".").try_cast(DECIMAL), F.lit(0).cast(DECIMAL))
 
 
-def garbage_sum(xs: Column) -> Column:
-    """N1 over an array: the sum of its numbers."""
-    return F.aggregate(F.coalesce(xs, F.array().cast(f"array<{DECIMAL}>")), F.lit(0).cast(DECIMAL), lambda a, x: (a + F.coalesce(x.cast(DECIMAL), F.lit(0))).cast(DECIMAL))
-
-
 def int_or_null(x: Column) -> Column:
     """Truncated toward zero; a comma is a decimal point; null if it doesn't parse."""
     return F.translate(stripped(x), ",", ".").try_cast(DECIMAL).try_cast("bigint")
@@ -32,8 +27,12 @@ def int_or_zero(x: Column) -> Column:
 
 
 #: Number words.
-NUMBER_WORDS = {"không": 0, "một": 1, "hai": 2, "ba": 3, "bốn": 4, "năm": 5, "sáu": 6, "bảy": 7, "tám": 8, "chín": 9, "mười": 10, "trăm": 100, "nghìn": 1000, "ngàn": 1000, "triệu": 1000000, "tỷ": 1000000000,
-                "zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10}
+NUMBER_WORDS = {
+    "không": 0, "một": 1, "hai": 2, "ba": 3, "bốn": 4, "bon": 4, "năm": 5, "nam": 5, "sáu": 6, "sau": 6, "bảy": 7, "bay": 7, "tám": 8, "tam": 8, "chín": 9, "chin": 9, "mười": 10, "muoi": 10,
+    "mười một": 11, "mười hai": 12, "mười ba": 13, "mười bốn": 14, "mười lăm": 15, "mười sáu": 16, "mười bảy": 17, "mười tám": 18, "mười chín": 19,
+    "hai mươi": 20, "ba mươi": 30, "bốn mươi": 40, "năm mươi": 50, "sáu mươi": 60, "bảy mươi": 70, "tám mươi": 80, "chín mươi": 90, "trăm": 100, "nghìn": 1000, "ngàn": 1000, "triệu": 1000000, "tỷ": 1000000000,
+    "zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10,
+}
 #: Fixed value: units that may follow a number.
 UNITS = r"\s*(VNĐ|vnđ|đồng|dong|vụ|vu|người|nguoi|cái|cai|chiếc|chiec|km|m|kg|g|lít|lit|ha|USD|\$|€|%)\s*$"
 
@@ -48,6 +47,12 @@ def measured_number(x: Column) -> Column:
     return F.coalesce(plain.try_cast("double"), F.try_element_at(words, F.lower(s)).cast("double"))
 
 
+def measured_note(x: Column) -> Column:
+    """What N4 tells of a value: null where it was a plain number or blank, else how it was read, or that it wasn't."""
+    n, raw = measured_number(x), stripped(x)
+    return F.when(F.coalesce(raw, F.lit("")) == "", None).when(n.isNull(), "not_a_number").when(raw.try_cast("double") == n, None).when(F.lower(F.regexp_replace(raw, UNITS, "")).isin(list(NUMBER_WORDS)), "words").otherwise("rewritten")
+
+
 def digits_or(x: Column, default: int = 0) -> Column:
     """Digits alone count."""
     return F.when(x.rlike(r"^\d+$"), x.try_cast("bigint")).otherwise(F.lit(default).cast("bigint"))

@@ -66,5 +66,60 @@ def garbled_share(x: Column) -> Column:
 
 
 def grouped_number(n: Column) -> Column:
-    """1500000 as 1.500.000."""
-    return F.translate(F.format_number(n, 0), ",", ".")
+    """1500000 as 1.500.000, 1500000.5 as 1.500.000,50; no number is 0. Hundredths are cut from the number as written, half up."""
+    value = F.coalesce(n.cast("double"), F.lit(0.0))
+    whole = F.translate(F.format_number(F.floor(F.abs(value)), 0), ",", ".")
+    cents = F.round((F.abs(value) - F.floor(F.abs(value))).cast("decimal(12,6)"), 2)
+    part = F.when(value == F.floor(value), "").otherwise(F.concat(F.lit(","), F.substring(F.format_string("%.2f", cents.cast("double")), -2, 2)))
+    return F.concat(F.when(value < 0, "-").otherwise(""), whole, part)
+
+
+def humanised(name: Column) -> Column:
+    """Blanks for underscores, and only the first letter upper."""
+    s = F.trim(F.replace(name, F.lit("_"), F.lit(" ")))
+    return F.concat(F.upper(F.substring(s, 1, 1)), F.lower(F.substring(s, F.lit(2), F.length(s))))
+
+
+def snake_case(name: Column) -> Column:
+    """Letters, digits and single underscores, lower; a name that begins with a digit is a field, one of nothing is unnamed."""
+    s = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(name, "[^a-zA-Z0-9_]", "_"), "_+", "_"), "^_|_$", ""))
+    return F.when(s == "", "unnamed_field").when(s.rlike("^[0-9]"), F.concat(F.lit("field_"), s)).otherwise(s)
+
+
+def clean_period(x: Column) -> Column:
+    """Dates without blanks around their slashes, single blanks."""
+    return collapse(F.regexp_replace(x, r"(\d{1,2})\s*/\s*(\d{1,2})\s*/\s*(\d{4})", "$1/$2/$3"))
+
+
+def clean_detail(x: Column) -> Column:
+    """Blanks restored and single."""
+    return collapse(restore_spaces(x))
+
+
+#: What begins the parts of a report, and a table's header (its folded words).
+PARTS = {"nghiep_vu": r"(?imU)^I\.\s+TÌNH HÌNH.*", "quan_so": r"(?imU)^III\.\s+TỔNG\s+QUÂN\s+SỐ.*", "signature": r"(?imU)^(?:Nơi\s+nhận\s*:|Noi\s+nhan\s*:)"}
+TABLE_WORDS, TABLE_CODE = ("DANH MUC", "CHI TIEU"), "STT"
+
+
+def table_start(x: Column) -> Column:
+    """Where (from 1) the first line begins that has the code's word and, in it or the three lines after it, a word of a table's header; null if none does."""
+    held = F.split(x, "(?<=\n)")
+    folded = F.transform(held, fold)
+    near = lambda i: F.array_join(F.slice(folded, i + 1, 4), " ")
+    heads = lambda i: near(i).contains(TABLE_WORDS[0]) | near(i).contains(TABLE_WORDS[1])
+    at = F.array_position(F.transform(folded, lambda line, i: line.contains(TABLE_CODE) & heads(i)), True).cast("int")
+    before = F.aggregate(F.slice(held, 1, F.greatest(at - 1, F.lit(0))), F.lit(0), lambda n, line: n + F.length(line))
+    return F.when(at > 0, before + 1)
+
+
+def split_parts(x: Column) -> Column:
+    """The parts of a report in their order, as array of (block_id, content): each from its mark to the next part's, the table to the signature. Blank parts are left out."""
+    first = lambda name: F.nullif(F.regexp_instr(x, F.lit(PARTS[name])), F.lit(0))
+    one, three, table, end = first("nghiep_vu"), first("quan_so"), table_start(x), F.length(x) + 1
+    after = lambda mark, start: F.when(mark > start, mark)
+    least = lambda *marks: F.least(*marks, end)
+    rest = F.substring(x, table, F.length(x))
+    sign = F.nullif(F.regexp_instr(rest, F.lit(PARTS["signature"])), F.lit(0)) + table - 1
+    spans = [("header", F.lit(1), least(one, three, table)), ("nghiep_vu", one, least(after(three, one), after(table, one))), ("quan_so", three, least(after(table, three))), ("bang_thong_ke", table, F.coalesce(sign, end))]
+    blocks = F.array(*(F.when(a.isNotNull() & (b > a), F.struct(F.lit(name).alias("block_id"), F.substring(x, a, b - a).alias("content"))) for name, a, b in spans))
+    return F.filter(blocks, lambda b: b.isNotNull() & (F.regexp_replace(b["content"], r"(?U)\s", "") != ""))

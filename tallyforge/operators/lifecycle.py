@@ -31,7 +31,7 @@ def audit(events: DataFrame, job: str, state: str, at: str, tie: str) -> DataFra
 
 
 #: Marks of errors that are not, and that are, worth another try.
-FINAL_MARKS = ["resource_exhausted", "quota exceeded", "too many requests", " 429 ", "validation error for", "err_schema_validation", "value error", "job not found", "template not found", "document not found", "json_parse_error", "soft time limit exceeded"]
+FINAL_MARKS = ["resource_exhausted", "quota exceeded", "too many requests", " 429 ", "validation error for", "err_schema_validation", "thoi_gian không đúng định dạng", "value error", "job not found", "extraction job", "template not found", "document not found", "template or document not found", "json_parse_error", "soft time limit exceeded"]
 TRANSIENT_MARKS = ["timeout", "temporarily unavailable", "connection reset", "connection aborted", "connection refused", "service unavailable", "bad gateway", "gateway timeout", "network"]
 
 
@@ -40,3 +40,54 @@ def retriable(message: Column) -> Column:
     text = F.lower(message)
     has = lambda marks: F.exists(F.array(*map(F.lit, marks)), lambda m: text.contains(m))
     return ~has(FINAL_MARKS) & has(TRANSIENT_MARKS)
+
+
+#: Kinds of errors by their type, then by words in their text.
+DATA_TYPES, SYSTEM_TYPES = ("ValidationError",), ("RequestException", "TimeoutError")
+DATA_WORDS, SYSTEM_WORDS = ("validation", "schema", "pydantic", "json"), ("timeout", "connection", "rate limit", "503", "502", "network")
+
+
+def error_class(kind: Column, message: Column) -> Column:
+    """M7: data, system or logic error; null where there is none."""
+    text = F.lower(F.coalesce(message, F.lit("")))
+    has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: text.contains(w))
+    none = kind.isNull() & message.isNull()
+    return F.when(none, None).when(kind.isin(*DATA_TYPES), "AI_OR_DATA_ERROR").when(kind.isin(*SYSTEM_TYPES), "SYSTEM_ERROR").when(has(DATA_WORDS), "AI_OR_DATA_ERROR").when(has(SYSTEM_WORDS), "SYSTEM_ERROR").otherwise("LOGIC_ERROR")
+
+
+def stage1_events(results: DataFrame) -> DataFrame:
+    """M3: the transitions that a first extraction's results (job, ok, detail) make, in order: (job, step, from_state, to_state, enrichment)."""
+    detail = F.coalesce(F.col("detail"), F.lit("")) != ""
+    event = lambda step, old, new, enrichment: F.struct(F.lit(step).alias("step"), F.lit(old).alias("from_state"), new.alias("to_state"), enrichment.alias("enrichment"))
+    none = F.lit(None).cast("string")
+    good = F.array(event(1, "processing", F.lit("extracted"), none), event(2, "extracted", F.when(detail, "enriching").otherwise("ready_for_review"), F.when(detail, "pending").otherwise("skipped")))
+    bad = F.array(event(1, "processing", F.lit("failed"), F.lit("skipped")))
+    return results.select("job", F.explode(F.when(F.col("ok"), good).otherwise(bad)).alias("e")).select("job", "e.*")
+
+
+def enriched(jobs: DataFrame, results: DataFrame) -> DataFrame:
+    """M4: ``jobs`` (job, status) with what an enrichment (job, items, error) makes of those that are enriching; the others stay as they are.
+
+    An error is kept (2000 characters at most, as the record has), items are, or it was skipped; the job is ready for review in each case.
+    """
+    both = jobs.join(results.withColumn("answered", F.lit(True)), "job", "left")
+    on = (F.col("status") == "enriching") & F.coalesce("answered", F.lit(False))
+    outcome = F.when(F.coalesce("error", F.lit("")) != "", "failed").when(F.col("items").isNotNull(), "enriched").otherwise("skipped")
+    return both.select("job", F.when(on, "ready_for_review").otherwise(F.col("status")).alias("status"), F.when(on, outcome).alias("enrichment"), F.when(on & (outcome == "failed"), F.substring("error", 1, 2000)).alias("error"), F.when(on & (outcome == "enriched"), F.col("items")).alias("items"))
+
+
+def reviewed(jobs: DataFrame, actions: DataFrame) -> DataFrame:
+    """M5: what each action (job, action) does to a job (job, status): (job, action, to_state, error). Approval and rejection need a job ready for review, another try one that failed or was rejected, deletion one at rest."""
+    both = actions.join(jobs, "job", "left")
+    a, s = F.col("action"), F.col("status")
+    fits = ((a.isin("approve", "reject")) & (s == "ready_for_review")) | ((a == "retry") & s.isin("failed", "rejected")) | ((a == "delete") & s.isin(*TERMINAL))
+    to = F.when(a == "approve", "approved").when(a == "reject", "rejected").when(a == "retry", "pending").when(a == "delete", "deleted")
+    error = F.when(s.isNull(), "not_found").when(~F.coalesce(fits, F.lit(False)), F.concat(F.lit("cannot "), a, F.lit(" a job that is "), s))
+    return both.select("job", "action", F.when(error.isNull(), to).alias("to_state"), error.alias("error"))
+
+
+def bounded_trace(rows: DataFrame, key: str, order: list[str], entry: Column, most: int = 100) -> DataFrame:
+    """Of each key the last ``most`` entries (the feature), in order. Only these are gathered, however many there are."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*(F.desc(c) for c in order)))
+    last = rows.withColumn("_entry", entry).withColumn("_r", place).where(F.col("_r") <= most)
+    return last.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_r")).alias("r"), "_entry"))), lambda x: x["_entry"]).alias("trace"))

@@ -79,7 +79,10 @@ def normalize_text(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", text.fold(F.col("text")).alias("folded"))
 
 
-@query()
+_SPACED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '(\\p{{Ll}})(\\p{{Lu}})', '\\1 \\2', 'g'), '(\\p{{L}})([0-9])', '\\1 \\2', 'g'), '([0-9])(\\p{{L}})', '\\1 \\2', 'g'), '([.,;:)])([^\\s0-9).,;:])', '\\1 \\2', 'g'), '(\\p{{L}})\\(', '\\1 (', 'g')"
+
+
+@query(f"SELECT doc_id, regexp_replace(trim(regexp_replace({_SPACED.format('text')}, '\\s+', ' ', 'g')), '^[ .:-]+|[ .:-]+$', '', 'g') AS label FROM documents")
 def restore_spacing(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", text.clean_label(F.col("text")).alias("label"))
 
