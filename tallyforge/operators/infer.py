@@ -1,10 +1,12 @@
-"""Template inference (survey rows I1, I3, I5, J8, J9): placeholders to types and rules."""
+"""Template inference (survey rows I1-I8, J8, J9): placeholders to types, rules, schemas, and files to templates."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.functions.text import humanised, snake_case
+
 #: Parts of names that tell a type, in the order in which they are tried.
 METADATA = ["ngay_", "thang_", "nam_", "tu_ngay", "den_ngay", "tuan_", "ky_", "ngaybao", "bao_cao", "xuat_", "ngayxuat", "thangxuat", "namxuat"]
 BOOLEANS = ["is_", "has_", "da_", "approved", "active", "enabled", "verified", "confirmed"]
@@ -13,10 +15,8 @@ NUMBERS = ["so_", "tong_", "amount", "total", "price", "quantity", "qty", "count
 
 
 def _any(name: Column, parts: list[str], start: bool = False) -> Column:
-    out = F.lit(False)
-    for p in parts:
-        out = out | (name.startswith(p) if start else name.contains(p))
-    return out
+    """Whether the name holds one of the parts (letters and underscores), or begins with one."""
+    return name.rlike(f"{'^' if start else ''}(?:{'|'.join(parts)})")
 
 
 def field_type(name: Column) -> Column:
@@ -37,3 +37,104 @@ def placeholders(templates: DataFrame, key: str, text: str) -> DataFrame:
     """Names in ``{{ }}`` with how often they occur."""
     found = F.explode(F.regexp_extract_all(text, F.lit(r"\{\{\s*(\w+)\s*\}\}"), F.lit(1)))
     return templates.select(key, found.alias("name")).groupBy(key, "name").agg(F.count("*").alias("occurrences"))
+
+
+#: The type of a field within a loop, by its whole name, else by how it begins, in this order.
+SUBFIELD_TYPES = {
+    "so_ky_hieu": "string", "bien_so": "string", "id": "string", "ma_": "string", "ten_": "string", "name_": "string", "loai_": "string", "type_": "string", "dia_chi": "string", "address": "string", "mo_ta": "string",
+    "description": "string", "ghi_chu": "string", "note": "string", "ngay_": "string", "date_": "string", "thoi_gian": "string", "time_": "string", "so_": "number", "tong_": "number", "amount_": "number", "count_": "number",
+    "price_": "number", "qty_": "number",
+}
+#: What a template holds: a name in braces, the name that an ``if`` asks for, the begin and end of a loop.
+PLACEHOLDER = r"\{\{\s*([A-Za-z_][A-Za-z0-9_.]*)\s*\}\}|\{%-?\s*(?:(?:p|tr|tc)\s+)?if\s+([A-Za-z_][A-Za-z0-9_.]*)(?:\s*(?:==|!=|>|<|>=|<=)\s*.*?)?\s*-?%\}"
+LOOP = r"\{%-?\s*(?:(?:p|tr|tc)\s+)?(?:for\s+([A-Za-z_][A-Za-z0-9_]*)\s+in\s+([A-Za-z_][A-Za-z0-9_]*)|endfor)\s*-?%\}"
+#: Parts of names that get no rule in the review screen.
+UNRULED = ("ngay_", "thang_", "nam_", "bao_cao", "ky_")
+
+
+def subfield_type(name: Column) -> Column:
+    """I4."""
+    n = F.lower(name)
+    exact = F.coalesce(*(F.when(n == k, t) for k, t in SUBFIELD_TYPES.items()))
+    return F.coalesce(exact, *(F.when(n.startswith(k), t) for k, t in SUBFIELD_TYPES.items()), F.lit("string"))
+
+
+def holes(templates: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, name, occurrences, nested): names in braces and in conditions, as they are written."""
+    found = F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(0))
+    name = F.coalesce(F.nullif(F.regexp_extract("whole", PLACEHOLDER, 1), F.lit("")), F.regexp_extract("whole", PLACEHOLDER, 2))
+    rows = templates.select(key, F.explode(found).alias("whole")).select(key, name.alias("name"))
+    return rows.groupBy(key, "name").agg(F.count("*").alias("occurrences")).withColumn("nested", F.col("name").contains("."))
+
+
+def loops(templates: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, array, item_alias, field, type, place) of each template's loops; a loop without fields has one, ``value``.
+
+    A template's marks are folded in order over a stack of open loops, within its row: a field belongs to the innermost open loop of its
+    alias; a loop that isn't closed gives nothing; fields of loops over the same array come together.
+    """
+    marks = F.regexp_extract_all(text, F.lit(r"\{\{\s*[A-Za-z_][A-Za-z0-9_.]*\s*\}\}|" + LOOP), F.lit(0))
+    part = lambda m, i: F.regexp_extract(m, LOOP, i)
+    field = lambda m: F.regexp_extract(m, r"^\{\{\s*([A-Za-z_][A-Za-z0-9_.]*)\s*\}\}$", 1)
+    open_ = "array<struct<alias:string,array:string,opened:int,fields:array<string>>>"
+    state = F.struct(F.array().cast(open_).alias("stack"), F.array().cast(open_).alias("done"), F.lit(0).alias("at"))
+
+    def fold(s: Column, m: Column) -> Column:
+        stack, done, at = s["stack"], s["done"], s["at"]
+        begins, ends, dotted = part(m, 1) != "", m.rlike("endfor"), F.instr(field(m), ".") > 1
+        alias, rest = F.substring_index(field(m), ".", 1), F.regexp_replace(field(m), r"^[^.]*\.", "")
+        pushed = F.concat(stack, F.array(F.struct(part(m, 1).alias("alias"), part(m, 2).alias("array"), at.alias("opened"), F.array().cast("array<string>").alias("fields"))))
+        top = F.slice(stack, F.greatest(F.size(stack), F.lit(1)), 1)
+        below = F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))
+        inner = F.size(stack) - F.array_position(F.reverse(F.transform(stack, lambda x: x["alias"])), alias).cast("int")
+        known = F.exists(stack, lambda x: x["alias"] == alias)
+        told = F.transform(stack, lambda x, i: F.when(known & (i == inner), F.struct(x["alias"].alias("alias"), x["array"].alias("array"), x["opened"].alias("opened"), F.array_union(x["fields"], F.array(rest)).alias("fields"))).otherwise(x))
+        return F.struct(F.when(begins, pushed).when(ends, below).when(dotted, told).otherwise(stack).alias("stack"), F.when(ends, F.concat(done, top)).otherwise(done).alias("done"), (at + 1).alias("at"))
+
+    closed = F.aggregate(marks, state, fold, lambda s: s["done"])
+    # loops come in the order in which they are closed; the first of an array names its alias
+    rows = templates.select(key, F.posexplode(closed).alias("loop", "x")).select(key, "loop", snake_case(F.col("x.array")).alias("array"), F.col("x.alias").alias("alias"), F.posexplode_outer(F.transform("x.fields", snake_case)).alias("place", "field"))
+    firsts = rows.groupBy(key, "array").agg(F.min_by("alias", "loop").alias("item_alias"), F.collect_list(F.when(F.col("field").isNotNull(), F.struct("loop", "place", "field"))).alias("found"))
+    names = F.array_distinct(F.transform(F.array_sort("found"), lambda x: x["field"]))
+    fields = F.when(F.size(names) > 0, names).otherwise(F.array(F.lit("value")))
+    out = firsts.select(key, "array", "item_alias", F.posexplode(fields).alias("place", "field"))
+    return out.withColumn("type", subfield_type(F.col("field")))
+
+
+def schemas(holes_: DataFrame, loops_: DataFrame, key: str) -> DataFrame:
+    """(key, name, type, description, fields): a row a variable of a template, the fields of an array's rows as an array of (name, type). Names in a loop alone belong to the loop."""
+    flat = holes_.where(~F.col("nested")).groupBy(key, snake_case(F.col("name")).alias("name")).agg(F.sum("occurrences").alias("occurrences"), F.min("name").alias("said"))
+    arrays = loops_.groupBy(key, F.col("array").alias("name")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.col("field").alias("name"), "type"))), lambda x: F.struct(x["name"].alias("name"), x["type"].alias("type"))).alias("fields"))
+    both = flat.join(arrays, [key, "name"], "full")
+    kind = F.when(F.col("fields").isNotNull(), "array").otherwise(field_type(F.col("name")))
+    return both.select(key, "name", kind.alias("type"), humanised(F.coalesce("said", "name")).alias("description"), "fields", F.coalesce("occurrences", F.lit(1)).alias("occurrences"))
+
+
+def default_method(name: Column, kind: Column, scanned: Column) -> Column:
+    """I8: the rule that the review screen shows for a field: the scanned one where there is one, none for dates and numbers of reports."""
+    told = _any(F.lower(name), list(UNRULED))
+    return F.coalesce(F.nullif(scanned, F.lit("")), F.when(told, "").when(kind == "number", "SUM").when(kind == "array", "CONCAT").otherwise("LAST"))
+
+
+#: Share of a template's fields that a first page must name.
+COVERAGE = 0.7
+
+
+def detected(files: DataFrame, templates: DataFrame, key: str) -> DataFrame:
+    """The template of each file (key, name, page): the first whose pattern its name has, else the one most of whose fields its first page names (``COVERAGE`` at least; of equals the first), else the only one there is.
+
+    ``templates``: (template, place, pattern, fields: array of names of letters, digits and underscores), active ones. A page contains a field
+    where one of its runs of such characters does; distinct names and runs meet the patterns and fields, not every page every template.
+    """
+    listed = templates.select("template", "place", F.lower("pattern").alias("pattern"), F.transform("fields", F.lower).alias("fields"))
+    names = files.select(F.lower("name").alias("_name")).distinct()
+    patterned = names.join(listed.where("pattern is not null").select("template", "place", "pattern"), F.expr("_name rlike pattern")).groupBy("_name").agg(F.min_by("template", "place").alias("by_name"))
+    tokens = files.where(F.length("page") > 20).select(key, F.explode(F.array_distinct(F.split(F.lower("page"), r"[^\p{L}\p{N}_]+"))).alias("token"))
+    wanted = listed.select("template", "place", F.size("fields").alias("n"), F.explode(F.array_distinct("fields")).alias("field"))
+    # tokens are matched once each, however many pages have them
+    told = tokens.select("token").distinct().join(wanted.select("field").distinct(), F.expr("contains(token, field)")).distinct()
+    hits = tokens.join(told, "token").select(key, "field").distinct().join(wanted, "field").groupBy(key, "template", "place", "n").agg(F.count("*").alias("hits"))
+    best = hits.withColumn("score", F.col("hits") / F.col("n")).where(F.col("score") >= COVERAGE).groupBy(key).agg(F.max_by("template", F.struct("score", -F.col("place"))).alias("by_page"))
+    only = listed.agg(F.when(F.count("*") == 1, F.min("template")).alias("only"))
+    out = files.withColumn("_name", F.lower("name")).join(patterned, "_name", "left").join(best, key, "left").join(F.broadcast(only))
+    return out.select(key, F.coalesce("by_name", "by_page", "only").alias("template"), F.when(F.col("by_name").isNotNull(), "name").when(F.col("by_page").isNotNull(), "page").when(F.col("only").isNotNull(), "only").alias("how"))

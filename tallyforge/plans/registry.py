@@ -29,7 +29,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    for name in ("filters", "aggregates", "consolidate", "coercions", "validations", "reports", "texts", "narratives", "tables", "payloads", "operations", "streams"):
+    for name in ("filters", "aggregates", "consolidate", "coercions", "validations", "templates", "reports", "texts", "narratives", "tables", "payloads", "operations", "streams"):
         importlib.import_module(f"tallyforge.plans.{name}")
 
 
