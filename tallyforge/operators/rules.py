@@ -6,6 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tallyforge.functions.numbers import DECIMAL, garbage_number
 
 
 @dataclass(frozen=True)
@@ -19,32 +22,53 @@ class Rule:
     stt: int | None = None
 
 
-def aggregate_of(rule: Rule, order: Column | None = None, code: str = "code", value: str = "value") -> Column:
-    method, x = (rule.method or "SUM").upper(), F.col(rule.source) if rule.source else None
-    zero = F.lit(0)
+def numeric(x: Column, kind: T.DataType) -> Column:
+    """N1 by a column's type: texts as it reads them, booleans as 1 and 0, lists as the sum of their items, numbers as they are; nulls stay null."""
+    if isinstance(kind, T.StringType):
+        return F.when(x.isNotNull(), garbage_number(x))
+    if isinstance(kind, T.BooleanType):
+        return x.cast("int")
+    if isinstance(kind, T.ArrayType):
+        inner = F.transform(x, lambda i: F.coalesce(numeric(i, kind.elementType).cast(DECIMAL), F.lit(0).cast(DECIMAL)))
+        return F.aggregate(inner, F.lit(0).cast(DECIMAL), lambda total, i: (total + i).cast(DECIMAL))
+    return x
+
+
+def aggregate_of(rule: Rule, kinds: dict[str, T.DataType], order: Column | None = None, code: str = "code", value: str = "value") -> Column:
+    """A rule's aggregate; null, where its source isn't there or its method isn't known. Overflows give null, so no rule ends the others."""
+    method, zero = (rule.method or "SUM").upper(), F.lit(0)
+    kind = kinds.get(rule.source, T.NullType())
+    x = F.col(rule.source) if rule.source in kinds else None
+    if x is None and method != "STT_SUM":
+        return F.lit(None).alias(rule.output)
+    read = isinstance(kind, (T.StringType, T.ArrayType))
+    n = numeric(x, kind) if x is not None else None
     if method == "SUM":
-        out = F.coalesce(F.sum(x), zero)
+        out = F.coalesce(F.try_sum(n), zero)
     elif method == "AVG":
-        out = F.avg(x)
+        out = F.try_avg(n)
     elif method == "MAX":
-        out = F.coalesce(F.max(x), zero)
+        out = F.coalesce(F.max(n), zero)
     elif method == "MIN":
-        out = F.coalesce(F.min(x), zero)
+        out = F.coalesce(F.min(n), zero)
     elif method == "COUNT":
-        out = F.count(x)
+        out, read = F.count(x), False
     elif method == "LAST":
-        out = F.max_by(x, F.when(x.isNotNull(), order))
+        out, read = F.max_by(x, F.when(x.isNotNull(), order)), False
     elif method == "CONCAT":
-        out = F.transform(F.array_sort(F.collect_list(F.when(x.isNotNull(), F.struct(order.alias("o"), x.alias("x"))))), lambda p: p["x"])
+        listed = F.transform(F.array_sort(F.collect_list(F.when(x.isNotNull(), F.struct(order.alias("o"), x.alias("x"))))), lambda p: p["x"])
+        out, read = F.flatten(listed) if isinstance(kind, T.ArrayType) else listed, False
     elif method == "STT_SUM":
-        out = F.coalesce(F.sum(F.when(F.col(code) == rule.stt, F.col(value))), zero)
+        out, read = F.coalesce(F.try_sum(F.when(F.col(code) == rule.stt, numeric(F.col(value), kinds[value]))), zero), isinstance(kinds[value], T.StringType)
     else:
-        out = F.lit(None)  # a rule that isn't known gives nothing; the others go on
-    return (F.round(out, rule.round_digits) if rule.round_digits is not None else out).alias(rule.output)
+        return F.lit(None).alias(rule.output)
+    out = F.round(out, rule.round_digits) if rule.round_digits is not None else out
+    return (out.cast("double") if read else out).alias(rule.output)
 
 
 def apply_rules(rows: DataFrame, keys: list[str], rules: list[Rule], order: Column | None = None, **names: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(*(aggregate_of(r, order, **names) for r in rules))
+    kinds = {f.name: f.dataType for f in rows.schema}
+    return rows.groupBy(*keys).agg(*(aggregate_of(r, kinds, order, **names) for r in rules))
 
 
 def pivot_codes(rows: DataFrame, keys: list[str], fields: dict[int, str], code: str, value: Column) -> DataFrame:

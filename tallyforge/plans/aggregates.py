@@ -49,6 +49,27 @@ def rule_last_non_null(spark, sf_dir):
     return apply_rules(said, ["conv_id"], [Rule("last_text", "said", "LAST")], F.struct("turn", "text")).where("last_text is not null")
 
 
+_TEXTS = "CASE WHEN event_id % 5 = 0 THEN concat(' ', CAST(user_id AS VARCHAR(20)), ',5 ') WHEN event_id % 5 = 1 THEN 'không' WHEN event_id % 5 = 2 THEN '1,500,000' WHEN event_id % 5 = 3 THEN CAST(event_id AS VARCHAR(20)) END"
+_N1 = f"CASE WHEN {_TEXTS} IS NOT NULL THEN coalesce(TRY_CAST(replace(trim({_TEXTS}), ',', '.') AS DECIMAL(38,10)), 0) END"
+
+
+@query(f"SELECT event_type, CAST(sum({_N1}) AS DOUBLE) AS total, round(CAST(avg(CAST({_N1} AS DOUBLE)) AS DOUBLE), 2) AS mean, CAST(max({_N1}) AS DOUBLE) AS high, count({_TEXTS}) AS n, NULL::INTEGER AS lost, NULL::INTEGER AS odd FROM events GROUP BY event_type")
+def rule_text_values(spark, sf_dir):
+    """Rules over a column of texts, and two rules that can't be computed."""
+    rows = read(spark, sf_dir, "events").select("event_type", F.expr(_TEXTS).alias("x"))
+    rules = [Rule("total", "x"), Rule("mean", "x", "AVG", 2), Rule("high", "x", "max"), Rule("n", "x", "COUNT"), Rule("lost", "y"), Rule("odd", "x", "MEDIAN")]
+    return apply_rules(rows, ["event_type"], rules).withColumns({c: F.col(c).cast("int") for c in ("lost", "odd")})
+
+
+@query("SELECT user_id, string_agg(event_type || ',' || k, ',' ORDER BY ts, event_id) AS listed FROM (SELECT user_id, event_type, ts, event_id, CAST(event_id % 3 AS VARCHAR) AS k FROM events WHERE event_type <> 'view') GROUP BY user_id")
+def rule_concat_lists(spark, sf_dir):
+    """A5: lists are flattened by one level, in order; nulls are skipped."""
+    pair = F.when(F.col("event_type") != "view", F.array("event_type", (F.col("event_id") % 3).cast("string")))
+    rows = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", pair.alias("pair"))
+    out = apply_rules(rows, ["user_id"], [Rule("listed", "pair", "CONCAT")], F.struct("ts", "event_id"))
+    return out.where("size(listed) > 0").select("user_id", F.array_join("listed", ",").alias("listed"))
+
+
 @query(f"SELECT report, CAST(coalesce(sum(CASE WHEN code = 2 THEN value END), 0) AS BIGINT) AS stt_2, CAST(coalesce(sum(CASE WHEN code = 5 THEN value END), 0) AS BIGINT) AS stt_5 FROM ({_STAT}) GROUP BY report")
 def stat_code_sum(spark, sf_dir):
     return apply_rules(stat_rows(spark, sf_dir), ["report"], [Rule("stt_2", method="STT_SUM", stt=2), Rule("stt_5", method="STT_SUM", stt=5)])
@@ -93,8 +114,9 @@ def reporting_window(spark, sf_dir):
 
 @query("SELECT min(doc_id) AS doc_id, count(*) AS n FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS sig FROM documents) WHERE sig <> '' GROUP BY sig")
 def dedup_signature_first(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.withColumn("sig", signature([F.col("text")])).where("sig <> ''").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).select("doc_id", "n")
+    """Texts are grouped by a digest, so they aren't shuffled."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", signature([F.col("text")]).alias("sig"))
+    return docs.where("sig <> ''").select("doc_id", F.sha2("sig", 256).alias("digest")).groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).select("doc_id", "n")
 
 
 @query("SELECT min(p_partkey) AS p_partkey FROM part GROUP BY lower(p_brand), lower(p_type)")

@@ -110,10 +110,25 @@ def block_boundaries(spark, sf_dir):
 @query("WITH l AS (SELECT doc_id, CAST(n AS INTEGER) AS n, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents)), h AS (SELECT *, max(CASE WHEN length(line) < 40 THEN n END) OVER (PARTITION BY doc_id ORDER BY n) AS head FROM l) SELECT doc_id, head, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM h WHERE head IS NOT NULL GROUP BY 1, 2")
 def section_carry_forward(spark, sf_dir):
     """Lines under the short line (a heading) before them."""
-    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
-    before = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    held = lines.withColumn("head", F.last(F.when(F.length("line") < 40, F.col("n")), ignorenulls=True).over(before))
-    return held.where("head is not null").groupBy("doc_id", "head").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
+    sections = held_sections(read(spark, sf_dir, "documents")).select("doc_id", F.explode("sections").alias("s"))
+    return sections.select("doc_id", "s.head", F.col("s.lines").cast("long").alias("lines"), F.col("s.chars").cast("long").alias("chars"))
+
+
+def held_sections(docs):
+    """(doc_id, sections: array of head, title, lines, chars): lines from one heading to the next. One text is one row throughout: nothing is shuffled."""
+    rows = docs.where("text is not null").select("doc_id", F.split("text", "\n", -1).alias("held")).withColumn("sizes", F.transform("held", lambda x: F.length(x)))
+    rows = rows.withColumn("heads", F.filter(F.transform("sizes", lambda n, i: F.when(n < 40, i)), lambda i: i.isNotNull()))
+    ends = F.concat(F.slice("heads", 2, F.greatest(F.size("heads") - 1, F.lit(0))), F.array(F.size("held")))
+    one = lambda h, e: F.struct(h.alias("head"), F.col("held")[h].alias("title"), (e - h).alias("lines"), F.aggregate(F.slice("sizes", h + 1, e - h), F.lit(0), lambda a, n: a + n).alias("chars"))
+    return rows.where("size(heads) > 0").select("doc_id", F.zip_with("heads", ends, one).alias("sections"))
+
+
+@query("WITH l AS (SELECT doc_id, CAST(n AS INTEGER) AS n, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents)), h AS (SELECT *, max(CASE WHEN length(line) < 40 THEN n END) OVER (PARTITION BY doc_id ORDER BY n) AS head FROM l), s AS (SELECT doc_id, head, arg_min(line, n) AS title, count(*) - 1 AS lines FROM h WHERE head IS NOT NULL GROUP BY 1, 2) SELECT doc_id, md5(title) AS title, arg_max(lines, head) AS lines FROM s GROUP BY doc_id, s.title")
+def section_last_runs(spark, sf_dir):
+    """A heading that comes again begins its lines anew, so its last run counts."""
+    later = lambda s, i: F.exists(F.slice("sections", i + 2, F.size("sections")), lambda t: t["title"] == s["title"])
+    last = held_sections(read(spark, sf_dir, "documents")).select("doc_id", F.explode(F.filter("sections", lambda s, i: ~later(s, i))).alias("s"))
+    return last.select("doc_id", F.md5("s.title").alias("title"), (F.col("s.lines") - 1).cast("long").alias("lines"))
 
 
 @query("SELECT l_orderkey, l_linenumber AS stt, max_by(CAST(l_quantity AS BIGINT), row(l_partkey, l_suppkey, l_quantity)) AS ket_qua, max(l_returnflag) AS flag FROM lineitem GROUP BY 1, 2")
@@ -130,9 +145,9 @@ def text_grid_parse(spark, sf_dir):
     """A grid in running text, one line a row, read back by pattern."""
     row = F.concat_ws(" ", F.col("l_linenumber"), F.concat(F.lit("Số vụ "), "l_returnflag"), F.col("l_quantity").cast("long"))
     grid = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.concat_ws("\n", F.collect_list(row)).alias("grid"))
-    found = grid.select("l_orderkey", F.explode(F.split("grid", "\n")).alias("line"))
-    part = lambda i: F.regexp_extract("line", r"^(\d+) (.+?) (-?\d+)$", i).try_cast("bigint")
-    return found.groupBy("l_orderkey").agg(F.sum(part(1)).alias("codes"), F.sum(part(3)).alias("total"))
+    part = lambda i: F.transform(F.split("grid", "\n"), lambda line: F.regexp_extract(line, r"^(\d+) (.+?) (-?\d+)$", i).try_cast("bigint"))
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x, F.lit(0)))
+    return grid.select("l_orderkey", total(part(1)).alias("codes"), total(part(3)).alias("total"))
 
 
 @query("SELECT p_brand AS template, best AS pattern FROM (SELECT p_brand, (SELECT min(r_name) FROM region WHERE lower(p_brand) LIKE '%' || lower(substr(r_name, 1, 1)) || '%') AS best FROM (SELECT DISTINCT p_brand FROM part)) WHERE best IS NOT NULL")
@@ -158,7 +173,7 @@ _NAMES = "CASE p_partkey % 8 WHEN 0 THEN 'tong_so_vu_' WHEN 1 THEN 'stt_' WHEN 2
 
 def named(spark, sf_dir):
     stems = F.array(*map(F.lit, ["tong_so_vu_", "stt_", "danh_sach_", "ngay_", "is_", "tong_bao_cao_", "price_", "ghi_chu_"]))
-    return read(spark, sf_dir, "part").select("p_partkey", F.concat(F.element_at(stems, (F.col("p_partkey") % 8).cast("int") + 1), F.col("p_size").cast("string")).alias("name"))
+    return read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("template"), F.concat(F.element_at(stems, (F.col("p_partkey") % 8).cast("int") + 1), F.col("p_size").cast("string")).alias("name"))
 
 
 @query("SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'number' WHEN 1 THEN 'number' WHEN 2 THEN 'array' WHEN 3 THEN 'string' WHEN 4 THEN 'boolean' WHEN 5 THEN 'string' WHEN 6 THEN 'number' ELSE 'string' END AS kind FROM part")
@@ -174,8 +189,7 @@ def infer_rules(spark, sf_dir):
 @query(f"SELECT p_brand AS template, name, count(*) * 2 AS occurrences FROM (SELECT p_brand, {_NAMES} AS name FROM part) GROUP BY 1, 2")
 def placeholder_scan(spark, sf_dir):
     x = F.concat(F.lit("Số {{ "), "name", F.lit(" }} và {{"), "name", F.lit("}}."))
-    rows = named(spark, sf_dir).join(read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("template")), "p_partkey").select("template", x.alias("text"))
-    return placeholders(rows, "template", "text")
+    return placeholders(named(spark, sf_dir).select("template", x.alias("text")), "template", "text")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS props_k FROM events")
