@@ -91,3 +91,50 @@ def bounded_trace(rows: DataFrame, key: str, order: list[str], entry: Column, mo
     place = F.row_number().over(Window.partitionBy(key).orderBy(*(F.desc(c) for c in order)))
     last = rows.withColumn("_entry", entry).withColumn("_r", place).where(F.col("_r") <= most)
     return last.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_r")).alias("r"), "_entry"))), lambda x: x["_entry"]).alias("trace"))
+
+
+_STATES = list(TRANSITIONS)
+
+
+def _may() -> Column:
+    """For each state to go to, whether each state may go there (or is it)."""
+    return F.array(*(F.array(*(F.lit(to == old or to in TRANSITIONS[old]) for old in _STATES)) for to in _STATES))
+
+
+def _number_of(state: Column) -> Column:
+    return F.array_position(F.array(*map(F.lit, _STATES)), state).cast("int") - 1
+
+
+def transitions(events: DataFrame, initial: DataFrame | None = None, slice_: str = "hour", block: int = 256) -> DataFrame:
+    """M2: ``events`` (job, at, tie, to) in order, each with the state before it (``from_state``) and whether it is ``valid``; a step that isn't leaves the job where it is.
+
+    A step is a map from each state to the next. Events are cut into blocks (a slice of time, and ``block`` events of it); the maps of a
+    block are composed to one, a job's blocks are folded in order to tell each block's first state, and each block's events are told from it. So
+    no more of a job than a block, or one map a block, is ever in one row, however many events it has. ``initial`` (job, state): where jobs
+    stand before; they begin as pending elsewhere.
+    """
+    at = F.date_trunc(slice_, "at")
+    rows = events.select("job", at.alias("slice"), "at", "tie", _number_of(F.col("to")).alias("to"))
+    place = F.row_number().over(Window.partitionBy("job", "slice").orderBy("at", "tie"))
+    rows = rows.withColumn("block", ((place - 1) / block).cast("int"))
+    blocks = rows.groupBy("job", "slice", "block").agg(F.array_sort(F.collect_list(F.struct("at", "tie", "to"))).alias("steps")).withColumn("may", _may())
+    go = lambda s, to: F.when(F.col("may")[to][s], to).otherwise(s)
+    identity = F.sequence(F.lit(0), F.lit(len(_STATES) - 1))
+    whole = F.aggregate("steps", identity, lambda acc, step: F.transform(acc, lambda s: go(s, step["to"])))
+    maps = blocks.select("job", "slice", "block", whole.alias("whole")).groupBy("job").agg(F.array_sort(F.collect_list(F.struct("slice", "block", "whole"))).alias("maps"))
+    if initial is not None:
+        maps = maps.join(initial.select("job", _number_of(F.col("state")).alias("begun")), "job", "left")
+    begun = F.coalesce("begun", F.lit(0)) if initial is not None else F.lit(0)
+    seen = F.aggregate("maps", F.struct(begun.alias("now"), F.array().cast("array<int>").alias("starts")), lambda acc, m: F.struct(m["whole"][acc["now"]].alias("now"), F.concat(acc["starts"], F.array(acc["now"])).alias("starts")), lambda acc: acc["starts"])
+    starts = maps.select("job", F.explode(F.arrays_zip(F.transform("maps", lambda m: m["slice"]).alias("slice"), F.transform("maps", lambda m: m["block"]).alias("block"), seen.alias("start"))).alias("x")).select("job", "x.*")
+    out = F.struct(F.col("start").alias("now"), F.array().cast("array<int>").alias("before"))
+    told = F.aggregate("steps", out, lambda acc, step: F.struct(go(acc["now"], step["to"]).alias("now"), F.concat(acc["before"], F.array(acc["now"])).alias("before")), lambda acc: acc["before"])
+    each = blocks.join(starts, ["job", "slice", "block"]).select("job", "may", F.explode(F.arrays_zip("steps", told.alias("before"))).alias("x"))
+    name = lambda i: F.array(*map(F.lit, _STATES))[i]
+    return each.select("job", "x.steps.at", "x.steps.tie", name(F.col("x.before")).alias("from_state"), name(F.col("x.steps.to")).alias("to_state"), F.col("may")[F.col("x.steps.to")][F.col("x.before")].alias("valid"))
+
+
+def last_states(told: DataFrame) -> DataFrame:
+    """(job, state) after the events of ``transitions``."""
+    after = F.when(F.col("valid"), F.col("to_state")).otherwise(F.col("from_state"))
+    return told.groupBy("job").agg(F.max_by(after, F.struct("at", "tie")).alias("state"))

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from tallyforge.operators.lifecycle import TRANSITIONS, transitions
 from tallyforge.plans.registry import query, read
-from tallyforge.streaming.jobs import daily_counts, event_stream, run_once, state_machine, without_repeats
+from tallyforge.streaming.jobs import STEPS, daily_counts, event_stream, run_once, state_machine, without_repeats
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -17,10 +18,28 @@ def stream_dedup(spark, sf_dir):
     return run_once(without_repeats(event_stream(spark, sf_dir), ["user_id", "event_type"])).select("user_id", "event_type")
 
 
-@query()
+def _may(old: str, to: str) -> str:
+    return f"({old} = {to} OR " + " OR ".join(f"({old} = '{x}' AND {to} IN ({', '.join(repr(y) for y in ys)}))" for x, ys in TRANSITIONS.items() if ys) + ")"
+
+
+_STEPS = f"""WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, CASE event_type WHEN 'view' THEN 'processing' WHEN 'click' THEN 'extracted' WHEN 'purchase' THEN 'approved' ELSE 'failed' END AS b FROM events),
+r AS (SELECT user_id, event_id, k, 'pending' AS a, b FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.event_id, e.k, CASE WHEN {_may('r.a', 'r.b')} THEN r.b ELSE r.a END, e.b FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT user_id, event_id, a AS from_state, b AS to_state, {_may('a', 'b')} AS valid FROM r"""
+
+
+@query(_STEPS)
 def stream_state_machine(spark, sf_dir):
-    """Transitions of each job in arrival order, the ones that aren't allowed marked."""
-    return run_once(state_machine(event_stream(spark, sf_dir)))
+    """M2 over a stream: transitions of each job in order, those that aren't allowed marked."""
+    return state_machine(event_stream(spark, sf_dir))
+
+
+@query(_STEPS)
+def state_machine_audit(spark, sf_dir):
+    """M2 over a table."""
+    events = read(spark, sf_dir, "events")
+    to = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in STEPS.items()), F.lit("failed"))
+    told = transitions(events.select(F.col("user_id").alias("job"), F.col("ts").alias("at"), F.col("event_id").alias("tie"), to.alias("to")))
+    return told.select(F.col("job").alias("user_id"), F.col("tie").alias("event_id"), "from_state", "to_state", "valid")
 
 
 @query("SELECT count(*) AS n, count(DISTINCT user_id) AS jobs FROM events")

@@ -4,14 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tallyforge.operators.lifecycle import TRANSITIONS
+from tallyforge.operators.lifecycle import last_states, transitions
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 64) -> DataFrame:
@@ -31,38 +28,58 @@ def without_repeats(events: DataFrame, keys: list[str], late: str = "3650 days")
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's name in ``spark.checkpoint.dir``; where that is unset, in a temporary one, if the session runs on this machine alone."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tallyforge-")
+    return f"{base.rstrip('/')}/stream_{uuid.uuid4().hex}"
+
+
+#: The state that each type of event moves a job to; others fail it.
+STEPS = {"view": "processing", "click": "extracted", "purchase": "approved"}
+
+
 def state_machine(events: DataFrame) -> DataFrame:
-    """Per job (user) the transitions in order: valid ones move the job, others are marked and leave it where it is."""
-    names = {"view": "processing", "click": "extracted", "purchase": "approved"}
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-        now = state.get[0] if state.exists else "pending"
-        out = []
-        for row in rows.itertuples(index=False):
-            to = names.get(row.event_type, "failed")
-            valid = to == now or to in TRANSITIONS[now]
-            out.append((key[0], row.event_id, now, to, valid))
-            now = to if valid else now
-        state.update((now,))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "from_state", "to_state", "valid"])
+    """Per job (user) the transitions in order, over all batches of the stream: valid ones move the job, others are marked and leave it where it is.
+
+    Each batch is told by ``transitions`` from the states that the batch before left; states are a table of their own a batch, so a batch
+    that is run again writes the same files. Steps that aren't valid come in the rows with ``valid`` false, the dead letters.
+    """
+    spark = events.sparkSession
+    base = shared_folder(spark)
+    path = lambda kind, batch: f"{base}/{kind}/batch={batch}"
+    to = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in STEPS.items()), F.lit("failed"))
+
+    def step(rows: DataFrame, batch: int) -> None:
+        jobs = rows.select(F.col("user_id").alias("job"), F.col("ts").alias("at"), F.col("event_id").alias("tie"), to.alias("to"))
+        before = spark.read.schema("job long, state string").parquet(path("states", batch - 1)) if batch else None
+        transitions(jobs, before).write.mode("overwrite").parquet(path("rows", batch))
+        told = spark.read.parquet(path("rows", batch))
+        now = last_states(told)
+        if before is not None:
+            now = now.unionByName(before.join(now, "job", "left_anti"))
+        now.write.mode("overwrite").parquet(path("states", batch))
 
     rows = events.select("user_id", "event_id", "ts", "event_type")
-    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, from_state string, to_state string, valid boolean", "state string", "append", GroupStateTimeout.NoTimeout)
+    rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start().awaitTermination()
+    told = spark.read.schema("job long, at timestamp, tie long, from_state string, to_state string, valid boolean, batch int").parquet(f"{base}/rows")
+    return told.select(F.col("job").alias("user_id"), F.col("tie").alias("event_id"), "from_state", "to_state", "valid")
 
 
 def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all that there is and give its rows: to files in the shared folder (append), or to a table in memory (complete)."""
     spark = stream.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyforge-")).rstrip("/")
-    name = f"stream_{uuid.uuid4().hex}"
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/{name}/log").trigger(availableNow=True)
+    base = shared_folder(spark)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/log").trigger(availableNow=True)
     if mode == "append":
-        writer.format("parquet").option("path", f"{base}/{name}/rows").start().awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{base}/{name}/rows")
+        writer.format("parquet").option("path", f"{base}/rows").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
     def keep(rows: DataFrame, _: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{base}/{name}/rows")
+        rows.write.mode("overwrite").parquet(f"{base}/rows")
 
     writer.foreachBatch(keep).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/{name}/rows")
+    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
