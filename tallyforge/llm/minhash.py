@@ -7,15 +7,16 @@ their union, and by far more than ``SHARE`` of them, so it is enough to look up
 sketch's rarest values, all but ``SHARE * k - 1``. A value that very many documents hold (a
 licence, a passage) is looked up only by those that hold little else.
 
-Of each list every member is held against the list's head (its smallest hash): first by the
-sketches' overlap, which leaves out pairs that are surely far apart, then by the exact Jaccard
-similarity of full sets. So a group of copies costs one comparison a copy and list head.
-Jaccard distance keeps the triangle inequality, which tells what is left to compare in a list
-where some members aren't linked to the head: those strays, and members that are no nearer to
-the head than the nearest stray less the threshold. In most lists nothing is left. The rest of
-all lists, grouped by what they share, is sorted by set size and cut into blocks; blocks whose
-sizes can be similar are compared by sketches, then in full, and return the links that connect
-what they found (a spanning forest), not every pair.
+Lists have heads (a list's smallest hash). First each text is held against one of them, the head
+of the longest list that it is in, its centre if they link: by the sketches' overlap, which leaves
+out pairs that are surely far apart, then by the exact Jaccard similarity of full sets. Then
+members of lists are held against their heads, where the two haven't the same centre. So a group
+of copies costs about one comparison a copy. Jaccard distance keeps the triangle inequality, which
+tells what is left to compare in a list where some members aren't connected to the head: those
+strays, and members that are no nearer to the head than the nearest stray less the threshold. In
+most lists nothing is left. The rest of all lists, grouped by what they share, is sorted by set
+size and cut into blocks; blocks whose sizes can be similar are compared by sketches, then in
+full, and return the links that connect what they found (a spanning forest), not every pair.
 
 Every link is confirmed on full sets of 128-bit hashes; components of links are the classes.
 Chance of missing one link at similarity 0.85: under 1e-9 (binomial tail of 14 in 32); a class
@@ -304,17 +305,25 @@ def _classes(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
     released(sketches)
 
     lists = materialise(_candidates(ones))
-    total = lists.count()
-    heads = lists.groupBy("value").agg(F.min("h").alias("a"), F.count("*").alias("n"))
-    members = materialise(salted_join(lists, heads, ["value"], "h", total).where("a <> h").select("value", "a", F.col("h").alias("b")))
+    heads = lists.groupBy("value").agg(F.min("h").alias("a"), F.count("*").alias("n")).where("n > 1").withColumn("size", F.col("n"))
+    members = materialise(salted_join(lists, heads, ["value"], "h", lists.count()).where("a <> h").select("value", "a", F.col("h").alias("b"), "size"))
     released(lists)
-    near = compared(docs, ones, _near(members.select("a", "b").distinct(), ones), shingle)
-    linked = near.where(f"100 * both >= {percent} * either").select("a", "b")
-    left = materialise(_strays(members, near, 1 - percent / 100))
-    released(members)
+    far = lambda pairs: compared(docs, ones, _near(pairs, ones), shingle)
+    linking = F.expr(f"100 * both >= {percent} * either")
+    first = far(members.groupBy("b").agg(F.max_by("a", F.struct("size", -F.col("a"))).alias("a")).select("a", "b"))
+    distance = (1 - F.col("both") / F.col("either")).alias("d")
+    # each text's centre, and how far it is; a text that none was found for is its own
+    centres = materialise(first.where(linking).select(F.col("b").alias("h"), F.col("a").alias("centre"), distance))
+    apart = materialise(_apart(members, centres))
+    second = far(apart.where("not met").select("a", "b").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"))
+    near = first.unionByName(second)
+    linked = near.where(linking).select("a", "b")
+    left = materialise(_strays(apart, near, 1 - percent / 100))
+    for done in (members, centres, apart):
+        released(done)
     rest = _rest(left, docs, ones, percent, shingle)
     links = materialise(connected_components(linked if rest is None else linked.unionByName(rest)).select(F.col("node").alias("rep_h"), "component"))
-    for done in (left, near, ones):
+    for done in (left, first, second, ones):
         released(done)
 
     heads = reps.select("rep").distinct().withColumn("rep_h", F.col("rep.h")).join(links, "rep_h").groupBy("component").agg(F.min("rep").alias("head"), F.count("*").alias("n"))
@@ -335,16 +344,30 @@ def _near(pairs: DataFrame, ones: DataFrame) -> DataFrame:
     return both.where(common >= FAR * F.least(F.size("sketch_a"), F.size("sketch_b"))).select("a", "b")
 
 
+def _apart(members: DataFrame, centres: DataFrame) -> DataFrame:
+    """``members`` (value, a, b) with ``met``, whether the member has its head's centre, and ``most``, how far it can be from the head then.
+
+    ``centres`` (h, centre, d) tells of each text that has one; others are their own. Texts and heads are few against members, so the heads' side is split where hot.
+    """
+    one = lambda s: centres.select(F.col("h").alias(s), F.col("centre").alias(f"centre_{s}"), F.col("d").alias(f"d_{s}"))
+    heads = members.groupBy("a").agg(F.count("*").alias("n")).join(one("a"), "a", "left").select("a", "n", F.coalesce("centre_a", "a").alias("centre_a"), F.coalesce("d_a", F.lit(0.0)).alias("d_a"))
+    both = salted_join(members.join(one("b"), "b", "left"), heads, ["a"], "b", members.count())
+    met = F.coalesce("centre_b", "b") == F.col("centre_a")
+    return both.select("value", "a", "b", met.alias("met"), F.when(met, F.coalesce("d_b", F.lit(0.0)) + F.col("d_a")).alias("most"))
+
+
 def _strays(members: DataFrame, near: DataFrame, reach: float) -> DataFrame:
     """What the triangle inequality leaves to compare in each list: (value, h).
 
-    ``members`` (value, a, b) are the lists with their heads, ``near`` (a, b, both, either) the sizes of those near a head, ``reach`` the
+    ``members`` (value, a, b, met, most): see ``_apart``; ``near`` (a, b, both, either) the sizes of those near a head, ``reach`` the
     greatest distance of a link. A link between two members that the head doesn't connect has a stray at one end, and at the other
-    a stray or a member that is at most ``reach`` nearer to the head.
+    a stray or a member that is at most ``reach`` nearer to the head; of a member that has the head's centre only the most is known
+    that it can be away.
     """
     distances = near.select("a", "b", (1 - F.col("both") / F.col("either")).alias("d"))
-    told = members.join(distances, ["a", "b"], "left").select("value", F.col("b").alias("h"), F.coalesce("d", F.lit(1.0)).alias("d"))
-    stray, slack = F.col("d") > reach - 1e-9, 1e-9
+    told = members.join(distances, ["a", "b"], "left").select("value", F.col("b").alias("h"), "met", F.coalesce("d", "most", F.lit(1.0)).alias("d"))
+    slack = 1e-9
+    stray = ~F.col("met") & (F.col("d") > reach - slack)
     nearest = told.groupBy("value").agg(F.min(F.when(stray, F.col("d"))).alias("nearest"), F.count("*").alias("n")).where("nearest is not null and n > 1")
     return salted_join(told, nearest, ["value"], "h", members.count()).where(stray | (F.col("d") >= F.col("nearest") - reach - slack)).select("value", "h")
 
