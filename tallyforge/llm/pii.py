@@ -110,7 +110,7 @@ def entity(kind_: Column, value: Column) -> Column:
     digits = F.regexp_replace(value, r"\D", "")
     us = value.rlike(r"^(?:1[ .-]?)?(?:\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|[2-9]\d{2} [2-9]\d{2}[ -]\d{4})$")
     phone = F.when(value.startswith("+"), F.concat(F.lit("+"), digits)).when(us, F.concat(F.lit("+1"), F.right(digits, F.lit(10)))).when(digits.startswith("00"), F.concat(F.lit("+"), F.substring(digits, F.lit(3), F.length(digits)))).otherwise(digits)
-    return F.when(kind_ == "phone", phone).when(kind_ == "card", digits).when(kind_.isin("email", "ip6"), F.lower(value)).when(kind_ == "iban", F.replace(value, F.lit(" "), F.lit(""))).otherwise(value)
+    return F.when(kind_ == "phone", phone).when(kind_ == "card", digits).when(kind_.isin("email", "ip6", "surname") | kind_.startswith("given"), F.lower(value)).when(kind_ == "iban", F.replace(value, F.lit(" "), F.lit(""))).otherwise(value)
 
 
 def formatted(kind_: Column, raw: Column, new: Column) -> Column:
