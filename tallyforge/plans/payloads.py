@@ -195,3 +195,18 @@ def export_summary_sheet(spark, sf_dir):
 def export_key_values(spark, sf_dir):
     """The rows of the CSV export."""
     return sinks.key_values(_reports(spark, sf_dir), "o_orderkey")
+
+
+@query("SELECT o_orderkey AS job_id, o_custkey AS document_id, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority ELSE o_orderstatus END AS note, CASE WHEN o_orderstatus = 'F' THEN '[1,' || o_custkey || ']' ELSE '[' || o_custkey || ']' END AS items FROM orders")
+def export_detail_sheet(spark, sf_dir):
+    """Each job's reviewed data, or what was extracted where there is none."""
+    data = lambda note, items: F.struct(note.alias("note"), items.alias("items"))
+    key = F.col("o_custkey")
+    jobs = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), key.alias("document_id"), F.when(F.col("o_orderstatus") == "F", data(F.col("o_orderpriority"), F.array(F.lit(1).cast("long"), key))).alias("reviewed"), data(F.col("o_orderstatus"), F.array(key)).alias("extracted"))
+    return sinks.detail_sheet(jobs, ["job_id", "document_id"], "reviewed", "extracted")
+
+
+@query("SELECT o_orderkey, 'exports/' || (o_custkey % 5) || '/daily/' || strftime(o_orderdate, '%Y%m%d') || '/' || o_orderkey || '.csv' AS path FROM orders")
+def daily_export_keys(spark, sf_dir):
+    """S18."""
+    return read(spark, sf_dir, "orders").select("o_orderkey", sinks.export_key(F.col("o_custkey") % 5, F.col("o_orderdate"), F.col("o_orderkey"), "csv").alias("path"))

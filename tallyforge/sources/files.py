@@ -21,5 +21,6 @@ def tenant(path: Column) -> Column:
 
 
 def watched(spark: SparkSession, path: str, archive: str, pattern: str = REPORTS) -> DataFrame:
-    """New files as a stream; files that are done move to ``archive``."""
-    return spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("cleanSource", "archive").option("sourceArchiveDir", archive).load(path)
+    """New files of a folder and those in it as a stream; files that are done move to ``archive``, which lies outside of it."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    return spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("cleanSource", "archive").option("sourceArchiveDir", archive).load(path)

@@ -38,9 +38,23 @@ def key_values(df: DataFrame, key: str) -> DataFrame:
     return _pairs(df, key, ("Field", "Value"), ["_metadata"], False)
 
 
-def sheets(df: DataFrame, key: str) -> dict[str, DataFrame]:
-    """The sheets of a workbook by name; those for which there is no column are left out."""
+def detail_sheet(jobs: DataFrame, keep: list[str], reviewed: str, extracted: str) -> DataFrame:
+    """A row a job: the columns ``keep``, and the fields of the struct that was reviewed, or else extracted; lists and parts as JSON."""
+    data = jobs.select(*keep, F.coalesce(reviewed, extracted).alias("_data"))
+    fields = data.schema["_data"].dataType
+    return data.select(*keep, *((F.to_json(F.col(f"_data.`{f.name}`")) if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)) else F.col(f"_data.`{f.name}`").cast("string")).alias(f.name) for f in fields))
+
+
+def export_key(tenant: Column, day: Column, report: Column, kind: str) -> Column:
+    """Where a day's export of a tenant lies."""
+    return F.concat(F.lit("exports/"), tenant.cast("string"), F.lit("/daily/"), F.date_format(day, "yyyyMMdd"), F.lit("/"), report.cast("string"), F.lit(f".{kind}"))
+
+
+def sheets(df: DataFrame, key: str, detail: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The sheets of a workbook by name; those for which there is no column are left out, as is ``detail`` (see ``detail_sheet``) without jobs."""
     out = {"summary": summary_sheet(df, key)}
+    if detail is not None:
+        out["detail"] = detail
     if "_source_records" in df.columns:
         records = df.select(key, F.explode("_source_records").alias("r")).select(key, "r.*")
         flat = normalised(records)
@@ -50,8 +64,8 @@ def sheets(df: DataFrame, key: str) -> dict[str, DataFrame]:
     return out
 
 
-def write_workbook(df: DataFrame, key: str, path: str) -> None:
-    for name, sheet in sheets(df, key).items():
+def write_workbook(df: DataFrame, key: str, path: str, detail: DataFrame | None = None) -> None:
+    for name, sheet in sheets(df, key, detail).items():
         sheet.write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
 
 
