@@ -154,3 +154,34 @@ def calendar_grid(spark, sf_dir):
     rows = months.select("m", F.explode(weeks).alias("w")).select("m", "w.week", "w.days")
     packed = F.aggregate(F.transform("days", lambda d, i: d.cast("long") * F.pow(F.lit(100), i).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     return rows.select(F.date_format("m", "yyyy-MM").alias("month"), "week", packed.alias("cells"), F.size(F.filter("days", lambda d: d > 0)).cast("long").alias("days"))
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'click' AND ts < TIMESTAMP '2024-01-15' - INTERVAL 2 HOUR")
+def stuck_documents(spark, sf_dir):
+    """F8: documents that have been processed for more than two hours, seen from a fixed time."""
+    old = F.col("ts") < F.expr("timestamp_ntz'2024-01-15 00:00:00' - interval 2 hours")
+    return read(spark, sf_dir, "events").where((F.col("event_type") == "click") & old).select("event_id")
+
+
+@query(f"SELECT tenant, strftime(created_at, '%Y-%m-%d') AS day, count(*) AS jobs FROM ({_JOBS}) WHERE status IN ('approved', 'aggregated', 'ready_for_review') GROUP BY 1, 2")
+def reportable_jobs(spark, sf_dir):
+    """F5."""
+    rows = jobs(spark, sf_dir).where(F.col("status").isin("approved", "aggregated", "ready_for_review"))
+    return rows.groupBy("tenant", F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("jobs"))
+
+
+@query(f"SELECT job, d.source AS document, coalesce(p.p_brand, 'none') AS template FROM ({_JOBS}) j LEFT JOIN documents d ON d.doc_id = j.job LEFT JOIN part p ON p.p_partkey = j.batch * 3")
+def job_names(spark, sf_dir):
+    """A job with its document and its template, either of which may be missing."""
+    documents = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("job"), F.col("source").alias("document"))
+    templates = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("template"))
+    rows = jobs(spark, sf_dir).select("job", "batch").join(documents, "job", "left").join(templates, F.col("batch") * 3 == F.col("key"), "left")
+    return rows.select("job", "document", F.coalesce("template", F.lit("none")).alias("template"))
+
+
+@query("SELECT c_custkey AS member, s_name AS name, c_mktsegment AS role FROM customer JOIN supplier ON s_suppkey = c_custkey - 40 WHERE c_mktsegment <> 'HOUSEHOLD'")
+def role_members(spark, sf_dir):
+    """Roles with their users; a role whose user is gone is left out."""
+    roles = read(spark, sf_dir, "customer").where("c_mktsegment <> 'HOUSEHOLD'").select(F.col("c_custkey").alias("member"), F.col("c_mktsegment").alias("role"))
+    users = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("user"), F.col("s_name").alias("name"))
+    return roles.join(users, F.col("member") - 40 == F.col("user")).select("member", "name", "role")

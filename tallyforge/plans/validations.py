@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyforge.operators import validate as V
+from tallyforge.operators.payload import normalised
 from tallyforge.plans.registry import query, read
 
 _CODES = [*V.REQUIRED, "2", "8"]
@@ -94,6 +95,15 @@ def payload_snapshot(spark, sf_dir):
     return p.select("report", s.alias("s")).select("report", "s.header.so_bao_cao", "s.sizes.bang_thong_ke", "s.sizes.danh_sach_cnch", F.col("s.sizes.danh_sach_cong_van_tham_muu").alias("cong_van"), "s.key_metrics.stt_31", "s.key_metrics.tong_so_vu_no")
 
 
+@query(f"SELECT report, s.so_bao_cao AS s_header_so_bao_cao, s.n AS s_sizes_n, s.n * 2 AS s_deep_inner_twice, tong_so_vu_chay AS top FROM (SELECT h.report, tong_so_vu_chay, {{'so_bao_cao': coalesce(so_bao_cao, ''), 'n': CAST(coalesce(n, 0) AS INTEGER)}} AS s FROM ({_HEADS}) h LEFT JOIN (SELECT report, count(*) AS n FROM ({_LINES}) GROUP BY 1) USING (report))")
+def payload_columns(spark, sf_dir):
+    """Nested fields, however deep, as columns named by their path."""
+    p = payloads(spark, sf_dir)
+    n = F.greatest(F.coalesce(F.size("bang_thong_ke"), F.lit(0)), F.lit(0))
+    nested = F.struct(F.struct(F.coalesce("header.so_bao_cao", F.lit("")).alias("so_bao_cao")).alias("header"), F.struct(n.alias("n")).alias("sizes"), F.struct(F.struct((n * 2).alias("twice")).alias("inner")).alias("deep"))
+    return normalised(p.select("report", nested.alias("s"), F.col("nghiep_vu.tong_so_vu_chay").alias("top")))
+
+
 _JSON = """concat('{', CASE WHEN event_id % 5 = 0 THEN '"header": "x", ' WHEN event_id % 5 = 1 THEN '' ELSE concat('"header": {"so_bao_cao": "', CAST(user_id AS VARCHAR(20)), '", "ngay_bao_cao": ""', CASE WHEN event_id % 3 = 0 THEN ', "don_vi_bao_cao": "k"' ELSE '' END, ', "thoi_gian_tu_den": null}, ') END,
 CASE WHEN event_id % 7 < 5 THEN '"bang_thong_ke": [{"stt": "1"}], ' ELSE '"bang_thong_ke": {}, ' END, CASE WHEN event_type = 'view' THEN '' ELSE '"danh_sach_cnch": [], ' END, '"danh_sach_cong_tac_khac": [], "danh_sach_cong_van_tham_muu": ', CASE WHEN event_type = 'click' THEN '5' ELSE '[]' END,
 ', "danh_sach_phuong_tien_hu_hong": [], "phan_I_va_II_chi_tiet_nghiep_vu": {}', CASE WHEN event_id % 11 = 0 THEN ' broken' ELSE '}' END)""".replace("\n", " ")
