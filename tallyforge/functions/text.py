@@ -45,8 +45,45 @@ def clean_label(x: Column) -> Column:
 
 
 def counter(x: Column, noun: str) -> Column:
-    """A count beside a noun: after a leading word, else before the noun; not part of a code; 0 if there is none."""
-    return F.coalesce(F.nullif(F.regexp_extract(x, rf"(?iu){noun}\s*[:=]\s*(\d+)", 1), F.lit("")).try_cast("int"), F.nullif(F.regexp_extract(x, rf"(?iu)(?<![/\d])(\d+)\s+{noun}", 1), F.lit("")).try_cast("int"), F.lit(0))
+    """A count beside a noun: between a leading verb and it, or after it; else before it, not as part of a code; 0 if there is none."""
+    led = rf"(?iU)(?:tham\s*mưu|ban\s*hành|gửi)\s+(\d+)\s+{noun}|{noun}[:\s]+(\d+)"
+    number = lambda pattern, i: F.nullif(F.regexp_extract(x, pattern, i), F.lit("")).try_cast("int")
+    return F.coalesce(number(led, 1), number(led, 2), number(rf"(?iU)(?<!/)(\d+)\s+{noun}", 1), F.lit(0))
+
+
+#: Kinds of documents, letters with marks, and what a wrong decoding leaves in their place.
+DOCUMENT = r"(?:Công\s*văn|CV|Tờ\s*trình|Báo\s*cáo|Kế\s*hoạch)"
+MARKED = "àáảãạăắằẳẵặâấầẩẫậèéẻẽẹêếềểễệìíỉĩịòóỏõọôốồổỗộơớờởỡợùúủũụưứừửữựỳýỷỹỵđÀÁẢÃẠĂẮẰẲẴẶÂẤẦẨẪẬÈÉẺẼẸÊẾỀỂỄỆÌÍỈĨỊÒÓỎÕỌÔỐỒỔỖỘƠỚỜỞỠỢÙÚỦŨỤƯỨỪỬỮỰỲÝỶỸỴĐ"
+GARBLED = ["6ng", "6y", "6n", "6i", "6o", "6c", "6t", "5n", "5t", "5i", "5o", "4n", "4i", "4t", "1f", "1i", "1n", "9 ", "Q ", "OOi", "OO "]
+
+
+def document_items(x: Column) -> Column:
+    """(so_ky_hieu, noi_dung) of each document that a text lists: split codes joined, a date before the content left out, items whose code has no digit too."""
+    kind_code = rf"{DOCUMENT}\s*(?:s(?:ố|o)\s*[:.]?\s*)?([0-9A-Za-zĐđ][0-9A-Za-zĐđ/-]*(?:\s+\d{{1,4}})?)\s*"
+    whole = rf"(?iUs){kind_code}.*?(?=(?:;\s*|,\s*|\.\s*-\s*|\.\s*|\bvà\s+){DOCUMENT}\b|\d+\.\s*Công\s+tác|$)"
+    found = F.regexp_extract_all(collapse(F.regexp_replace(x, "\n", " ")), F.lit(whole), F.lit(0))
+
+    def item(m: Column) -> Column:
+        code = F.regexp_replace(F.regexp_replace(F.regexp_extract(m, rf"(?iUs)^{kind_code}", 1), r"^[ ,:;.-]+|[ ,:;.-]+$", ""), r"\s+(?=\d{1,4}$)", "")
+        said = F.regexp_replace(F.regexp_extract(m, rf"(?iUs)^{kind_code}(.*)$", 2), r"^[ :;,.-]+|\s+$", "")
+        spill = F.when(code.rlike("/[A-Za-z]+$"), F.regexp_extract(said, r"(?iU)^(\d{1,4})\s+(?=ngày\b)", 1)).otherwise("")
+        said = F.when(spill != "", F.regexp_replace(said, r"^\d{1,4}\s+", "")).otherwise(said)
+        said = F.regexp_replace(F.regexp_replace(said, r"(?iU)^ngày\s+\d{1,2}/\d{1,2}/\d{4}\s*", ""), r"^[ :;,.-]+|\s+$", "")
+        return F.struct(F.concat(code, spill).alias("so_ky_hieu"), said.alias("noi_dung"))
+
+    return F.filter(F.transform(found, item), lambda d: d["so_ky_hieu"].rlike(r"\d"))
+
+
+def garbled(x: Column, sample: int = 2000) -> Column:
+    """(garbled, confidence): whether a text of some length has hardly a letter with a mark but several signs of a wrong decoding, seen over its first ``sample`` characters, which is what the score is defined on."""
+    s = F.substring(x, 1, sample)
+    letters = F.length(F.regexp_replace(s, r"[^\p{L}]", ""))
+    share = (F.length(s) - F.length(F.translate(s, MARKED, ""))) / F.greatest(letters, F.lit(1))
+    hits = F.size(F.filter(F.array(*map(F.lit, GARBLED)), lambda g: s.contains(g)))
+    read = (F.length(F.regexp_replace(x, r"(?U)^\s+|\s+$", "")) >= 50) & (letters >= 20)
+    sure, likely = read & (share < 0.01) & (hits >= 3), read & (share < 0.03) & (hits >= 5)
+    value = F.when(sure, F.least(F.lit(1.0), F.lit(0.5) + hits * 0.1)).when(likely, 0.8).otherwise(0.0)
+    return F.struct(F.coalesce(sure | likely, F.lit(False)).alias("garbled"), F.round(F.coalesce(value, F.lit(0.0)), 3).alias("confidence"))
 
 
 def document_codes(x: Column) -> Column:

@@ -191,3 +191,25 @@ def bounded_traces(spark, sf_dir):
     """The last twenty steps of each job."""
     events = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
     return L.bounded_trace(events, "user_id", ["ts", "event_id"], F.col("event_type"), 20).select("user_id", F.array_join("trace", ",").alias("trace"))
+
+
+_SPOILT = "CASE WHEN doc_id % 3 = 0 THEN concat(translate(text, 'áàâéèêíóôúüöäßñçëïîùû', 'aaaeeeiooouuoasnceiiuu'), ' ch6y ch6n 5t 1n OOi 4t Q x') WHEN doc_id % 3 = 1 THEN substring(text, 1, n_chars % 90) ELSE text END"
+_GARBLED = "[" + ", ".join(f"'{g}'" for g in text.GARBLED) + "]"
+
+
+@query(f"""WITH t AS (SELECT doc_id, substring({_SPOILT}, 1, 2000) AS s, length(trim({_SPOILT}, ' ' || chr(10) || chr(9) || chr(13))) AS n FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, n, length(regexp_replace(s, '[^\\p{{L}}]', '', 'g')) AS letters, length(s) - length(translate(s, '{text.MARKED}', '')) AS marked, len([g FOR g IN {_GARBLED} IF contains(s, g)]) AS hits FROM t)
+SELECT doc_id, n >= 50 AND letters >= 20 AND ((marked / greatest(letters, 1) < 0.01 AND hits >= 3) OR (marked / greatest(letters, 1) < 0.03 AND hits >= 5)) AS garbled, CAST(CASE WHEN NOT (n >= 50 AND letters >= 20) THEN 0 WHEN marked / greatest(letters, 1) < 0.01 AND hits >= 3 THEN least(1.0, 0.5 + hits * 0.1) WHEN marked / greatest(letters, 1) < 0.03 AND hits >= 5 THEN 0.8 ELSE 0 END AS DOUBLE) AS confidence FROM c""")
+def garbled_texts(spark, sf_dir):
+    """T25."""
+    docs = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.garbled(F.expr(_SPOILT)).alias("x"))
+    return docs.select("doc_id", "x.garbled", "x.confidence")
+
+
+_LISTED = "concat('Tham mưu Công văn số ', CAST(o_custkey AS VARCHAR(20)), '/CV-KV 30 ngày 1/2/2026 về việc ', o_orderpriority, CASE WHEN o_orderkey % 2 = 0 THEN '; ' ELSE ' và ' END, 'Báo cáo ', CAST(o_orderkey AS VARCHAR(20)), '/BC gửi quận. Kế hoạch chung', CASE WHEN o_orderkey % 3 = 0 THEN concat(', Tờ trình số: ', CAST(o_orderkey % 50 AS VARCHAR(20)), '/TTr 7 ngày 03/04/2026 xin, kinh phí') ELSE '' END)"
+
+
+@query("SELECT o_orderkey, o_custkey || '/CV-KV30' AS so_ky_hieu, 'về việc ' || o_orderpriority AS noi_dung FROM orders UNION ALL SELECT o_orderkey, o_orderkey || '/BC', 'gửi quận' FROM orders UNION ALL SELECT o_orderkey, (o_orderkey % 50) || '/TTr7', 'xin, kinh phí' FROM orders WHERE o_orderkey % 3 = 0")
+def listed_documents(spark, sf_dir):
+    """T18."""
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.explode(text.document_items(F.expr(_LISTED))).alias("d"))
+    return rows.select("o_orderkey", "d.so_ky_hieu", "d.noi_dung")
