@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyforge.llm import minhash, packing, pii, quality, substring
-from tallyforge.llm.common import materialise, table
+from tallyforge.llm.common import materialise, released, table
 
 STAGES = [
     ("quality", quality.stage),
@@ -19,12 +19,15 @@ STAGES = [
     ("packing", packing.stage),
 ]
 
-#: A learned model takes part, so SQL can't express it; tests hold each stage against a plain version.
+#: A learned model takes part, so SQL can't express it; a test holds each stage, on what the one before kept, against a plain version or planted rows.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, done = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir))
+        if done is not None:
+            released(done)  # the next stage has read it
+        done = docs
     return docs
