@@ -199,10 +199,22 @@ def salted_join(rows: DataFrame, keyed: DataFrame, keys: list[str], spread: str,
     return dealt(rows, keyed, keys, spread, total, n).join(copied, [*keys, "_part"], how).drop("_part")
 
 
+def split_join(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int, n: str = "n") -> DataFrame:
+    """``rows`` joined with ``keyed``, which has one row a key and in column ``n`` how many rows have it (of about ``total`` in all).
+
+    Keys that more than a ``HOT_KEYS``-th part of all rows share, at most ``HOT_KEYS`` of them, are joined map-side, so their rows aren't
+    shuffled; the others are joined by a shuffle, which ``keyed`` as a rule has behind it. To be used where ``rows`` are cheap to read twice.
+    """
+    share = max(1, total // HOT_KEYS)
+    hot = keyed.where(F.col(n) > share).drop(n)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(keyed.where(F.col(n) <= share).drop(n), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of the undirected graph of ``edges`` (a, b: long); a component is its smallest node.
 
-    Rounds of large-star and small-star, each a grouped minimum joined back by ``salted_join``, so that a node with very
+    Rounds of large-star and small-star, each a grouped minimum joined back by ``split_join``, so that a node with very
     many neighbours is not one task's work; the rounds end when the edges are stars. Nodes without an edge to another are
     left out.
     """
@@ -212,9 +224,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         total = 2 * before[0]
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         lowest = both.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n")).select("v", F.least("v", "m").alias("m"), "n")
-        large = salted_join(both, lowest, ["v"], "u", total).where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u <> v").distinct()
+        large = split_join(both, lowest, ["v"], total).where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u <> v").distinct()
         low = large.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))
-        small = salted_join(large, low, ["v"], "u", total).select(F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("m").alias("u"))
+        small = split_join(large, low, ["v"], total).select(F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("m").alias("u"))
         after = materialise(small.where("u <> v").distinct())
         released(edges)
         edges, now = after, _shape(after)

@@ -7,26 +7,22 @@ their union, and by far more than ``SHARE`` of them, so it is enough to look up
 sketch's rarest values, all but ``SHARE * k - 1``. A value that very many documents hold (a
 licence, a passage) is looked up only by those that hold little else.
 
-Lists have heads (a list's smallest hash). First each text is held against one of them, the head
-of the longest list that it is in, its centre if they link: by the sketches' overlap, which leaves
-out pairs that are surely far apart, then by the exact Jaccard similarity of full sets. Then
-members of lists are held against their heads, where the two haven't the same centre. So a group
-of copies costs about one comparison a copy. Jaccard distance keeps the triangle inequality, which
-tells what is left to compare in a list where some members aren't connected to the head: those
-strays, and members that are no nearer to the head than the nearest stray less the threshold. In
-most lists nothing is left. The rest of all lists, grouped by what they share, is sorted by set
-size and cut into blocks; blocks whose sizes can be similar are compared by sketches, then in
-full, and return the links that connect what they found (a spanning forest), not every pair.
-
-Every link is confirmed on full sets of 128-bit hashes; components of links are the classes.
-Chance of missing one link at similarity 0.85: under 1e-9 (binomial tail of 14 in 32); a class
-has more than one link as a rule.
+Documents that meet in lists, directly or through others, form candidate groups. A group is
+sorted by set size and cut into blocks; pairs of blocks whose sizes can be similar are
+compared, first by the overlap of the union's sketch, and what that leaves by the exact
+Jaccard similarity of full sets. A pair of blocks returns the links that connect what it
+found (a spanning forest), not every pair; components of these are the classes. Chance of
+missing one link at similarity 0.85: under 1e-9 (binomial tail of 14 in 32); a class has
+more than one link as a rule.
 
 Cases: null texts and texts without words have an empty set, link with nothing and are kept;
 with fewer words than a shingle, the whole sequence is the one shingle; very long texts give
 a block of their own; equal rows link and share a verdict; of rows that share an id each text
 is compared by itself; a row without an id is kept if no row of its class has one (of several
 such texts that of least hash), with a null component_id; no rows give no rows; ``near_duplicates`` keeps other columns out and ``stage`` keeps them all, whatever their names.
+
+Very frequent keys (the digests of a text that very many copies have, a value of very many sketches, a hub of links) are
+joined by ``split_join``, map-side, so none is one task's work.
 """
 
 from __future__ import annotations
@@ -41,13 +37,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import WordHasher, connected_components, dealt, materialise, mix, own_name, released, salted_join, signed, table, utf8_parts, word_bounds
+from tallyforge.llm.common import WordHasher, connected_components, materialise, mix, own_name, released, signed, split_join, table, utf8_parts, word_bounds
 
 SHINGLE = 5
 #: Values of a sketch, and the share of a smaller sketch that two similar sets have in common at least.
 SKETCH, SHARE = 32, 14 / 32
-#: The share below which two sets are surely farther apart than twice the greatest distance of a link.
-FAR = 6 / 32
 #: Documents and shingles of a block at most (one longer document is a block).
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 19
 
@@ -57,24 +51,6 @@ def _hasher() -> WordHasher:
     return WordHasher(51, fold_case=True)
 
 
-@functools.cache
-def _second() -> WordHasher:
-    return WordHasher(52, fold_case=True)
-
-
-def _full_sets(data: np.ndarray, off: np.ndarray, shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The sorted set of shingle hashes of each text, and the same shingles' hashes by a second function."""
-    starts, ends, heads = word_bounds(data, off)
-    both = [(h.words(data, starts, ends), h) for h in (_hasher(), _second())]
-    runs = [h.runs(words, shingle) for words, h in both]
-    for a, b in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True):
-        if b - a >= shingle:
-            values, at = np.unique(runs[0][a : b - shingle + 1], return_index=True)
-            yield values, runs[1][a : b - shingle + 1][at]
-        else:
-            yield tuple(h.runs(words[a:b], b - a) if b > a else np.zeros(0, np.uint64) for words, h in both)
-
-
 def _sets(data: np.ndarray, off: np.ndarray, shingle: int) -> Iterator[np.ndarray]:
     """The sorted set of shingle hashes of each text."""
     starts, ends, heads = word_bounds(data, off)
@@ -232,63 +208,12 @@ def _links(percent: int):
     return run
 
 
-def _compare(shingle: int):
-    """Rows (a, part, b, text) in order of (a, part, b), the text of ``a`` first (without b): the similarity of each pair."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64),) * 2
-        whose = None
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            found = []
-            for lo, _, data, off in utf8_parts(batch.column(3)):
-                for i, (values, more) in enumerate(_full_sets(data, off, shingle), lo):
-                    if b[i] is None:
-                        head, whose = (values, more), a[i]
-                    elif whose == a[i]:
-                        _, x, y = np.intersect1d(head[0], values, assume_unique=True, return_indices=True)
-                        both = int((head[1][x] == more[y]).sum())
-                        found.append((a[i], b[i], both, len(head[0]) + len(values) - both))
-            columns = zip(*found, strict=True) if found else ((),) * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["a", "b", "both", "either"])
-
-    return run
-
-
-def compared(docs: DataFrame, ones: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """``pairs`` (a, b) of hashes of texts, with the sizes of their sets' intersection and union.
-
-    ``ones`` (i, h) tells which row of ``docs`` (i, h, text) stands for a text. The texts of b are dealt to a's, to those with very many in parts.
-    """
-    pairs = materialise(pairs)
-    heads = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    parted = dealt(pairs, heads, ["a"], "b", pairs.count()).select("a", F.col("_part").alias("part"), "b")
-    uses = parted.withColumn("h", F.col("b")).unionByName(parted.select("a", "part").distinct().select("a", "part", F.lit(None).cast("long").alias("b"), F.col("a").alias("h")))
-    listed = uses.groupBy("h").agg(F.collect_list(F.struct("a", "part", "b")).alias("uses")).join(ones.select("i", "h"), "h")
-    texts = docs.select("i", "h", "text").join(listed.hint("merge"), ["i", "h"]).dropDuplicates(["i", "h"])
-    rows = texts.select(F.explode("uses").alias("u"), "text").select("u.a", "u.part", "u.b", "text")
-    out = materialise(rows.repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b")).mapInArrow(_compare(shingle), "a long, b long, both long, either long"))
-    released(pairs)
-    return out
-
-
 def _row_key() -> tuple[Column, Column]:
     """What tells rows apart: the id, where there is one, and a hash of the text."""
     h = F.xxhash64(F.col("text").cast("string"))
     return F.coalesce(F.col("doc_id").cast("long"), h), h
 
 
-def _candidates(sketches: DataFrame) -> DataFrame:
-    """Inverted lists (value, h) of ``sketches`` (h, sketch): of each the rarest values, of those that occur elsewhere."""
-    values = sketches.select("h", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
-    (total,) = sketches.agg(F.coalesce(F.sum(F.size("sketch")), F.lit(0))).first()
-    often = values.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").withColumn("df", F.col("n"))
-    rare = salted_join(values, often, ["value"], "h", total).groupBy("h", "k").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("often"))
-    reach = F.col("k") - F.greatest(F.lit(1), F.floor(SHARE * F.col("k"))).cast("int") + 1  # values to look up, with those that occur once
-    looked = rare.withColumn("n", reach - (F.col("k") - F.size("often"))).where("n > 0")
-    return looked.select(F.explode(F.expr("slice(often, 1, n)")).alias("x"), "h").select("x.value", "h")
-
-
 def _classes(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, h (hash of the text), n_shingles, component_id, kept."""
     i, h = _row_key()
@@ -299,101 +224,39 @@ def _classes(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
     same = sketches.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min(row).alias("rep"), F.count("*").alias("n"))
     sized = sketches.select("doc_id", "h", "n_shingles", "d1", "d2")
     apart = sized.where("n_shingles = 0").select("doc_id", "h", "n_shingles", row.alias("rep"))
-    reps = materialise(salted_join(sized.where("n_shingles > 0"), same, ["d1", "d2", "n_shingles"], "doc_id", sketches.count()).select("doc_id", "h", "n_shingles", "rep").unionByName(apart))
-    keys = reps.where("h = rep.h and doc_id <=> rep.doc_id and n_shingles > 0").select(F.coalesce("doc_id", "h").alias("i"), "h").distinct()
-    ones = materialise(sketches.withColumn("i", F.coalesce("doc_id", "h")).join(keys, ["i", "h"], "left_semi").dropDuplicates(["h"]).select("i", "h", "n_shingles", "sketch"))
+    n_rows = sketches.count()
+    reps = materialise(split_join(sized.where("n_shingles > 0"), same, ["d1", "d2", "n_shingles"], n_rows).select("doc_id", "h", "n_shingles", "rep").unionByName(apart))
+    keys = reps.where("h = rep.h and doc_id <=> rep.doc_id and n_shingles > 0").select(F.coalesce("doc_id", "h").alias("i"), "h", "n_shingles").distinct()
+    ones = materialise(sketches.withColumn("i", F.coalesce("doc_id", "h")).join(keys.select("i", "h"), ["i", "h"], "left_semi").select("h", "sketch"))
     released(sketches)
 
-    lists = materialise(_candidates(ones))
-    heads = lists.groupBy("value").agg(F.min("h").alias("a"), F.count("*").alias("n")).where("n > 1").withColumn("size", F.col("n"))
-    members = materialise(salted_join(lists, heads, ["value"], "h", lists.count()).where("a <> h").select("value", "a", F.col("h").alias("b"), "size"))
+    # the rarest values of each sketch, of those that occur elsewhere
+    values = ones.select("h", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
+    often = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1").withColumn("n", F.col("df"))
+    rare = split_join(values, often, ["value"], SKETCH * n_rows).groupBy("h", "k").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("often"))
+    reach = F.col("k") - F.greatest(F.lit(1), F.floor(SHARE * F.col("k"))).cast("int") + 1  # values to look up, with those that occur once
+    looked = rare.withColumn("n", reach - (F.col("k") - F.size("often"))).where("n > 0").select("h", F.explode(F.expr("slice(often, 1, n)")).alias("x"))
+    lists = materialise(looked.select("h", "x.value"))
+    released(ones)
+    heads = lists.groupBy("value").agg(F.min("h").alias("b"), F.count("*").alias("n"))
+    groups = materialise(connected_components(split_join(lists, heads, ["value"], lists.count()).select(F.col("h").alias("a"), "b")))
     released(lists)
-    far = lambda pairs: compared(docs, ones, _near(pairs, ones), shingle)
-    linking = F.expr(f"100 * both >= {percent} * either")
-    first = far(members.groupBy("b").agg(F.max_by("a", F.struct("size", -F.col("a"))).alias("a")).select("a", "b"))
-    distance = (1 - F.col("both") / F.col("either")).alias("d")
-    # each text's centre, and how far it is; a text that none was found for is its own
-    centres = materialise(first.where(linking).select(F.col("b").alias("h"), F.col("a").alias("centre"), distance))
-    apart = materialise(_apart(members, centres))
-    second = far(apart.where("not met").select("a", "b").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"))
-    near = first.unionByName(second)
-    linked = near.where(linking).select("a", "b")
-    left = materialise(_strays(apart, near, 1 - percent / 100))
-    for done in (members, centres, apart):
-        released(done)
-    rest = _rest(left, docs, ones, percent, shingle)
-    links = materialise(connected_components(linked if rest is None else linked.unionByName(rest)).select(F.col("node").alias("rep_h"), "component"))
-    for done in (left, first, second, ones):
-        released(done)
-
-    heads = reps.select("rep").distinct().withColumn("rep_h", F.col("rep.h")).join(links, "rep_h").groupBy("component").agg(F.min("rep").alias("head"), F.count("*").alias("n"))
-    reps = reps.withColumn("rep_h", F.col("rep.h"))
-    counts = reps.groupBy("rep_h").agg(F.count("*").alias("n"))
-    topped = salted_join(links, heads, ["component"], "rep_h", links.count()).join(counts, "rep_h").select("rep_h", "head", "n")
-    out = salted_join(reps, topped, ["rep_h"], "doc_id", reps.count(), how="left").withColumn("top", F.coalesce("head", "rep"))
-    return out.select("doc_id", "h", "n_shingles", F.col("top.doc_id").alias("component_id"), F.expr("doc_id <=> top.doc_id and h = top.h").alias("kept"))
-
 
-def _near(pairs: DataFrame, ones: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) without those whose sketches have too little in common."""
-    pairs = materialise(pairs)
-    side = lambda s: ones.select(F.col("h").alias(s), F.col("sketch").alias(f"sketch_{s}"))
-    heads = pairs.groupBy("a").agg(F.count("*").alias("n")).join(side("a"), "a")
-    both = salted_join(pairs.join(side("b"), "b"), heads, ["a"], "b", pairs.count())
-    common = F.size(F.array_intersect("sketch_a", "sketch_b"))
-    return both.where(common >= FAR * F.least(F.size("sketch_a"), F.size("sketch_b"))).select("a", "b")
-
-
-def _apart(members: DataFrame, centres: DataFrame) -> DataFrame:
-    """``members`` (value, a, b) with ``met``, whether the member has its head's centre, and ``most``, how far it can be from the head then.
-
-    ``centres`` (h, centre, d) tells of each text that has one; others are their own. Texts and heads are few against members, so the heads' side is split where hot.
-    """
-    one = lambda s: centres.select(F.col("h").alias(s), F.col("centre").alias(f"centre_{s}"), F.col("d").alias(f"d_{s}"))
-    heads = members.groupBy("a").agg(F.count("*").alias("n")).join(one("a"), "a", "left").select("a", "n", F.coalesce("centre_a", "a").alias("centre_a"), F.coalesce("d_a", F.lit(0.0)).alias("d_a"))
-    both = salted_join(members.join(one("b"), "b", "left"), heads, ["a"], "b", members.count())
-    met = F.coalesce("centre_b", "b") == F.col("centre_a")
-    return both.select("value", "a", "b", met.alias("met"), F.when(met, F.coalesce("d_b", F.lit(0.0)) + F.col("d_a")).alias("most"))
-
-
-def _strays(members: DataFrame, near: DataFrame, reach: float) -> DataFrame:
-    """What the triangle inequality leaves to compare in each list: (value, h).
-
-    ``members`` (value, a, b, met, most): see ``_apart``; ``near`` (a, b, both, either) the sizes of those near a head, ``reach`` the
-    greatest distance of a link. A link between two members that the head doesn't connect has a stray at one end, and at the other
-    a stray or a member that is at most ``reach`` nearer to the head; of a member that has the head's centre only the most is known
-    that it can be away.
-    """
-    distances = near.select("a", "b", (1 - F.col("both") / F.col("either")).alias("d"))
-    told = members.join(distances, ["a", "b"], "left").select("value", F.col("b").alias("h"), "met", F.coalesce("d", "most", F.lit(1.0)).alias("d"))
-    slack = 1e-9
-    stray = ~F.col("met") & (F.col("d") > reach - slack)
-    nearest = told.groupBy("value").agg(F.min(F.when(stray, F.col("d"))).alias("nearest"), F.count("*").alias("n")).where("nearest is not null and n > 1")
-    return salted_join(told, nearest, ["value"], "h", members.count()).where(stray | (F.col("d") >= F.col("nearest") - reach - slack)).select("value", "h")
-
-
-def _rest(left: DataFrame, docs: DataFrame, ones: DataFrame, percent: int, shingle: int) -> DataFrame | None:
-    """Links (a, b) between members of the lists that ``left`` (value, h) still holds, by blocks; none, if nothing is left."""
-    total = left.count()
-    if not total:
-        return None
-    heads = left.groupBy("value").agg(F.min("h").alias("b"), F.count("*").alias("n")).where("n > 1")
-    groups = materialise(connected_components(salted_join(left, heads, ["value"], "h", total).select(F.col("h").alias("a"), "b")))
-    grouped = ones.select("i", "h", "n_shingles").join(groups.withColumnRenamed("node", "h"), "h")
-    texts = docs.select("i", "h", "text").join(grouped.hint("merge"), ["i", "h"]).dropDuplicates(["i", "h"])
+    grouped = groups.withColumnRenamed("node", "h").join(keys, "h")
+    texts = docs.join(grouped.hint("merge"), ["i", "h"]).dropDuplicates(["i", "h"])
     ordered = texts.repartitionByRange("component", "n_shingles", "h").sortWithinPartitions("component", "n_shingles", "h")
     blocks = materialise(ordered.select("h", "text", "component").mapInArrow(_blocks(shingle), _BLOCK))
-    released(groups)
     side = lambda s: blocks.select(*(F.col(c).alias(f"{c}_{s}") for c in blocks.columns))
     light = blocks.select("block", F.explode(F.array_distinct(F.array("first", "last"))).alias("grp"), "least", "greatest")
     spans = light.alias("x").join(light.alias("y"), F.expr("x.grp = y.grp and x.block < y.block")).where(F.expr(f"100 * x.greatest >= {percent} * y.least and 100 * y.greatest >= {percent} * x.least"))
     pairs = spans.select(F.col("x.block").alias("block_a"), F.col("y.block").alias("block_b")).distinct().unionByName(blocks.select(F.col("block").alias("block_a"), F.col("block").alias("block_b")))
-    met = side("a").join(pairs.repartition("block_a"), "block_a").join(side("b"), "block_b")
-    found = materialise(met.mapInPandas(_links(percent), "a long, b long"))
+    compared = side("a").join(pairs.repartition("block_a"), "block_a").join(side("b"), "block_b")
+    links = materialise(connected_components(compared.mapInPandas(_links(percent), "a long, b long")).select(F.col("node").alias("rep_h"), "component"))
     released(blocks)
-    sure = compared(docs, ones, found, shingle).where(f"100 * both >= {percent} * either").select("a", "b")
-    released(found)
-    return sure
+    heads = reps.select("rep").distinct().withColumn("rep_h", F.col("rep.h")).join(links, "rep_h").groupBy("component").agg(F.min("rep").alias("head"))
+    linked = links.join(heads, "component").select("rep_h", "head")
+    out = reps.withColumn("rep_h", F.col("rep.h")).join(linked, "rep_h", "left").withColumn("top", F.coalesce("head", "rep"))
+    return out.select("doc_id", "h", "n_shingles", F.col("top.doc_id").alias("component_id"), F.expr("doc_id <=> top.doc_id and h = top.h").alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE) -> DataFrame:
