@@ -224,11 +224,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         total = 2 * before[0]
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         lowest = both.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n")).select("v", F.least("v", "m").alias("m"), "n")
-        large = split_join(both, lowest, ["v"], total).where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u <> v").distinct()
+        large = materialise(split_join(both, lowest, ["v"], total).where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u <> v").distinct())
         low = large.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))
         small = split_join(large, low, ["v"], total).select(F.when(F.col("u") == F.col("m"), F.col("v")).otherwise(F.col("u")).alias("v"), F.col("m").alias("u"))
         after = materialise(small.where("u <> v").distinct())
         released(edges)
+        released(large)
         edges, now = after, _shape(after)
         if now == before:
             break
