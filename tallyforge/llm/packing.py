@@ -57,7 +57,7 @@ class WordEncoder:
     """
 
     #: Words that are kept in a generation, and the bytes of the longest of them. A word that isn't met in one goes with it.
-    KEEP, KEEP_BYTES = 80_000, 64
+    KEEP, KEEP_BYTES = 240_000, 64
 
     def __init__(self, path: str):
         import regex
