@@ -19,10 +19,11 @@ from tallyforge.llm.spelling import op12_spelling
 from tallyforge.llm.spotsigs import op8_spotsigs
 from tallyforge.llm.substring import op3_substring
 from tallyforge.llm.topk import op2_topk
+from tallyforge.llm.toxicity import op13_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_topk, op3_substring, op4_byte_bpe, op5_minhash, op6_quality, op7_html, op8_spotsigs, op9_language_id, op10_pii, op11_merkle, op12_spelling)}
+    return {f.__name__: f for f in (op1_packing, op2_topk, op3_substring, op4_byte_bpe, op5_minhash, op6_quality, op7_html, op8_spotsigs, op9_language_id, op10_pii, op11_merkle, op12_spelling, op13_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
