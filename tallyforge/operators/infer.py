@@ -1,4 +1,4 @@
-"""Template inference (survey rows I1-I8, J8, J9): placeholders to types, rules, schemas, and files to templates."""
+"""Template inference (survey rows I1-I6, I8): placeholders to types, rules and schemas."""
 
 from __future__ import annotations
 
@@ -114,27 +114,3 @@ def default_method(name: Column, kind: Column, scanned: Column) -> Column:
     """I8: the rule that the review screen shows for a field: the scanned one where there is one, none for dates and numbers of reports."""
     told = _any(F.lower(name), list(UNRULED))
     return F.coalesce(F.nullif(scanned, F.lit("")), F.when(told, "").when(kind == "number", "SUM").when(kind == "array", "CONCAT").otherwise("LAST"))
-
-
-#: Share of a template's fields that a first page must name.
-COVERAGE = 0.7
-
-
-def detected(files: DataFrame, templates: DataFrame, key: str) -> DataFrame:
-    """The template of each file (key, name, page): the first whose pattern its name has, else the one most of whose fields its first page names (``COVERAGE`` at least; of equals the first), else the only one there is.
-
-    ``templates``: (template, place, pattern, fields: array of names of letters, digits and underscores), active ones. A page contains a field
-    where one of its runs of such characters does; distinct names and runs meet the patterns and fields, not every page every template.
-    """
-    listed = templates.select("template", "place", F.lower("pattern").alias("pattern"), F.transform("fields", F.lower).alias("fields"))
-    names = files.select(F.lower("name").alias("_name")).distinct()
-    patterned = names.join(listed.where("pattern is not null").select("template", "place", "pattern"), F.expr("_name rlike pattern")).groupBy("_name").agg(F.min_by("template", "place").alias("by_name"))
-    tokens = files.where(F.length("page") > 20).select(key, F.explode(F.array_distinct(F.split(F.lower("page"), r"[^\p{L}\p{N}_]+"))).alias("token"))
-    wanted = listed.select("template", "place", F.size("fields").alias("n"), F.explode(F.array_distinct("fields")).alias("field"))
-    # tokens are matched once each, however many pages have them
-    told = tokens.select("token").distinct().join(wanted.select("field").distinct(), F.expr("contains(token, field)")).distinct()
-    hits = tokens.join(told, "token").select(key, "field").distinct().join(wanted, "field").groupBy(key, "template", "place", "n").agg(F.count("*").alias("hits"))
-    best = hits.withColumn("score", F.col("hits") / F.col("n")).where(F.col("score") >= COVERAGE).groupBy(key).agg(F.max_by("template", F.struct("score", -F.col("place"))).alias("by_page"))
-    only = listed.agg(F.when(F.count("*") == 1, F.min("template")).alias("only"))
-    out = files.withColumn("_name", F.lower("name")).join(patterned, "_name", "left").join(best, key, "left").join(F.broadcast(only))
-    return out.select(key, F.coalesce("by_name", "by_page", "only").alias("template"), F.when(F.col("by_name").isNotNull(), "name").when(F.col("by_page").isNotNull(), "page").when(F.col("only").isNotNull(), "only").alias("how"))

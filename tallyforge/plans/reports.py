@@ -1,4 +1,4 @@
-"""Daily, weekly and calendar reports, upsert, dashboard and listings. Roles: an order is a job, its date the report date."""
+"""Daily, weekly and calendar reports, dashboard and listings. Roles: an order is a job, its date the report date."""
 
 from pyspark.sql import functions as F
 
@@ -59,27 +59,6 @@ def calendar_union_dates(spark, sf_dir):
     return days.distinct().select(F.date_format("d", "yyyy-MM-dd").alias("day"))
 
 
-_WEEKS = "SELECT o_custkey AS tenant, CAST(date_trunc('week', o_orderdate) AS DATE) AS week, count(*) AS jobs, min(o_orderkey) AS created_by FROM orders WHERE o_orderstatus {} GROUP BY 1, 2"
-
-
-@query(f"WITH old AS ({_WEEKS.format(chr(61) + chr(39) + 'F' + chr(39))}), new AS ({_WEEKS.format('IN (' + chr(39) + 'O' + chr(39) + ', ' + chr(39) + 'P' + chr(39) + ')')}) SELECT coalesce(new.tenant, old.tenant) AS tenant, strftime(coalesce(new.week, old.week), '%Y-%m-%d') AS week, coalesce(new.jobs, old.jobs) AS jobs, coalesce(old.created_by, new.created_by) AS created_by FROM old FULL JOIN new ON old.tenant = new.tenant AND old.week = new.week")
-def weekly_upsert(spark, sf_dir):
-    """New weekly rows over old ones by (tenant, week); who created a row stays."""
-    orders = read(spark, sf_dir, "orders")
-    week = F.date_trunc("week", "o_orderdate").cast("date")
-    make = lambda rows: rows.groupBy(F.col("o_custkey").alias("tenant"), week.alias("week")).agg(F.count("*").alias("jobs"), F.min("o_orderkey").alias("created_by"))
-    old, new = make(orders.where("o_orderstatus = 'F'")), make(orders.where("o_orderstatus in ('O', 'P')"))
-    return upsert(old, new, ["tenant", "week"], keep=["created_by"]).withColumn("week", F.date_format("week", "yyyy-MM-dd"))
-
-
-def upsert(old, new, keys, keep=()):
-    """Rows of ``new`` replace those of ``old`` with the same keys; columns of ``keep`` stay as they were. One tagged pass: both sides are grouped by the keys once."""
-    columns = [c for c in new.columns if c not in keys]
-    tagged = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    picked = [F.min_by(c, "_new").alias(c) if c in keep else F.max_by(c, "_new").alias(c) for c in columns]
-    return tagged.groupBy(*keys).agg(*picked)
-
-
 @query("SELECT o_custkey AS batch, count(*) AS total, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS f, count(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS o, count(CASE WHEN o_orderstatus = 'P' THEN 1 END) AS p, CAST(count(CASE WHEN o_orderstatus = 'F' THEN 1 END) * 100 // count(*) AS BIGINT) AS progress FROM orders GROUP BY o_custkey")
 def batch_status_progress(spark, sf_dir):
     n = lambda s: F.count_if(F.col("o_orderstatus") == s)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators.lifecycle import TRANSITIONS, transitions
 from tallyforge.plans.registry import query, read
-from tallyforge.streaming.jobs import STEPS, daily_counts, event_stream, run_once, state_machine, without_repeats
+from tallyforge.streaming.jobs import STEPS, closed_batches, daily_counts, event_stream, run_once, state_machine, without_repeats
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -30,7 +30,26 @@ SELECT user_id, event_id, a AS from_state, b AS to_state, {_may('a', 'b')} AS va
 @query(_STEPS)
 def stream_state_machine(spark, sf_dir):
     """M2 over a stream: transitions of each job in order, those that aren't allowed marked."""
-    return state_machine(event_stream(spark, sf_dir))
+    return state_machine(event_stream(spark, sf_dir)).drop("late")
+
+
+_MINUTES = 20_160
+
+_CLOSES = f"""WITH RECURSIVE e AS (SELECT user_id AS batch, epoch_us(ts) AS t, event_id AS tie, CAST(event_id % 3 AS INTEGER) AS job, CASE event_type WHEN 'view' THEN 'processing' WHEN 'click' THEN 'rejected' WHEN 'purchase' THEN 'approved' WHEN 'signup' THEN 'ready_for_review' ELSE 'failed' END AS status FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY t, tie NULLS LAST) AS k FROM (SELECT * FROM e UNION ALL SELECT batch, min(t) + {_MINUTES * 60_000_000}, NULL, NULL, NULL FROM e GROUP BY batch)),
+s AS (SELECT *, CASE WHEN job = 0 THEN status END AS a, CASE WHEN job = 1 THEN status END AS b, CASE WHEN job = 2 THEN status END AS c FROM o),
+r AS (SELECT batch, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS t, CAST(NULL AS VARCHAR) AS a, CAST(NULL AS VARCHAR) AS b, CAST(NULL AS VARCHAR) AS c, false AS passed, false AS closes, false AS forced FROM (SELECT DISTINCT batch FROM e)
+  UNION ALL SELECT batch, k, t, a, b, c, passed, passed OR settled, NOT settled FROM (SELECT *, (a IS NULL OR a IN {{0}}) AND (b IS NULL OR b IN {{0}}) AND (c IS NULL OR c IN {{0}}) AS settled FROM
+    (SELECT s.batch, s.k, s.t, coalesce(s.a, CASE WHEN r.closes AND r.a = 'approved' THEN 'aggregated' ELSE r.a END) AS a, coalesce(s.b, CASE WHEN r.closes AND r.b = 'approved' THEN 'aggregated' ELSE r.b END) AS b, coalesce(s.c, CASE WHEN r.closes AND r.c = 'approved' THEN 'aggregated' ELSE r.c END) AS c, r.passed OR s.job IS NULL AS passed FROM r JOIN s ON s.batch = r.batch AND s.k = r.k + 1)))
+SELECT batch, 'daily' AS template, t AS closed_at, '0' AS jobs, forced FROM r WHERE closes AND a = 'approved'
+UNION ALL SELECT batch, 'weekly', t, CASE WHEN b = 'approved' AND c = 'approved' THEN '1,2' WHEN b = 'approved' THEN '1' ELSE '2' END, forced FROM r WHERE closes AND (b = 'approved' OR c = 'approved')""".format("('approved', 'rejected', 'aggregated', 'failed')")
+
+
+@query(_CLOSES)
+def stream_batch_closer(spark, sf_dir):
+    """R3 over a stream: each close of a batch, once a template, with the jobs that are aggregated from then on."""
+    closes = closed_batches(event_stream(spark, sf_dir), _MINUTES)
+    return closes.where("not late").select("batch", "template", "closed_at", F.array_join(F.col("jobs").cast("array<string>"), ",").alias("jobs"), "forced")
 
 
 @query(_STEPS)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import dates, numbers, text
 from tallyforge.operators.infer import field_type, placeholders, rule_method
+from tallyforge.operators.matching import by_name, coverage
 from tallyforge.plans.registry import query, read
 
 #: A number of an event as people write it, by the event's id.
@@ -150,22 +151,26 @@ def text_grid_parse(spark, sf_dir):
     return grid.select("l_orderkey", total(part(1)).alias("codes"), total(part(3)).alias("total"))
 
 
+#: Templates that two tenants have alike.
+_BOTH = F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("tenant")
+
+
 @query("SELECT p_brand AS template, best AS pattern FROM (SELECT p_brand, (SELECT min(r_name) FROM region WHERE lower(p_brand) LIKE '%' || lower(substr(r_name, 1, 1)) || '%') AS best FROM (SELECT DISTINCT p_brand FROM part)) WHERE best IS NOT NULL")
 def template_match_regex(spark, sf_dir):
-    """The first pattern that a name matches; patterns are a small list, and names are made distinct first."""
-    names = read(spark, sf_dir, "part").select(F.lower("p_brand").alias("name"), F.col("p_brand").alias("template")).distinct()
-    patterns = read(spark, sf_dir, "region").select(F.lower(F.substring("r_name", 1, 1)).alias("regex"), F.col("r_name").alias("pattern"))
-    return names.join(patterns, F.expr("name rlike regex")).groupBy("template").agg(F.min("pattern").alias("pattern"))
+    """The first pattern that a name has."""
+    names = read(spark, sf_dir, "part").select((F.crc32(F.col("p_brand").cast("binary")) % 2).alias("tenant"), F.col("p_brand").alias("name")).distinct()
+    patterns = read(spark, sf_dir, "region").select(_BOTH, F.col("r_name").alias("template"), F.col("r_name").alias("place"), F.substring("r_name", 1, 1).alias("pattern"))
+    return by_name(names, patterns).select(F.col("name").alias("template"), F.col("template").alias("pattern"))
 
 
 @query("SELECT p_type, n_name AS template, round(hits / total, 4) AS score FROM (SELECT p_type, n_name, hits, total, row_number() OVER (PARTITION BY p_type ORDER BY hits / total DESC, n_nationkey) AS r FROM (SELECT p_type, n_name, n_nationkey, CAST(len([c for c in list_distinct(string_split(lower(n_name), '')) if contains(lower(p_type), c)]) AS DOUBLE) AS hits, CAST(len(list_distinct(string_split(lower(n_name), ''))) AS DOUBLE) AS total FROM (SELECT DISTINCT p_type FROM part) CROSS JOIN nation)) WHERE r = 1")
 def template_match_coverage(spark, sf_dir):
-    """The template of which most fields occur in the text; of equals the first."""
-    texts = read(spark, sf_dir, "part").select("p_type").distinct()
-    fields = read(spark, sf_dir, "nation").select("n_name", "n_nationkey", F.array_distinct(F.filter(F.split(F.lower("n_name"), ""), lambda c: c != "")).alias("fields"))
-    hits = F.size(F.filter("fields", lambda c: F.contains(F.lower("p_type"), c)))
-    scored = texts.crossJoin(fields).withColumn("score", hits / F.size("fields"))  # distinct texts against a small list of templates
-    return scored.groupBy("p_type").agg(F.max_by(F.struct("n_name", "score"), F.struct("score", -F.col("n_nationkey"))).alias("x")).select("p_type", F.col("x.n_name").alias("template"), F.round("x.score", 4).alias("score"))
+    """The template of which most fields occur in the text; of equals the first."""
+    texts = read(spark, sf_dir, "part").select((F.crc32(F.col("p_type").cast("binary")) % 2).alias("tenant"), "p_type", F.col("p_type").alias("page")).distinct()
+    fields = F.array_distinct(F.filter(F.split(F.lower("n_name"), ""), lambda c: c != ""))
+    templates = read(spark, sf_dir, "nation").select(_BOTH, F.col("n_name").alias("template"), F.col("n_nationkey").alias("place"), fields.alias("fields"))
+    best = coverage(texts, "p_type", templates).groupBy("p_type").agg(F.max_by(F.struct("template", "score"), F.struct("score", -F.col("place"))).alias("x"))
+    return best.select("p_type", "x.template", F.round("x.score", 4).alias("score"))
 
 
 _NAMES = "CASE p_partkey % 8 WHEN 0 THEN 'tong_so_vu_' WHEN 1 THEN 'stt_' WHEN 2 THEN 'danh_sach_' WHEN 3 THEN 'ngay_' WHEN 4 THEN 'is_' WHEN 5 THEN 'tong_bao_cao_' WHEN 6 THEN 'price_' ELSE 'ghi_chu_' END || p_size"

@@ -1,4 +1,4 @@
-"""Structured Streaming over the event log (survey rows R2-R5, M2, F3)."""
+"""Structured Streaming over the event log (survey rows R3-R5, M2, F3)."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.operators.lifecycle import last_states, transitions
+from tallyforge.streaming.ordered import Closer, InOrder, Machine, in_order
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 64) -> DataFrame:
@@ -42,31 +42,54 @@ def shared_folder(spark: SparkSession) -> str:
 STEPS = {"view": "processing", "click": "extracted", "purchase": "approved"}
 
 
-def state_machine(events: DataFrame) -> DataFrame:
-    """Per job (user) the transitions in order, over all batches of the stream: valid ones move the job, others are marked and leave it where it is.
+def jobs_to_states(events: DataFrame) -> DataFrame:
+    """The event log as steps of jobs: a job is a user."""
+    to = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in STEPS.items()), F.lit("failed"))
+    return events.select(F.col("user_id").alias("job"), "ts", F.col("event_id").alias("tie"), to.alias("to"))
+
 
-    Each batch is told by ``transitions`` from the states that the batch before left; states are a table of their own a batch, so a batch
-    that is run again writes the same files. Steps that aren't valid come in the rows with ``valid`` false, the dead letters.
+def replay(events: DataFrame, key: str, processor: InOrder, late: str, base: str, ended: bool = True) -> DataFrame:
+    """Run ``events`` through ``processor`` (see ``in_order``) as far as there are files, and give all rows told so far.
+
+    ``base`` is the run's folder: called again with it, the run goes on with what is new. Where the log has ``ended`` a marker far in
+    the future follows it, so that the watermark passes all that waits; what comes after that is late.
     """
     spark = events.sparkSession
-    base = shared_folder(spark)
-    path = lambda kind, batch: f"{base}/{kind}/batch={batch}"
-    to = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in STEPS.items()), F.lit("failed"))
+    spark.createDataFrame([], events.schema).write.mode("ignore").parquet(f"{base}/marker")
+    marker = spark.readStream.schema(events.schema).parquet(f"{base}/marker")
+    rows = in_order(events.unionByName(marker), key, processor, late)
+
+    def run() -> None:
+        rows.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    if ended:
+        end = F.timestamp_micros(F.lit(FOREVER)).alias("ts")
+        spark.range(1).select(*(end if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema)).write.mode("append").parquet(f"{base}/marker")
+        run()
+    return spark.read.schema(rows.schema).parquet(f"{base}/rows")
+
+
+#: A time that no event has, in microseconds: the year 9000.
+FOREVER = 221_845_392_000_000_000
+
+
+def state_machine(events: DataFrame, late: str = "3650 days") -> DataFrame:
+    """M2: per job (user) the transitions in order of time, whatever files and triggers bring them; steps that aren't valid leave the job where it is.
+
+    Valid steps and dead letters (``valid`` false) come in one table; events later than ``late`` allows come with ``late`` true and no verdict.
+    """
+    told = replay(jobs_to_states(events), "job", Machine(), late, shared_folder(events.sparkSession))
+    return told.select(F.col("job").alias("user_id"), F.col("tie").alias("event_id"), "from_state", "to_state", "valid", "late")
+
 
-    def step(rows: DataFrame, batch: int) -> None:
-        jobs = rows.select(F.col("user_id").alias("job"), F.col("ts").alias("at"), F.col("event_id").alias("tie"), to.alias("to"))
-        before = spark.read.schema("job long, state string").parquet(path("states", batch - 1)) if batch else None
-        transitions(jobs, before).write.mode("overwrite").parquet(path("rows", batch))
-        told = spark.read.parquet(path("rows", batch))
-        now = last_states(told)
-        if before is not None:
-            now = now.unionByName(before.join(now, "job", "left_anti"))
-        now.write.mode("overwrite").parquet(path("states", batch))
-
-    rows = events.select("user_id", "event_id", "ts", "event_type")
-    rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start().awaitTermination()
-    told = spark.read.schema("job long, at timestamp, tie long, from_state string, to_state string, valid boolean, batch int").parquet(f"{base}/rows")
-    return told.select(F.col("job").alias("user_id"), F.col("tie").alias("event_id"), "from_state", "to_state", "valid")
+def closed_batches(events: DataFrame, minutes: int, late: str = "3650 days") -> DataFrame:
+    """The closes of batches of jobs, once a template each. In the event log a batch is a user, a job of it one of three by the event's number, the template a name by the job."""
+    kind = F.col("event_type")
+    status = F.when(kind == "view", "processing").when(kind == "click", "rejected").when(kind == "purchase", "approved").when(kind == "signup", "ready_for_review").otherwise("failed")
+    job = F.col("event_id") % 3
+    log = events.select(F.col("user_id").alias("batch"), "ts", F.col("event_id").alias("tie"), job.alias("job"), F.when(job == 0, "daily").otherwise("weekly").alias("template"), status.alias("status"))
+    return replay(log, "batch", Closer(minutes), late, shared_folder(events.sparkSession))
 
 
 def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:

@@ -6,7 +6,7 @@ from tallyforge.functions import dates, numbers, text
 from tallyforge.operators.lifecycle import retriable
 from tallyforge.operators.merge import first_of, signature
 from tallyforge.operators.rules import derive_additive
-from tallyforge.plans.reports import upsert
+from tallyforge.sources.versioned import merged
 
 
 def values(spark, items, make):
@@ -48,7 +48,7 @@ def test_first_wins_in_any_input_order(spark):
 def test_upsert_keeps_creator(spark):
     old = spark.createDataFrame([(1, 5, "x"), (2, 6, "y")], "k int, n int, by string")
     new = spark.createDataFrame([(1, 9, "z"), (3, 1, "w")], "k int, n int, by string")
-    assert sorted(map(tuple, upsert(old, new, ["k"], keep=["by"]).collect())) == [(1, 9, "x"), (2, 6, "y"), (3, 1, "w")]
+    assert sorted(map(tuple, merged(old, new, ["k"], keep=("by",)).collect())) == [(1, 9, "x"), (2, 6, "y"), (3, 1, "w")]
 
 
 def test_retry(spark):
