@@ -20,6 +20,7 @@ import functools
 import itertools
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -59,17 +60,22 @@ STATE_AFTER = frozenset("open opened close closed active inactive enabled disabl
 WITHIN = frozenset("article main".split())
 WITHIN_WORDS = frozenset("article articlebody articlecontent content entry main post postbody postcontent story storybody".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ITEMS, CELLS = frozenset("li dd dt".split()), frozenset("td th".split())
+#: Of these an open one ends where the next begins, if it is a paragraph or of the same name.
+PARAGRAPHS = frozenset({"p", *ITEMS, *HEADINGS})
 
 
 @dataclass(eq=False)
 class Sign:
-    """A class word, or an element, that may mean that its text stands around an article; what lies in it decides."""
+    """A class word, or an element, that may mean that its text stands around an article; what lies in it decides. ``parent``: the sign around it."""
 
     readers: bool
+    parent: Sign | None = None
     words: int = 0
     within: int = 0
     main: bool = False
     article: bool = False
+    around: bool = False
 
     def outweighed(self, words: int, within: int) -> bool:
         """Whether the page's text lies in it; ``words`` and ``within`` are those of the whole page, all and of the article's parts."""
@@ -89,7 +95,21 @@ class Block:
     text: str = ""
     words: int = 0
     density: float = 0.0
-    signs: list[Sign] = field(default_factory=list)
+    sign: Sign | None = None
+
+
+@dataclass
+class Open:
+    """An open element that isn't inline, with what it and those around it say: how many of them stand around, within, are items of a list; the innermost sign."""
+
+    name: str
+    around: int = 0
+    within: int = 0
+    listed: int = 0
+    sign: Sign | None = None
+    #: The innermost table or cell, itself included, and whether that is a cell whose attributes tell something.
+    cell: str = ""
+    tells: bool = False
 
 
 @dataclass
@@ -165,8 +185,10 @@ def tokens(page: str) -> list[Token]:
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page, in order."""
     found: list[Block] = []
-    #: Open elements that aren't inline: (name, around, within, a sign that may be outweighed).
-    stack: list[tuple[str, bool, bool, Sign | None]] = []
+    stack = [Open("")]
+    #: How many elements of a name are open; all signs, each after the one around it.
+    names: Counter[str] = Counter()
+    signs: list[Sign] = []
     links, breaks = 0, 0
     now = Block()
 
@@ -176,12 +198,32 @@ def blocks(page: str) -> list[Block]:
         if text:
             now.text, now.words = text, text.count(" ") + 1
             now.density = min(1.0, len(references.unescape(" ".join(now.linked)).split()) / now.words)
-            now.around, now.within = any(x[1] for x in stack), any(x[2] for x in stack)
-            now.signs = [x[3] for x in stack if x[3]]
-            now.heading, now.listed = any(x[0] in HEADINGS for x in stack[-2:]), any(x[0] in ("li", "dd", "dt") for x in stack)
+            top = stack[-1]
+            now.around, now.within, now.listed, now.sign = top.around > 0, top.within > 0, top.listed > 0, top.sign
+            now.heading = any(x.name in HEADINGS for x in stack[-2:])
             found.append(now)
         now = Block()
 
+    def enter(name: str, around: bool, within: bool, sign: Sign | None) -> None:
+        top = stack[-1]
+        if sign:
+            sign.parent = top.sign
+            signs.append(sign)
+        elif name in WITHIN and top.sign:
+            top.sign.main |= name == "main"
+            top.sign.article |= name == "article"
+        inner = name if name == "table" or name in CELLS else top.cell
+        tells = bool(around or within or sign) if name in CELLS else name != "table" and top.tells
+        stack.append(Open(name, top.around + around, top.within + within, top.listed + (name in ITEMS), sign or top.sign, inner, tells))
+        names[name] += 1
+
+    def leave(name: str) -> None:
+        """Ends the innermost element of a name that is open, and all in it."""
+        while names[name]:
+            names[stack[-1].name] -= 1
+            if stack.pop().name == name:
+                return
+
     def say(text: str) -> None:
         nonlocal breaks
         if text:
@@ -208,49 +250,59 @@ def blocks(page: str) -> list[Block]:
                 close()
             else:
                 now.parts.append(" ")
-        elif name in ("td", "th"):
-            now.parts.append(" ")
+        elif name in CELLS:
+            told = (False, False, None) if ends else _signs(name, token.attributes, stack[-1].within > 0)
+            # cells are parts of a row, but for those whose attributes tell something, which are blocks
+            if stack[-1].cell in CELLS:
+                if stack[-1].tells:
+                    close()
+                leave(stack[-1].cell)
+            if any(told):
+                close()
+            else:
+                now.parts.append(" ")
+            if not ends:
+                enter(name, *told)
         elif name in INLINE:
             continue
         else:
             close()
             links = 0
             if ends:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
+                leave(name)
             elif name not in VOID:
-                if name in ("p", "li", "dd", "dt", *HEADINGS) and stack and stack[-1][0] in ("p", "li", "dd", "dt", *HEADINGS):
-                    if stack[-1][0] == "p" or stack[-1][0] == name:
-                        stack.pop()
-                stack.append((name, *_signs(name, token.attributes, any(x[2] for x in stack))))
-                if name in WITHIN and not stack[-1][3]:
-                    for x in stack[:-1]:
-                        if x[3]:
-                            x[3].main |= name == "main"
-                            x[3].article |= name == "article"
+                if name in PARAGRAPHS and stack[-1].name in PARAGRAPHS and stack[-1].name in ("p", name):
+                    leave(stack[-1].name)
+                enter(name, *_signs(name, token.attributes, stack[-1].within > 0))
     if not silent:
         say(page[at:])
     close()
-    _weigh(found)
+    _weigh(found, signs)
     return found
 
 
-def _weigh(found: list[Block]) -> None:
-    """Blocks under signs that the page's own text doesn't outweigh stand around."""
-    if not any(b.signs for b in found):
+def _weigh(found: list[Block], signs: list[Sign]) -> None:
+    """Blocks under signs that the page's own text doesn't outweigh stand around. What lies in a sign is added up from the innermost, what it means comes down from the outermost."""
+    if not signs:
         return
     words = within = 0
     for b in found:
         if not b.around and b.words >= 4 and b.density < LINK_CUTS[0]:
             words += b.words
             within += b.words * b.within
-            for x in b.signs:
-                x.words += b.words
-                x.within += b.words * b.within
+            if b.sign:
+                b.sign.words += b.words
+                b.sign.within += b.words * b.within
+    for x in reversed(signs):
+        if x.parent:
+            x.parent.words += x.words
+            x.parent.within += x.within
+            x.parent.main |= x.main
+            x.parent.article |= x.article
+    for x in signs:
+        x.around = x.parent is not None and x.parent.around or not x.outweighed(words, within)
     for b in found:
-        b.around |= not all(x.outweighed(words, within) for x in b.signs)
+        b.around |= b.sign is not None and b.sign.around
 
 
 def _signs(name: str, attributes: str, inside: bool) -> tuple[bool, bool, Sign | None]:
@@ -295,13 +347,8 @@ LABELLED = """
 * * * 0 * 0 1 * * 0 0 0
 * * * 2 * 2 1 0 0 1 0 0
 * 0 * * * * 0 1 * * 0 1
-* 1 * 0 * 0 0 1 0 * 0 1
-0 2 * * * * 0 1 0 * 0 0
-1 2 * * * * 0 1 0 * 0 0
-2 2 * 0 * 0 0 1 0 0 0 1
-3 2 * 0 * 0 0 1 0 0 0 1
-0 2 * 0 * 0 0 1 1 0 0 1
-1 2 * 0 * 0 0 1 1 0 0 1
+* 1 * * * * 0 1 * * 0 1
+* 2 * * * * 0 1 * * 0 1
 3 0 * * * * 0 0 0 0 0 1
 3 1 * 0 * 0 0 0 0 0 0 1
 3 2 * * * * 0 0 0 * 0 0
