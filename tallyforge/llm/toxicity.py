@@ -54,18 +54,18 @@ INSULTS = {
     "fr": "idiot imbécile crétin connard salaud ordure débile minable abruti pourriture",
     "es": "idiota imbécil estúpido basura escoria perdedor asqueroso inútil payaso cabrón",
 }
-#: Patterns of the text as it stands.
+#: Patterns of the text as it stands; phrases of it in lower case (ASCII) are one voter more.
 PATTERNS = [
     rb"(?:\b[A-Z]{4,}\b[ ,]*){3,}!",
     rb"[!?]{2,}",
-    rb"\b[A-Za-z]+[*@#$%]{2,}[A-Za-z]+\b",
-    rb"\b[A-Za-z]+[013457@$][A-Za-z]+\b",
-    rb"(?i)\byou(?:'re| are)? (?:a|an|such|all|so)\b",
-    rb"(?i)\b(?:shut up|get lost|go away|drop dead|hate you)\b",
+    rb"(?<=[A-Za-z])[*@#$%]{2,}[A-Za-z]",
+    rb"(?<=[A-Za-z])[013457@$][A-Za-z]",
+    rb"\b[Yy][Oo][Uu](?:'re| are)? (?:a|an|such|all|so)\b",
 ]
+PHRASES = [b"shut up", b"get lost", b"go away", b"drop dead", b"hate you"]
 _PATTERNS = [re.compile(p) for p in PATTERNS]
 #: A lexicon votes twice; then come the fixed lexicons, the patterns and the voter for clean texts.
-VOTERS = 2 * LEXICONS + len(INSULTS) + len(PATTERNS) + 1
+VOTERS = 2 * LEXICONS + len(INSULTS) + len(PATTERNS) + 2
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[[*range(97, 123), *range(128, 256)]] = [*range(97, 123), *range(128, 256)]
@@ -164,32 +164,32 @@ class Voters:
     """``entries``: mined hashes, those of most evidence first."""
 
     def __init__(self, entries: np.ndarray):
-        self.known = Known(entries)
-        order = np.argsort(entries, kind="stable")
-        self.lexicon = np.empty(len(entries), np.int64)
-        self.lexicon[np.arange(len(entries))] = order % LEXICONS
-        fixed = []
-        for words in INSULTS.values():
-            raw = [np.frombuffer(w.encode(), np.uint8) for w in words.split()]
-            fixed.append(np.sort(np.concatenate([_HASHER.words(w, np.array([0]), np.array([len(w)])) for w in raw])))
-        self.fixed = [Known(f) for f in fixed]
+        fixed = [np.unique([_HASHER.words(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0] for w in words.split()]) for words in INSULTS.values()]
+        self.known = Known(np.unique(np.concatenate([entries, *fixed])))
+        # the lexicon of a mined entry (LEXICONS: none), and which fixed ones have it
+        self.mined = len(entries) > 0
+        self.lexicon = np.full(len(self.known.hashes), LEXICONS)
+        self.lexicon[np.searchsorted(self.known.hashes, entries)] = np.arange(len(entries)) % LEXICONS
+        self.fixed = np.stack([np.isin(self.known.hashes, f) for f in fixed], axis=1)
 
     def votes(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """0 or 1 of each voter (a column) for each text."""
         n, size = len(off) - 1, len(self.known.hashes)
         out = np.zeros((n, VOTERS), np.uint8)
-        if size:
-            at, often = self.known.counts(data, off)
-            hits = np.bincount(at // size * LEXICONS + self.lexicon[at % size], often, n * LEXICONS).reshape(n, LEXICONS)
-            out[:, :LEXICONS] = hits >= 1
-            out[:, LEXICONS : 2 * LEXICONS] = hits >= SEVERAL
-            out[:, -1] = hits.sum(1) == 0
-        for k, known in enumerate(self.fixed, 2 * LEXICONS):
-            at, _ = known.counts(data, off)
-            out[at // len(known.hashes), k] = 1
+        at, often = self.known.counts(data, off)
+        row, entry = at // size, at % size
+        hits = np.bincount(row * (LEXICONS + 1) + self.lexicon[entry], often, n * (LEXICONS + 1)).reshape(n, LEXICONS + 1)[:, :LEXICONS]
+        out[:, :LEXICONS] = hits >= 1
+        out[:, LEXICONS : 2 * LEXICONS] = hits >= SEVERAL
+        out[:, -1] = (hits.sum(1) == 0) & self.mined
+        which, language = np.nonzero(self.fixed[entry])
+        out[row[which], 2 * LEXICONS + language] = 1
         text, ends = data.tobytes(), off.tolist()
+        low = text.lower()
+        each = list(zip(ends[:-1], ends[1:], strict=True))
         for k, pattern in enumerate(_PATTERNS, 2 * LEXICONS + len(INSULTS)):
-            out[:, k] = [pattern.search(text, a, b) is not None for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            out[:, k] = [pattern.search(text, a, b) is not None for a, b in each]
+        out[:, -2] = [any(low.find(p, a, b) >= 0 for p in PHRASES) for a, b in each]
         return out
 
 
