@@ -1,6 +1,9 @@
 """Text functions (survey rows T1-T5, T13, T18, T25, T29, T33)."""
 
+from __future__ import annotations
+
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -138,25 +141,35 @@ PARTS = {"nghiep_vu": r"(?imU)^I\.\s+TÌNH HÌNH.*", "quan_so": r"(?imU)^III\.\s
 TABLE_WORDS, TABLE_CODE = ("DANH MUC", "CHI TIEU"), "STT"
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of ``value``, which is computed once however often ``then`` names it, and in whatever lambda."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def table_start(x: Column) -> Column:
     """Where (from 1) the first line begins that has the code's word and, in it or the three lines after it, a word of a table's header; null if none does."""
-    held = F.split(x, "(?<=\n)")
-    folded = F.transform(held, fold)
-    near = lambda i: F.array_join(F.slice(folded, i + 1, 4), " ")
-    heads = lambda i: near(i).contains(TABLE_WORDS[0]) | near(i).contains(TABLE_WORDS[1])
-    at = F.array_position(F.transform(folded, lambda line, i: line.contains(TABLE_CODE) & heads(i)), True).cast("int")
-    before = F.aggregate(F.slice(held, 1, F.greatest(at - 1, F.lit(0))), F.lit(0), lambda n, line: n + F.length(line))
-    return F.when(at > 0, before + 1)
+
+    def found(held: Column, folded: Column) -> Column:
+        near = lambda i: F.array_join(F.slice(folded, i + 1, 4), " ")
+        heads = lambda i: near(i).contains(TABLE_WORDS[0]) | near(i).contains(TABLE_WORDS[1])
+        place = F.array_position(F.transform(folded, lambda line, i: line.contains(TABLE_CODE) & heads(i)), True).cast("int")
+        before = lambda at: F.aggregate(F.slice(held, 1, F.greatest(at - 1, F.lit(0))), F.lit(0), lambda n, line: n + F.length(line))
+        return _let(place, lambda at: F.when(at > 0, before(at) + 1))
+
+    return _let(F.split(x, "(?<=\n)"), lambda held: _let(F.transform(held, fold), lambda folded: found(held, folded)))
 
 
 def split_parts(x: Column) -> Column:
     """The parts of a report in their order, as array of (block_id, content): each from its mark to the next part's, the table to the signature. Blank parts are left out."""
-    first = lambda name: F.nullif(F.regexp_instr(x, F.lit(PARTS[name])), F.lit(0))
-    one, three, table, end = first("nghiep_vu"), first("quan_so"), table_start(x), F.length(x) + 1
+    first = lambda text, name: F.nullif(F.regexp_instr(text, F.lit(PARTS[name])), F.lit(0))
     after = lambda mark, start: F.when(mark > start, mark)
-    least = lambda *marks: F.least(*marks, end)
-    rest = F.substring(x, table, F.length(x))
-    sign = F.nullif(F.regexp_instr(rest, F.lit(PARTS["signature"])), F.lit(0)) + table - 1
-    spans = [("header", F.lit(1), least(one, three, table)), ("nghiep_vu", one, least(after(three, one), after(table, one))), ("quan_so", three, least(after(table, three))), ("bang_thong_ke", table, F.coalesce(sign, end))]
-    blocks = F.array(*(F.when(a.isNotNull() & (b > a), F.struct(F.lit(name).alias("block_id"), F.substring(x, a, b - a).alias("content"))) for name, a, b in spans))
-    return F.filter(blocks, lambda b: b.isNotNull() & (F.regexp_replace(b["content"], r"(?U)\s", "") != ""))
+
+    def cut(text: Column, marks: Column) -> Column:
+        one, three, table, end = marks["one"], marks["three"], marks["table"], F.length(text) + 1
+        least = lambda *at: F.least(*at, end)
+        sign = first(F.substring(text, table, F.length(text)), "signature") + table - 1
+        spans = [("header", F.lit(1), least(one, three, table)), ("nghiep_vu", one, least(after(three, one), after(table, one))), ("quan_so", three, least(after(table, three))), ("bang_thong_ke", table, F.coalesce(sign, end))]
+        blocks = F.array(*(F.when(a.isNotNull() & (b > a), F.struct(F.lit(name).alias("block_id"), F.substring(text, a, b - a).alias("content"))) for name, a, b in spans))
+        return F.filter(blocks, lambda b: b.isNotNull() & (F.regexp_replace(b["content"], r"(?U)\s", "") != ""))
+
+    return _let(x, lambda text: _let(F.struct(first(text, "nghiep_vu").alias("one"), first(text, "quan_so").alias("three"), table_start(text).alias("table")), lambda marks: cut(text, marks)))

@@ -62,10 +62,30 @@ def aggregate_of(rule: Rule, kinds: dict[str, T.DataType], order: Column | None
         out, read = F.coalesce(F.try_sum(F.when(F.col(code) == rule.stt, numeric(F.col(value), kinds[value]))), zero), isinstance(kinds[value], T.StringType)
     else:
         return F.lit(None).alias(rule.output)
-    out = F.round(out, rule.round_digits) if rule.round_digits is not None else out
+    out = half_even(out.cast("double"), rule.round_digits) if rule.round_digits is not None else out
     return (out.cast("double") if read else out).alias(rule.output)
 
 
+def half_even(x: Column, digits: int) -> Column:
+    """The double ``x`` rounded to ``digits`` by its exact binary value, ties to even: 2.5 to 2, 2.675 to 2.67 (it is a little less than it is written).
+
+    Only where the number as it is written ends in a 5 behind the last digit can its exact value matter; there whole numbers are compared,
+    the mantissa times a power of ten with the written number times a power of two. Numbers below 0.01 or of a million and more, and more than six digits, are rounded half up as they are written.
+    """
+    written = x.try_cast("decimal(38,18)")
+    ten = 10 ** (digits + 1)
+    scaled = written * F.lit(ten).cast("decimal(20,0)")
+    tie = F.pmod(scaled, F.lit(10).cast("decimal(20,0)")) == 5
+    power = F.lit(52) - F.floor(F.log2(F.abs(x))).cast("int")  # the mantissa is x times 2 to this
+    mantissa = (x * F.pow(F.lit(2.0), power)).cast("bigint").cast("decimal(20,0)") * F.lit(ten).cast("decimal(18,0)")
+    target = scaled.cast("decimal(20,0)") * F.pow(F.lit(2.0), power).cast("decimal(38,0)").cast("decimal(18,0)")
+    side = F.signum((mantissa - target).cast("double"))
+    down = (scaled - 5) / F.lit(10)
+    exact = F.when(side > 0, down + 1).when(side < 0, down).otherwise(F.bround(scaled / F.lit(10), 0))
+    fixed = (exact.cast("decimal(30,0)").cast("double")) / F.lit(float(10**digits))
+    return F.when(tie & (F.abs(x) < 1e6) & (F.abs(x) > 0.01), fixed).otherwise(F.round(x, digits)) if 0 <= digits <= 6 else F.round(x, digits)
+
+
 def apply_rules(rows: DataFrame, keys: list[str], rules: list[Rule], order: Column | None = None, **names: str) -> DataFrame:
     kinds = {f.name: f.dataType for f in rows.schema}
     return rows.groupBy(*keys).agg(*(aggregate_of(r, kinds, order, **names) for r in rules))

@@ -24,13 +24,13 @@ _STAT = "SELECT o_custkey AS report, l_linenumber AS code, CAST(l_quantity AS BI
 _PIVOT = f"SELECT report, {', '.join(f'CAST(sum(CASE WHEN code = {n} THEN value END) AS BIGINT) AS {f}' for n, f in FIELDS.items())} FROM ({_STAT}) GROUP BY report"
 
 
-@query(f"SELECT report, CAST(sum(value) AS BIGINT) AS total, round(avg(value), 4) AS mean, CAST(min(value) AS BIGINT) AS low, CAST(max(value) AS BIGINT) AS high, count(value) AS n FROM ({_STAT}) GROUP BY report")
+@query(f"SELECT report, CAST(sum(value) AS BIGINT) AS total, round_even(avg(value), 4) AS mean, CAST(min(value) AS BIGINT) AS low, CAST(max(value) AS BIGINT) AS high, count(value) AS n FROM ({_STAT}) GROUP BY report")
 def rule_sum_avg_min_max_count(spark, sf_dir):
     rules = [Rule("total", "value"), Rule("mean", "value", "avg", 4), Rule("low", "value", "MIN"), Rule("high", "value", "MAX"), Rule("n", "value", "COUNT")]
     return apply_rules(stat_rows(spark, sf_dir), ["report"], rules)
 
 
-@query("SELECT c_custkey, coalesce(sum(CAST(round(o_totalprice) AS BIGINT)), 0)::BIGINT AS total, round(avg(CAST(round(o_totalprice) AS BIGINT)), 3) AS mean, coalesce(max(CAST(round(o_totalprice) AS BIGINT)), 0)::BIGINT AS high, coalesce(min(CAST(round(o_totalprice) AS BIGINT)), 0)::BIGINT AS low, count(o_totalprice) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+@query("SELECT c_custkey, coalesce(sum(CAST(round(o_totalprice) AS BIGINT)), 0)::BIGINT AS total, round_even(avg(CAST(round(o_totalprice) AS BIGINT)), 3) AS mean, coalesce(max(CAST(round(o_totalprice) AS BIGINT)), 0)::BIGINT AS high, coalesce(min(CAST(round(o_totalprice) AS BIGINT)), 0)::BIGINT AS low, count(o_totalprice) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
 def rule_defaults_on_empty(spark, sf_dir):
     orders = read(spark, sf_dir, "orders").select("o_custkey", F.round("o_totalprice").cast("long").alias("price"))
     rows = read(spark, sf_dir, "customer").select("c_custkey").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")

@@ -101,7 +101,7 @@ def numbers_for_export(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", text.grouped_number(v).alias("written"))
 
 
-_BODY = "translate(substring(text, 1, 300), 'tT', 'dD')"
+_BODY = "translate(text, 'tT', 'dD')"
 _REPORT = (
     f"concat(CASE WHEN n_chars % 11 = 0 THEN '' ELSE concat('Số ', CAST(doc_id AS VARCHAR(20)), chr(10), {_BODY}, chr(10)) END, CASE WHEN n_chars % 3 = 0 THEN '' ELSE concat('I.  Tình hình chung', chr(10), {_BODY}, chr(10)) END, CASE WHEN n_chars % 4 = 0 THEN '' ELSE concat('III. TỔNG QUÂN SỐ trực ', CAST(n_chars AS VARCHAR(20)), chr(10)) END, "
     "CASE WHEN n_chars % 5 = 0 THEN '' WHEN n_chars % 5 = 1 THEN concat('STT | Nội dung', chr(10), '(1)', chr(10), 'Danh  mục', chr(10), '1 | a', chr(10)) ELSE concat('bảng stt, chỉ tiêu', chr(10), '2 | b', chr(10)) END, CASE WHEN n_chars % 7 = 0 THEN concat('Nơi nhận: lưu', chr(10)) ELSE '' END)"

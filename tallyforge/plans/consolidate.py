@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.numbers import int_or_null
 from tallyforge.operators import stats as S
+from tallyforge.operators.incremental import distinct_details
 from tallyforge.operators.payload import date_parts, first_part, period, promoted, total
 from tallyforge.operators.rules import EQUATIONS, overlay
 from tallyforge.plans.registry import query, read
@@ -216,3 +217,34 @@ def enrichment_audit(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text", "lang")
     rows = docs.join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
     return S.audited(rows.withColumnRenamed("source", "report"), overlay(F.col("quality"), F.col("text"), F.when(F.col("lang") == "en", 1)), ["report"])
+
+
+_SAID = "CASE WHEN p_partkey % 3 = 0 THEN lower(p_type) WHEN p_partkey % 3 = 1 THEN concat(' ', p_type) ELSE p_type END"
+
+
+@query(f"WITH t AS (SELECT p_brand, p_partkey AS k, trim({_SAID}) AS item FROM part), d AS (SELECT p_brand, min(k) AS k, arg_min(item, k) AS item FROM t WHERE item <> '' GROUP BY p_brand, lower(item)) SELECT p_brand, string_agg(item, '; ' ORDER BY k) AS items FROM d GROUP BY p_brand")
+def merge_texts_any_case(spark, sf_dir):
+    """Texts of a day that differ by more than case, each as it was first written, in that order."""
+    items = read(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("k"), F.trim(F.expr(_SAID)).alias("item")).where("item <> ''")
+    firsts = items.groupBy("p_brand", F.lower("item").alias("low")).agg(F.min(F.struct("k", "item")).alias("x"))
+    return firsts.groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["item"]), "; ").alias("items"))
+
+
+_INCIDENT = "SELECT l_orderkey AS job, concat(' ', l_returnflag) AS a, l_linestatus AS b, CASE WHEN l_linenumber > 4 THEN CAST(l_linenumber AS VARCHAR(9)) END AS c, CASE WHEN l_linenumber = 2 THEN ' ' ELSE '' END AS d, l_linenumber AS ord, l_partkey AS carried FROM lineitem"
+
+
+@query(f"SELECT o_custkey, count(*) AS incidents, CAST(sum(carried) AS BIGINT) AS carried FROM (SELECT o_custkey, arg_min(carried, (job, ord, carried)) AS carried FROM ({_INCIDENT}) JOIN orders ON job = o_orderkey GROUP BY o_custkey, trim(a), trim(coalesce(b, '')), trim(coalesce(c, '')), trim(d)) GROUP BY o_custkey")
+def merge_incidents(spark, sf_dir):
+    """Incidents of a reporter's jobs, one a signature of four trimmed fields; the row of the first is carried."""
+    rows = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey as job", "concat(' ', l_returnflag) as a", "l_linestatus as b", "case when l_linenumber > 4 then string(l_linenumber) end as c", "case when l_linenumber = 2 then ' ' else '' end as d", "l_linenumber as ord", "l_partkey as carried")
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job"), "o_custkey")
+    first = distinct_details(rows.join(orders, "job"), ["o_custkey"], ["a", "b", "c", "d"], ["job", "ord", "carried"])
+    return first.groupBy("o_custkey").agg(F.count("*").alias("incidents"), F.sum("carried").alias("carried"))
+
+
+@query("SELECT p_brand, code, said, arg_min(p_partkey, p_partkey) AS first FROM (SELECT p_brand, p_partkey, trim(CASE WHEN p_size % 4 = 0 THEN '' ELSE concat(' ', p_size, '/CV ') END) AS code, trim(CASE WHEN p_size % 8 = 0 THEN ' ' ELSE split_part(p_type, ' ', 1) END) AS said FROM part) WHERE code <> '' OR said <> '' GROUP BY 1, 2, 3")
+def merge_documents(spark, sf_dir):
+    """Documents by two trimmed fields; those without either go, the first row stays."""
+    rows = read(spark, sf_dir, "part").selectExpr("p_brand", "p_partkey", "case when p_size % 4 = 0 then '' else concat(' ', p_size, '/CV ') end as code", "case when p_size % 8 = 0 then ' ' else split_part(p_type, ' ', 1) end as said")
+    first = distinct_details(rows, ["p_brand"], ["code", "said"], ["p_partkey"])
+    return first.select("p_brand", F.trim("code").alias("code"), F.trim("said").alias("said"), F.col("p_partkey").alias("first"))

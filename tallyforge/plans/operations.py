@@ -21,11 +21,18 @@ def transition_audit(spark, sf_dir):
 _AS_OF = "1998-08-02"
 
 
-@query(f"SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'O' AND o_orderdate < TIMESTAMP '{_AS_OF}' - INTERVAL 600 DAY) OR (o_orderstatus = 'P' AND o_orderdate < TIMESTAMP '{_AS_OF}' - INTERVAL 300 DAY)")
+#: Days after which a job is stuck in each of three states.
+_LIMITS = {"O": 600, "P": 300, "F": 1500}
+
+
+@query(f"SELECT o_orderkey, o_orderstatus AS was FROM orders WHERE {' OR '.join(f"(o_orderstatus = '{s}' AND o_orderdate < TIMESTAMP '{_AS_OF}' - INTERVAL {n} DAY)" for s, n in _LIMITS.items())}")
 def stuck_jobs(spark, sf_dir):
-    """Jobs too long in a state, seen from a fixed time; the condition is pushed to the scan."""
+    """jobs too long in one of three states, each with its own limit, seen from a fixed time; the condition is pushed to the scan."""
     old = lambda n: F.col("o_orderdate") < F.expr(f"timestamp_ntz'{_AS_OF} 00:00:00' - interval {n} days")
-    return read(spark, sf_dir, "orders").where((F.col("o_orderstatus") == "O") & old(600) | (F.col("o_orderstatus") == "P") & old(300)).select("o_orderkey")
+    stuck = F.lit(False)
+    for state, days in _LIMITS.items():
+        stuck = stuck | ((F.col("o_orderstatus") == state) & old(days))
+    return read(spark, sf_dir, "orders").where(stuck).select("o_orderkey", F.col("o_orderstatus").alias("was"))
 
 
 @query("SELECT o_custkey AS batch, count(*) AS jobs, bool_and(o_orderstatus IN ('F', 'P')) AS all_done, strftime(min(o_orderdate), '%Y-%m-%d') AS oldest FROM orders GROUP BY 1 HAVING (bool_and(o_orderstatus IN ('F', 'P')) OR min(o_orderdate) < TIMESTAMP '1993-01-01') AND count(CASE WHEN o_orderstatus = 'F' THEN 1 END) >= 1")

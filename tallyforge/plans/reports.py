@@ -1,5 +1,6 @@
 """Daily, weekly and calendar reports, dashboard and listings. Roles: an order is a job, its date the report date."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.dates import week_start
@@ -121,3 +122,43 @@ def latest_job_per_tenant(spark, sf_dir):
     rows = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
     newest = rows.groupBy("o_custkey").agg(F.max(F.struct("o_orderdate", "o_orderkey")).alias("x"))
     return newest.select("o_custkey", "x.o_orderkey", F.date_format("x.o_orderdate", "yyyy-MM-dd").alias("day"))
+
+
+@query("WITH u AS (SELECT o_custkey AS who, 1 AS source, o_orderkey AS place, o_orderpriority AS said FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey, 2, l_orderkey * 8 + l_linenumber, concat(l_returnflag, l_quantity::BIGINT) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 40 UNION ALL SELECT user_id, 3, event_id, event_type FROM events) SELECT who, count(*) AS n, arg_min(said, (source, place, said)) AS first, arg_max(said, (source, place, said)) AS last FROM u GROUP BY who")
+def incident_sources(spark, sf_dir):
+    """Incidents of three sources in a fixed order: tables, stat rows that count some, narratives; per reporter their number, first and last."""
+    orders, lines = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem").where("l_quantity > 40")
+    tables = orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("who"), F.col("o_orderkey").alias("place"), F.col("o_orderpriority").alias("said"))
+    stats = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(F.col("o_custkey").alias("who"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("place"), F.concat("l_returnflag", F.col("l_quantity").cast("long").cast("string")).alias("said"))
+    told = read(spark, sf_dir, "events").select(F.col("user_id").alias("who"), F.col("event_id").alias("place"), F.col("event_type").alias("said"))
+    return in_fixed_order(tables, stats, told).groupBy("who").agg(F.count("*").alias("n"), F.min(_PLACED)["said"].alias("first"), F.max(_PLACED)["said"].alias("last"))
+
+
+_PLACED = F.struct("source", "place", "said")
+
+
+def in_fixed_order(*sources):
+    """One table of all ``sources``, of which each is told by its number in ``source``; columns that one lacks are null."""
+    out = sources[0].withColumn("source", F.lit(1))
+    for k, more in enumerate(sources[1:], 2):
+        out = out.unionByName(more.withColumn("source", F.lit(k)), allowMissingColumns=True)
+    return out
+
+
+@query("WITH d AS (SELECT user_id, event_id, event_type, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events), e AS (SELECT max(ts) AS last FROM events) SELECT count(*) AS jobs, count(CASE WHEN ts > last - INTERVAL 30 DAY THEN 1 END) AS recent, round(sum(CASE WHEN ts > last - INTERVAL 30 DAY THEN epoch_ms(ts) - epoch_ms(before) END) / count(CASE WHEN ts > last - INTERVAL 30 DAY THEN before END) / 60000.0, 1) AS mean_minutes, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS approved FROM d, e")
+def dashboard_times(spark, sf_dir):
+    """Jobs, those of the last thirty days, and the mean minutes that these took since the job before them."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    events = read(spark, sf_dir, "events").withColumn("took", F.expr("unix_millis(cast(ts as timestamp))") - F.lag(F.expr("unix_millis(cast(ts as timestamp))")).over(order))
+    rows = events.crossJoin(events.agg(F.max("ts").alias("last")))  # one row
+    recent = F.col("ts") > F.col("last") - F.expr("interval 30 days")
+    return rows.agg(F.count("*").alias("jobs"), F.count_if(recent).alias("recent"), F.round(F.avg(F.when(recent, F.col("took"))) / 60000, 1).alias("mean_minutes"), F.count_if(F.col("event_type") == "purchase").alias("approved"))
+
+
+@query("SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderkey AS job, CASE o_orderstatus WHEN 'F' THEN 'approved' WHEN 'O' THEN 'pending' ELSE 'failed' END AS status, count(*) OVER (PARTITION BY CAST(o_orderdate AS DATE)) AS jobs, bool_or(o_orderstatus = 'P') OVER (PARTITION BY CAST(o_orderdate AS DATE)) AS has_issues FROM orders")
+def calendar_job_list(spark, sf_dir):
+    """The jobs of each day, with what the day has; days are counted first, so no day is gathered."""
+    jobs = read(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("d"), F.col("o_orderkey").alias("job"), "o_orderstatus")
+    days = jobs.groupBy("d").agg(F.count("*").alias("jobs"), F.bool_or(F.col("o_orderstatus") == "P").alias("has_issues"))
+    status = F.when(F.col("o_orderstatus") == "F", "approved").when(F.col("o_orderstatus") == "O", "pending").otherwise("failed")
+    return jobs.join(days, "d").select(F.date_format("d", "yyyy-MM-dd").alias("day"), "job", status.alias("status"), "jobs", "has_issues")

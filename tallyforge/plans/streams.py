@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators.lifecycle import TRANSITIONS, transitions
 from tallyforge.plans.registry import query, read
-from tallyforge.streaming.jobs import STEPS, closed_batches, daily_counts, event_stream, run_once, state_machine, without_repeats
+from tallyforge.streaming.intake import Intake
+from tallyforge.streaming.jobs import STEPS, closed_batches, daily_counts, event_stream, run_once, shared_folder, state_machine, without_repeats
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -64,3 +65,16 @@ def state_machine_audit(spark, sf_dir):
 @query("SELECT count(*) AS n, count(DISTINCT user_id) AS jobs FROM events")
 def stream_input_audit(spark, sf_dir):
     return read(spark, sf_dir, "events").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("jobs"))
+
+
+@query("SELECT source AS tenant, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, lpad(CAST(min(doc_id) OVER (PARTITION BY source, md5(text)) AS VARCHAR), 12, '0') AS first_path, doc_id = min(doc_id) OVER (PARTITION BY source, md5(text)) AS is_new FROM documents WHERE source IS NOT NULL")
+def stream_intake_history(spark, sf_dir):
+    """Documents that come in four polls, in order; each gets the first of its content in its source, from whichever poll."""
+    docs = read(spark, sf_dir, "documents")
+    files = docs.select(F.col("source").alias("tenant"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.md5("text").alias("checksum"), "doc_id")
+    run = Intake(spark, shared_folder(spark))
+    ends = docs.agg(F.percentile_approx("doc_id", [0.25, 0.5, 0.75]).alias("q")).first().q or []
+    for poll, (low, high) in enumerate(zip([None, *ends], [*ends, None], strict=True)):
+        after = F.lit(True) if low is None else F.col("doc_id") > low
+        run.poll(files.where(after & (F.lit(True) if high is None else F.col("doc_id") <= high)), poll)
+    return run.taken().select("tenant", "path", "first_path", "is_new")

@@ -33,12 +33,12 @@ def stat_table_cascade(spark, sf_dir):
 @query("SELECT o_orderkey, o_orderkey % 5 AS tong_so_vu_cnch FROM orders WHERE o_orderkey % 3 = 2 AND o_orderkey % 5 > 0")
 def incident_count_from_table(spark, sf_dir):
     """X7."""
-    return cells.incident_count(cells.parse_lines(stat_reports(spark, sf_dir).where("o_orderkey % 3 = 2"), "o_orderkey", "text"), "o_orderkey")
+    return cells.incident_count(cells.cascade(stat_reports(spark, sf_dir), "o_orderkey", "tables", "text"), "o_orderkey")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN o_orderkey % 5 ELSE 99 END AS cnch FROM orders")
 def table_over_narrative(spark, sf_dir):
     """The table's value where it has the code, else the narrative's (here 99)."""
     reports = stat_reports(spark, sf_dir)
-    values = cells.overriding(cells.parse_lines(reports, "o_orderkey", "text").where("noi_dung <> 'khác'"), "o_orderkey", {"14": "tabled"})
+    values = cells.overriding(cells.parse_lines(reports, "o_orderkey", "text"), "o_orderkey", {"14": "tabled"})
     return reports.select("o_orderkey").join(values, "o_orderkey", "left").select("o_orderkey", F.coalesce("tabled", F.lit(99)).alias("cnch"))
