@@ -158,7 +158,7 @@ def snapshot(header: Column, told: Column, stats: Column, values: Column, lists:
 DATE_WORDS = ("ngay", "date", "thoi_gian", "time")
 
 
-def _coerced(x: Column, name: str, kind: str) -> tuple[Column, Column]:
+def coerced(x: Column, name: str, kind: str) -> tuple[Column, Column]:
     """A value of a declared type, and whether it had to be changed or couldn't be read."""
     if kind == "number":
         return measured_number(x), measured_note(x).isNotNull()
@@ -174,7 +174,7 @@ def validated(raw: Column, fields: dict[str, str]) -> Column:
     """B2 over a map of texts: ``clean`` (a field of each declared type), and the report: valid, completeness in percent, corrected, missing and extra fields, sorted."""
     raw = F.coalesce(raw, F.create_map().cast("map<string,string>"))
     at = {f: F.try_element_at(raw, F.lit(f)) for f in fields}
-    made = {f: _coerced(at[f], f, kind) for f, kind in fields.items()}
+    made = {f: coerced(at[f], f, kind) for f, kind in fields.items()}
     missing = codes(*(F.when(at[f].isNull(), f) for f in sorted(fields)))
     corrected = codes(*(F.when(at[f].isNotNull() & made[f][1], f) for f in sorted(fields)))
     extra = F.array_sort(F.array_except(F.map_keys(raw), F.array(*map(F.lit, fields))))
@@ -189,6 +189,6 @@ def validated_array(raw: Column, fields: dict[str, str]) -> Column:
     parts = F.coalesce(F.from_json(wrapped, "array<string>"), F.array().cast("array<string>"))
     is_object = lambda p: F.coalesce(p.startswith("{"), F.lit(False))
     objects = F.transform(F.filter(parts, is_object), lambda p: F.from_json(p, "map<string,string>"))
-    items = F.transform(objects, lambda m: F.struct(*(_coerced(F.try_element_at(m, F.lit(f)), f, kind)[0].alias(f) for f, kind in fields.items())))
+    items = F.transform(objects, lambda m: F.struct(*(coerced(F.try_element_at(m, F.lit(f)), f, kind)[0].alias(f) for f, kind in fields.items())))
     odd = F.filter(F.transform(parts, lambda p, i: F.when(~is_object(p), F.concat(F.lit("expected object at "), i.cast("string")))), lambda w: w.isNotNull())
     return F.struct(items.alias("items"), F.concat(codes(F.when(~whole.startswith("["), "expected array")), odd).alias("warnings"))

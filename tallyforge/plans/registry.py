@@ -29,7 +29,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    for name in ("filters", "aggregates", "consolidate", "coercions", "validations", "templates", "assembly", "reports", "texts", "narratives", "tables", "payloads", "operations", "streams", "weeks"):
+    for name in ("filters", "aggregates", "consolidate", "coercions", "validations", "templates", "assembly", "reports", "texts", "narratives", "tables", "payloads", "operations", "streams", "weeks", "shapes"):
         importlib.import_module(f"tallyforge.plans.{name}")
 
 

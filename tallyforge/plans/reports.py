@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.dates import week_start
 from tallyforge.plans.registry import query, read
+from tallyforge.sources.listing import Listing
+from tallyforge.streaming.jobs import shared_folder
 
 
 def _days(spark, sf_dir):
@@ -162,3 +164,11 @@ def calendar_job_list(spark, sf_dir):
     days = jobs.groupBy("d").agg(F.count("*").alias("jobs"), F.bool_or(F.col("o_orderstatus") == "P").alias("has_issues"))
     status = F.when(F.col("o_orderstatus") == "F", "approved").when(F.col("o_orderstatus") == "O", "pending").otherwise("failed")
     return jobs.join(days, "d").select(F.date_format("d", "yyyy-MM-dd").alias("day"), "job", status.alias("status"), "jobs", "has_issues")
+
+
+@query("SELECT o_orderkey, r - 1 AS rank FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS r, count(*) OVER () AS n FROM orders) WHERE r > n // 2 AND r <= n // 2 + 20")
+def page_far_into_a_list(spark, sf_dir):
+    """O1: twenty rows from the middle of a list, read from one range of its index."""
+    listing = Listing(spark, shared_folder(spark), ["-o_orderdate", "o_orderkey"])
+    listing.build(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), each=5000)
+    return listing.slice(listing.total() // 2, 20).select("o_orderkey", "rank")
