@@ -7,8 +7,11 @@ finds its range by the bounds that are kept with the counts.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of a range.
 RANGE = 100_000
@@ -33,6 +36,11 @@ class Listing:
         first = Window.partitionBy("_range").orderBy(*self._keys())
         last = kept.withColumn("_r", F.row_number().over(first)).groupBy("_range").agg(F.count("*").alias("n"), F.max_by(key, "_r").alias("last"))
         last.coalesce(1).write.mode("overwrite").parquet(f"{self.base}/index")
+        self.spark.createDataFrame([(dealt.schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.base}/schema")
+
+    def _rows(self) -> DataFrame:
+        schema = self.spark.read.text(f"{self.base}/schema").first().value
+        return self.spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(f"{self.base}/rows")
 
     def _index(self) -> DataFrame:
         """Ranges with their first rank, from 0. A row a range: some thousands for a list of a billion."""
@@ -46,7 +54,7 @@ class Listing:
     def slice(self, start: int, size: int) -> DataFrame:
         """The rows of ranks ``start`` to ``start + size - 1``, with ``rank``; out of order, as rows of a table are."""
         spans = self._index().where((F.col("start") < start + size) & (F.col("start") + F.col("n") > start)).select("_range", "start").collect()  # as many as a page has ranges
-        rows = self.spark.read.parquet(f"{self.base}/rows").where(F.col("_range").isin([r["_range"] for r in spans]))
+        rows = self._rows().where(F.col("_range").isin([r["_range"] for r in spans]))
         firsts = F.create_map(*(F.lit(x) for r in spans for x in (r["_range"], r["start"]))) if spans else F.create_map().cast("map<int,bigint>")
         placed = rows.withColumn("rank", F.row_number().over(Window.partitionBy("_range").orderBy(*self._keys())) - 1 + F.try_element_at(firsts, F.col("_range")))
         return placed.where((F.col("rank") >= start) & (F.col("rank") < start + size)).drop("_range")
@@ -66,7 +74,7 @@ class Listing:
         place = index.where(ahead).agg(F.min("_range").alias("r")).first().r  # the first range that ends behind the cursor
         if place is None:
             return self.slice(0, 0)
-        rows = self.spark.read.parquet(f"{self.base}/rows").where(F.col("_range") == place)
+        rows = self._rows().where(F.col("_range") == place)
         behind = F.lit(False)
         for c in reversed(self.order):
             name = c.lstrip("-")
