@@ -4,6 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyforge.functions.numbers import stripped
+from tallyforge.functions.text import let
 
 
 def report_date(x: Column) -> Column:
@@ -46,28 +47,87 @@ def first_report_date(*candidates: Column) -> Column:
     return F.coalesce(*map(report_date, candidates))
 
 
-#: What a free form of a date may look like; the general parser that this stands for knows more.
-FREE_FORMS = ((r"^\d{8}$", "yyyyMMdd"), (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"), (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"), (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"), (r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}$", "dd/MM/yyyy HH:mm"))
+#: Names of months by their first letters, of weekdays, and words that dates are written with.
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+WEEKDAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
+FILLERS = ["at", "on", "and", "ad", "t", "of", "st", "nd", "rd", "th"]
+#: A time of day with what may follow it: seconds, a half of the day, a zone.
+TIME_OF_DAY = r"(?:(?<=\d)t|\b)(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,]\d{1,6})?)?\s*(?:(am|pm|a|p)\b)?\s*(?:z\b|utc\b|gmt\b)?\s*(?:[+-]\d{2}:?\d{2}\b)?"
+
+
+def free_date(x: Column) -> Column:
+    """D1's general reading of a date, day first: null if ``x`` isn't one with a day, a month and a year.
+
+    The text is cut into numbers and words. A time of day goes; months and weekdays may be named; 8 or 6 digits are three numbers, 14 or 12 with a time behind.
+    Of the three parts a named month and a number of three digits or more are what they are; a year that comes first has the day before the month
+    (where that can be); otherwise the day comes first where the second can be a month. A year of two digits is the one within 50 years.
+    """
+    low = F.lower(x)
+    hour, minute, second, half = (F.regexp_extract(low, TIME_OF_DAY, k) for k in range(1, 5))
+    number = lambda c: F.coalesce(c.try_cast("int"), F.lit(0))
+    fits = (number(minute) < 60) & (number(second) < 60) & F.when(half != "", number(hour).between(1, 12)).otherwise(number(hour) < 24)
+    rest = F.regexp_replace(F.regexp_replace(low, TIME_OF_DAY, " "), r"\b(\d{8})t(\d{4}|\d{6})\b", "$1")
+    named = {m[:3]: k for k, m in enumerate(MONTHS, 1)} | {m: k for k, m in enumerate(MONTHS, 1)} | {"sept": 9}
+    ignored = [*WEEKDAYS, *(d[:3] for d in WEEKDAYS), *FILLERS, *".,;-/'"]
+
+    def parts_of(t: Column) -> Column:
+        digits, size = t.rlike(r"^\d+$"), F.length(t)
+        part = lambda *cuts: F.array(*(F.substring(t, a, n) for a, n in cuts))
+        month = F.coalesce(*(F.when(t == name, F.lit(f"m{k}")) for name, k in named.items()))
+        return (
+            F.when(digits & size.isin(8, 12, 14), part((1, 4), (5, 2), (7, 2))).when(digits & (size == 6), part((1, 2), (3, 2), (5, 2))).when(digits & (size <= 4), F.array(t))
+            .when(month.isNotNull(), F.array(month)).when(t.isin(ignored), F.array().cast("array<string>")).otherwise(F.array(F.lit("?")))
+        )
+
+    def resolved(p: Column) -> Column:
+        is_month = [p[k].startswith("m") for k in range(3)]
+        value = [F.regexp_replace(p[k], "^m", "").try_cast("int") for k in range(3)]
+        is_year = [~is_month[k] & (F.length(p[k]) > 2) for k in range(3)]
+        order = lambda y, m, d: F.struct(value[y].alias("y"), value[m].alias("m"), value[d].alias("d"), (F.length(p[y]) > 2).alias("whole"))
+        ways = (
+            F.when(is_month[0], F.when(is_year[1] | (~is_year[2] & (value[1] > 31)), order(1, 0, 2)).otherwise(order(2, 0, 1)))
+            .when(is_month[1], F.when(is_year[0] | (~is_year[2] & (value[0] > 31)), order(0, 1, 2)).otherwise(order(2, 1, 0)))
+            .when(is_month[2], F.when(is_year[1] | (~is_year[0] & (value[1] > 31)), order(1, 2, 0)).otherwise(order(0, 2, 1)))
+            .when(is_year[0] | (value[0] > 31), F.when(value[2] <= 12, order(0, 2, 1)).otherwise(order(0, 1, 2)))
+            .when((value[0] > 12) | (value[1] <= 12), order(2, 1, 0)).otherwise(order(2, 0, 1))
+        )
+        return F.when((F.size(p) == 3) & ~F.exists(p, lambda t: t == "?") & (F.size(F.filter(p, lambda t: t.startswith("m"))) <= 1), ways)
+
+    def day(w: Column) -> Column:
+        now = F.year(F.current_date())
+        near = w["y"] + F.floor(now / 100).cast("int") * 100
+        year = F.when(w["whole"], w["y"]).when(near >= now + 50, near - 100).when(near < now - 50, near + 100).otherwise(near)
+        made = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(w["m"].cast("string"), 2, "0"), F.lpad(w["d"].cast("string"), 2, "0"))
+        return F.when(w["y"].isNotNull() & w["m"].between(1, 12) & w["d"].between(1, 31) & year.between(1, 9999), F.try_to_date(made, "yyyy-MM-dd"))
+
+    tokens = F.regexp_extract_all(rest, F.lit(r"(\d+|[a-z]+|[^a-z0-9\s])"), F.lit(1))
+    return F.when(fits, let(F.flatten(F.transform(tokens, parts_of)), lambda p: let(resolved(p), day)))
+
+
+#: A time of day, dates by day, by year, and in words.
+CLOCK = r"^(\d{1,2})\s*[hH:]\s*(\d{2})$"
+BY_DAY = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})$"
+BY_YEAR = r"^(\d{4})[/.-](\d{1,2})[/.-](\d{1,2})$"
+IN_WORDS = r"^(?i)(?:ngày|ngay)?\s*(\d{1,2})\s+(?:tháng|thang)\s*(\d{1,2})\s+(?:năm|nam)\s*(\d{4})"
 
 
 def coerced_date(x: Column) -> Column:
-    """(value, note). A time as HH:MM; a date by day, month and year, by year, month and day, in words, or in a free form as dd/MM/yyyy; else the text as it is.
+    """(value, note). A time as HH:MM; a date by day, month and year, by year, month and day, in words, or in a free form (``free_date``) as dd/MM/yyyy; else the text as it is.
 
     The note is null where nothing changed, else ``time``, ``date``, ``words``, ``free`` or ``not_recognised``. Blank texts give null.
     """
     s = stripped(x)
     part = lambda pattern, i: F.regexp_extract(s, pattern, i)
-    clock = r"^(\d{1,2})\s*[hH:]\s*(\d{2})$"
-    hour, minute = part(clock, 1).try_cast("int"), part(clock, 2).try_cast("int")
-    time = F.when(hour.between(0, 23) & minute.between(0, 59), F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), part(clock, 2)))
+    hour, minute = part(CLOCK, 1).try_cast("int"), part(CLOCK, 2).try_cast("int")
+    time = F.when(hour.between(0, 23) & minute.between(0, 59), F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), part(CLOCK, 2)))
 
     def day(pattern: str, d: int, m: int, y: int) -> Column:
         made = F.concat_ws("-", part(pattern, y), F.lpad(part(pattern, m), 2, "0"), F.lpad(part(pattern, d), 2, "0"))
         return F.date_format(F.when(F.regexp_like(s, F.lit(pattern)), F.try_to_date(made, "yyyy-MM-dd")), "dd/MM/yyyy")
 
-    numbers = F.coalesce(day(r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})$", 1, 2, 3), day(r"^(\d{4})[/.-](\d{1,2})[/.-](\d{1,2})$", 3, 2, 1))
-    words = day(r"^(?i)(?:ngày|ngay)?\s*(\d{1,2})\s+(?:tháng|thang)\s*(\d{1,2})\s+(?:năm|nam)\s*(\d{4})", 1, 2, 3)
-    free = F.coalesce(*(F.date_format(F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(fmt))), "dd/MM/yyyy") for shape, fmt in FREE_FORMS))
+    numbers = F.coalesce(day(BY_DAY, 1, 2, 3), day(BY_YEAR, 3, 2, 1))
+    words = day(IN_WORDS, 1, 2, 3)
+    free = F.date_format(free_date(s), "dd/MM/yyyy")
     value = F.when(s != "", F.coalesce(time, numbers, words, free, s))
     note = F.when(time.isNotNull(), "time").when(numbers.isNotNull(), F.when(numbers != s, "date")).when(words.isNotNull(), "words").when(free.isNotNull(), "free").when(s != "", "not_recognised")
     return F.struct(value.alias("value"), note.alias("note"))

@@ -141,7 +141,7 @@ PARTS = {"nghiep_vu": r"(?imU)^I\.\s+TÌNH HÌNH.*", "quan_so": r"(?imU)^III\.\s
 TABLE_WORDS, TABLE_CODE = ("DANH MUC", "CHI TIEU"), "STT"
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
     """``then`` of ``value``, which is computed once however often ``then`` names it, and in whatever lambda."""
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
@@ -154,9 +154,9 @@ def table_start(x: Column) -> Column:
         heads = lambda i: near(i).contains(TABLE_WORDS[0]) | near(i).contains(TABLE_WORDS[1])
         place = F.array_position(F.transform(folded, lambda line, i: line.contains(TABLE_CODE) & heads(i)), True).cast("int")
         before = lambda at: F.aggregate(F.slice(held, 1, F.greatest(at - 1, F.lit(0))), F.lit(0), lambda n, line: n + F.length(line))
-        return _let(place, lambda at: F.when(at > 0, before(at) + 1))
+        return let(place, lambda at: F.when(at > 0, before(at) + 1))
 
-    return _let(F.split(x, "(?<=\n)"), lambda held: _let(F.transform(held, fold), lambda folded: found(held, folded)))
+    return let(F.split(x, "(?<=\n)"), lambda held: let(F.transform(held, fold), lambda folded: found(held, folded)))
 
 
 def split_parts(x: Column) -> Column:
@@ -172,4 +172,4 @@ def split_parts(x: Column) -> Column:
         blocks = F.array(*(F.when(a.isNotNull() & (b > a), F.struct(F.lit(name).alias("block_id"), F.substring(text, a, b - a).alias("content"))) for name, a, b in spans))
         return F.filter(blocks, lambda b: b.isNotNull() & (F.regexp_replace(b["content"], r"(?U)\s", "") != ""))
 
-    return _let(x, lambda text: _let(F.struct(first(text, "nghiep_vu").alias("one"), first(text, "quan_so").alias("three"), table_start(text).alias("table")), lambda marks: cut(text, marks)))
+    return let(x, lambda text: let(F.struct(first(text, "nghiep_vu").alias("one"), first(text, "quan_so").alias("three"), table_start(text).alias("table")), lambda marks: cut(text, marks)))

@@ -21,7 +21,7 @@ def _made(pattern: str, d: int, m: int, y: int) -> str:
 
 
 @query(f"""WITH t AS (SELECT o_orderkey, trim({_LOOSE}) AS s FROM orders), v AS (SELECT *, CASE WHEN TRY_CAST(regexp_extract(s, '{_CLOCK}', 1) AS INTEGER) BETWEEN 0 AND 23 AND TRY_CAST(regexp_extract(s, '{_CLOCK}', 2) AS INTEGER) BETWEEN 0 AND 59 THEN lpad(regexp_extract(s, '{_CLOCK}', 1), 2, '0') || ':' || regexp_extract(s, '{_CLOCK}', 2) END AS a,
-coalesce({_made(_DMY, 1, 2, 3)}, {_made(_YMD, 3, 2, 1)}) AS b, {_made(_VN.replace('^(?i)', '(?i)^'), 1, 2, 3)} AS c, CASE WHEN regexp_matches(s, '^\\d{{8}}$') THEN strftime(TRY_STRPTIME(s, '%Y%m%d'), '%d/%m/%Y') END AS d FROM t)
+coalesce({_made(_DMY, 1, 2, 3)}, {_made(_YMD, 3, 2, 1)}) AS b, {_made(_VN.replace('^(?i)', '(?i)^'), 1, 2, 3)} AS c, CASE WHEN regexp_matches(s, '^\\d{{8}}$') THEN strftime(CASE WHEN substr(s, 7) <= '12' THEN TRY_STRPTIME(s, '%Y%d%m') ELSE TRY_STRPTIME(s, '%Y%m%d') END, '%d/%m/%Y') END AS d FROM t)
 SELECT o_orderkey, CASE WHEN s <> '' THEN coalesce(a, b, c, d, s) END AS value, CASE WHEN a IS NOT NULL THEN 'time' WHEN b IS NOT NULL THEN CASE WHEN b <> s THEN 'date' END WHEN c IS NOT NULL THEN 'words' WHEN d IS NOT NULL THEN 'free' WHEN s <> '' THEN 'not_recognised' END AS note FROM v""")
 def coerce_date_forms(spark, sf_dir):
     """D1."""
