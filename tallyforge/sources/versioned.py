@@ -106,7 +106,7 @@ class Versioned:
         touched = touched.select(*self.partition).distinct()
         same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in self.partition]
         before = whole.alias("m").join(touched.alias("t"), same("m", "t"), "left_semi")
-        make(self._held(before)).select(*self.stored.names).repartition(*self.partition).write.partitionBy(*self.partition).parquet(f"{self.base}/data/version={version}")
+        make(self._held(before)).select(*self.stored.names).hint("rebalance", *self.partition).write.partitionBy(*self.partition).parquet(f"{self.base}/data/version={version}")
         # a partition that has no rows any more leaves the manifest
         there = self.spark.read.schema(self.stored).parquet(f"{self.base}/data/version={version}").select(*self.partition).distinct().withColumn("version", F.lit(version))
         rest = whole.alias("m").join(touched.alias("t"), same("m", "t"), "left_anti")
