@@ -114,3 +114,13 @@ def default_method(name: Column, kind: Column, scanned: Column) -> Column:
     """I8: the rule that the review screen shows for a field: the scanned one where there is one, none for dates and numbers of reports."""
     told = _any(F.lower(name), list(UNRULED))
     return F.coalesce(F.nullif(scanned, F.lit("")), F.when(told, "").when(kind == "number", "SUM").when(kind == "array", "CONCAT").otherwise("LAST"))
+
+
+def template_stats(holes_: DataFrame, schemas_: DataFrame, key: str) -> DataFrame:
+    """Of each template its distinct holes, variables and their occurrences, arrays whose rows have fields of their own, and names that no rule is made for."""
+    found = holes_.groupBy(key).agg(F.count("*").alias("total_holes"))
+    told = schemas_.groupBy(key).agg(
+        F.count("*").alias("unique_variables"), F.sum("occurrences").alias("total_placeholders"), F.count_if((F.col("type") == "array") & F.col("fields").isNotNull()).alias("arrays_of_objects"),
+        F.count_if(_any(F.lower("name"), METADATA)).alias("metadata_fields"),
+    )
+    return told.join(found, key, "left").withColumn("total_holes", F.coalesce("total_holes", F.lit(0)))

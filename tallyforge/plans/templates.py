@@ -45,7 +45,10 @@ def loop_scan(spark, sf_dir):
 _KIND = "CASE WHEN contains(lower(name), 'ngay_') OR contains(lower(name), 'bao_cao') THEN 'string' WHEN starts_with(name, 'tong_') THEN 'number' WHEN starts_with(name, 'is_') THEN 'boolean' WHEN starts_with(name, 'danh_sach') THEN 'array' ELSE 'string' END"
 
 
-@query(f"""WITH h AS (SELECT template, lower(name) AS name, CAST(sum(occurrences) AS BIGINT) AS occurrences, min(name) AS said FROM ({_HOLES}) WHERE NOT contains(name, '.') GROUP BY 1, 2), l AS ({_LOOPS}), a AS (SELECT template, "array" AS name, string_agg(field || ':' || type, ',' ORDER BY place) AS fields FROM l GROUP BY 1, 2) SELECT template, name, CASE WHEN fields IS NOT NULL THEN 'array' ELSE {_KIND} END AS type, upper(replace(coalesce(said, name), '_', ' ')[1]) || lower(replace(coalesce(said, name), '_', ' ')[2:]) AS description, coalesce(fields, '') AS fields, coalesce(occurrences, 1) AS occurrences FROM h FULL JOIN a USING (template, name)""")
+_SCHEMAS = f"""WITH h AS (SELECT template, lower(name) AS name, CAST(sum(occurrences) AS BIGINT) AS occurrences, min(name) AS said FROM ({_HOLES}) WHERE NOT contains(name, '.') GROUP BY 1, 2), l AS ({_LOOPS}), a AS (SELECT template, "array" AS name, string_agg(field || ':' || type, ',' ORDER BY place) AS fields FROM l GROUP BY 1, 2) SELECT template, name, CASE WHEN fields IS NOT NULL THEN 'array' ELSE {_KIND} END AS type, upper(replace(coalesce(said, name), '_', ' ')[1]) || lower(replace(coalesce(said, name), '_', ' ')[2:]) AS description, coalesce(fields, '') AS fields, coalesce(occurrences, 1) AS occurrences FROM h FULL JOIN a USING (template, name)"""
+
+
+@query(_SCHEMAS)
 def template_schemas(spark, sf_dir):
     """I6."""
     t = scanned(spark, sf_dir)
@@ -53,6 +56,14 @@ def template_schemas(spark, sf_dir):
     return out.withColumn("fields", F.coalesce(F.array_join(F.transform("fields", lambda x: F.concat_ws(":", x["name"], x["type"])), ","), F.lit("")))
 
 
+@query(f"SELECT template, count(*) AS unique_variables, CAST(sum(occurrences) AS BIGINT) AS total_placeholders, count(CASE WHEN type = 'array' AND fields <> '' THEN 1 END) AS arrays_of_objects, count(CASE WHEN {' OR '.join(f"contains(name, '{w}')" for w in I.METADATA)} THEN 1 END) AS metadata_fields, any_value(n) AS total_holes FROM ({_SCHEMAS}) JOIN (SELECT template, count(*) AS n FROM ({_HOLES}) GROUP BY template) USING (template) GROUP BY template")
+def template_scan_stats(spark, sf_dir):
+    """A35."""
+    t = scanned(spark, sf_dir)
+    holes = I.holes(t, "template", "text")
+    return I.template_stats(holes, I.schemas(holes, I.loops(t, "template", "text"), "template"), "template")
+
+
 @query(f"SELECT p_partkey, CASE WHEN p_size % 9 = 0 THEN 'MAX' WHEN contains(lower(name), 'ngay_') THEN '' WHEN starts_with(name, 'tong_') THEN 'SUM' WHEN starts_with(name, 'danh_sach') THEN 'CONCAT' ELSE 'LAST' END AS method FROM (SELECT p_partkey, p_size, {_NAME} AS name FROM part)")
 def review_rules(spark, sf_dir):
     """I8."""
