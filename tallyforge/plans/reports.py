@@ -133,10 +133,8 @@ def incident_sources(spark, sf_dir):
     tables = orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("who"), F.col("o_orderkey").alias("place"), F.col("o_orderpriority").alias("said"))
     stats = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(F.col("o_custkey").alias("who"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("place"), F.concat("l_returnflag", F.col("l_quantity").cast("long").cast("string")).alias("said"))
     told = read(spark, sf_dir, "events").select(F.col("user_id").alias("who"), F.col("event_id").alias("place"), F.col("event_type").alias("said"))
-    return in_fixed_order(tables, stats, told).groupBy("who").agg(F.count("*").alias("n"), F.min(_PLACED)["said"].alias("first"), F.max(_PLACED)["said"].alias("last"))
-
-
-_PLACED = F.struct("source", "place", "said")
+    placed = F.struct("source", "place", "said")
+    return in_fixed_order(tables, stats, told).groupBy("who").agg(F.count("*").alias("n"), F.min(placed)["said"].alias("first"), F.max(placed)["said"].alias("last"))
 
 
 def in_fixed_order(*sources):

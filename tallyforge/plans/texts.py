@@ -151,15 +151,16 @@ def text_grid_parse(spark, sf_dir):
     return grid.select("l_orderkey", total(part(1)).alias("codes"), total(part(3)).alias("total"))
 
 
-#: Templates that two tenants have alike.
-_BOTH = F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("tenant")
+def _both():
+    """Templates that two tenants have alike."""
+    return F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("tenant")
 
 
 @query("SELECT p_brand AS template, best AS pattern FROM (SELECT p_brand, (SELECT min(r_name) FROM region WHERE lower(p_brand) LIKE '%' || lower(substr(r_name, 1, 1)) || '%') AS best FROM (SELECT DISTINCT p_brand FROM part)) WHERE best IS NOT NULL")
 def template_match_regex(spark, sf_dir):
     """The first pattern that a name has."""
     names = read(spark, sf_dir, "part").select((F.crc32(F.col("p_brand").cast("binary")) % 2).alias("tenant"), F.col("p_brand").alias("name")).distinct()
-    patterns = read(spark, sf_dir, "region").select(_BOTH, F.col("r_name").alias("template"), F.col("r_name").alias("place"), F.substring("r_name", 1, 1).alias("pattern"))
+    patterns = read(spark, sf_dir, "region").select(_both(), F.col("r_name").alias("template"), F.col("r_name").alias("place"), F.substring("r_name", 1, 1).alias("pattern"))
     return by_name(names, patterns).select(F.col("name").alias("template"), F.col("template").alias("pattern"))
 
 
@@ -168,7 +169,7 @@ def template_match_coverage(spark, sf_dir):
     """The template of which most fields occur in the text; of equals the first."""
     texts = read(spark, sf_dir, "part").select((F.crc32(F.col("p_type").cast("binary")) % 2).alias("tenant"), "p_type", F.col("p_type").alias("page")).distinct()
     fields = F.array_distinct(F.filter(F.split(F.lower("n_name"), ""), lambda c: c != ""))
-    templates = read(spark, sf_dir, "nation").select(_BOTH, F.col("n_name").alias("template"), F.col("n_nationkey").alias("place"), fields.alias("fields"))
+    templates = read(spark, sf_dir, "nation").select(_both(), F.col("n_name").alias("template"), F.col("n_nationkey").alias("place"), fields.alias("fields"))
     best = coverage(texts, "p_type", templates).groupBy("p_type").agg(F.max_by(F.struct("template", "score"), F.struct("score", -F.col("place"))).alias("x"))
     return best.select("p_type", "x.template", F.round("x.score", 4).alias("score"))
 
