@@ -12,8 +12,8 @@ sorted by set size and cut into blocks; pairs of blocks whose sizes can be simil
 compared, first by the overlap of the union's sketch, and what that leaves by the exact
 Jaccard similarity of full sets. A pair of blocks returns the links that connect what it
 found (a spanning forest), not every pair; components of these are the classes. Chance of
-missing one link at similarity 0.85: under 1e-9 (binomial tail of 14 in 32); a class has
-more than one link as a rule.
+missing one link (binomial tail of fewer than 14 in 32): 1e-8 at similarity 0.85, 1.2e-6 at 0.80;
+a class has more than one link as a rule.
 
 Cases: null texts and texts without words have an empty set, link with nothing and are kept;
 with fewer words than a shingle, the whole sequence is the one shingle; very long texts give
