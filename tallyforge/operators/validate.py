@@ -141,16 +141,12 @@ def contract_codes(payload: Column) -> Column:
     )
 
 
-#: The codes whose values a snapshot keeps.
-SNAPSHOT_CODES = ["14", "15", "16", "17", "31", "32", "33", "35", "36", "37", "38", "39", "55", "56", "57", "58", "59", "60", "61"]
-
-
 def snapshot(header: Column, told: Column, stats: Column, values: Column, lists: dict[str, Column]) -> Column:
     """V8: a payload's stable part: header fields, sizes of lists, key numbers. ``values``: see ``stat_values``."""
     size = lambda xs: F.greatest(F.coalesce(F.size(xs), F.lit(0)), F.lit(0))
     return F.struct(
         F.struct(*(F.coalesce(header[f], F.lit("")).alias(f) for f in CONTRACT_HEADER)).alias("header"), F.struct(size(stats).alias("bang_thong_ke"), *(size(xs).alias(name) for name, xs in lists.items())).alias("sizes"),
-        F.struct(*(F.coalesce(F.try_element_at(values, F.lit(k)), F.lit(0)).alias(f"stt_{k}") for k in SNAPSHOT_CODES), *(F.coalesce(told[f].cast("bigint"), F.lit(0)).alias(f) for f in MUST_TOLD)).alias("key_metrics"),
+        F.struct(*(F.coalesce(F.try_element_at(values, F.lit(k)), F.lit(0)).alias(f"stt_{k}") for k in REQUIRED), *(F.coalesce(told[f].cast("bigint"), F.lit(0)).alias(f) for f in MUST_TOLD)).alias("key_metrics"),
     )
 
 
