@@ -7,6 +7,8 @@ join brings candidates together, and only these are verified. So no name meets e
 however many templates there are. Patterns that need no character at all (``\\d+``) are packed into blocks that names meet by
 the number of the block.
 
+Joins ask for sorting: a plan of so many joins would otherwise hold as many small tables in the driver at once.
+
 Patterns are searched in names as Python's ``re`` does, whatever the case. One that doesn't compile
 is left out and listed by ``bad_patterns``.
 """
@@ -119,7 +121,7 @@ def _keyed(rows: DataFrame, item: list[str]) -> DataFrame:
     """``rows`` (tenant, ``item``, grams) with the ``gram`` that the fewest of a tenant have, the first of several."""
     each = rows.select("tenant", *item, F.explode("grams").alias("gram"))
     often = each.groupBy("tenant", "gram").agg(F.count("*").alias("n"))
-    return each.join(often, ["tenant", "gram"]).groupBy("tenant", *item).agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    return each.join(often.hint("merge"), ["tenant", "gram"]).groupBy("tenant", *item).agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
 
 
 def by_name(names: DataFrame, templates: DataFrame) -> DataFrame:
@@ -128,7 +130,7 @@ def by_name(names: DataFrame, templates: DataFrame) -> DataFrame:
     item = ["template", "place", "pattern"]
     indexed = _keyed(parsed.where(F.size("grams") > 0), item)
     fold = F.lower(F.translate("name", "".join(map(chr, _FOLD)), "".join(_FOLD.values())))
-    met = spread(names.withColumn("text", fold), "text").join(indexed, ["tenant", "gram"]).select("tenant", "name", F.array(F.struct(*item)).alias("items"))
+    met = spread(names.withColumn("text", fold), "text").join(indexed.hint("merge"), ["tenant", "gram"]).select("tenant", "name", F.array(F.struct(*item)).alias("items"))
     # patterns that any name could have: blocks of a tenant's, which its names meet
     free = parsed.where(F.size("grams") == 0)
     blocks = free.groupBy("tenant").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -165,14 +167,14 @@ def coverage(pages: DataFrame, key: str, templates: DataFrame) -> DataFrame:
 
     tenant = templates.schema["tenant"].dataType.simpleString()
     indexed = _keyed(listed.select("tenant", "field").distinct().mapInArrow(grams, f"tenant {tenant}, field string, grams array<string>"), ["field"])
-    met = spread(pages.select("tenant", key, F.lower("page").alias("page")), "page").join(indexed, ["tenant", "gram"]).select("tenant", key, "field")
+    met = spread(pages.select("tenant", key, F.lower("page").alias("page")), "page").join(indexed.hint("merge"), ["tenant", "gram"]).select("tenant", key, "field")
     # a page's candidates come to its text some at a time
     many = met.groupBy("tenant", key).agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
-    some = met.join(many, ["tenant", key]).groupBy("tenant", key, F.expr("pmod(xxhash64(field), parts)").alias("part")).agg(F.collect_list("field").alias("fields"))
+    some = met.join(many.hint("merge"), ["tenant", key]).groupBy("tenant", key, F.expr("pmod(xxhash64(field), parts)").alias("part")).agg(F.collect_list("field").alias("fields"))
     low = F.lower("page")
-    told = pages.select("tenant", key, "page").join(some, ["tenant", key]).select("tenant", key, F.explode(F.filter("fields", lambda f: F.contains(low, f))).alias("field"))
-    hits = told.join(wanted, ["tenant", "field"]).groupBy("tenant", key, "template", "place").agg(F.sum("m").alias("hits"))
-    return hits.join(sizes, ["tenant", "template", "place"]).select("tenant", key, "template", "place", (F.col("hits") / F.col("n")).alias("score"))
+    told = pages.select("tenant", key, "page").join(some.hint("merge"), ["tenant", key]).select("tenant", key, F.explode(F.filter("fields", lambda f: F.contains(low, f))).alias("field"))
+    hits = told.join(wanted.hint("merge"), ["tenant", "field"]).groupBy("tenant", key, "template", "place").agg(F.sum("m").alias("hits"))
+    return hits.join(sizes.hint("merge"), ["tenant", "template", "place"]).select("tenant", key, "template", "place", (F.col("hits") / F.col("n")).alias("score"))
 
 
 def detected(files: DataFrame, templates: DataFrame, key: str) -> DataFrame:
@@ -185,6 +187,6 @@ def detected(files: DataFrame, templates: DataFrame, key: str) -> DataFrame:
     best = coverage(files.where(F.length("page") > LEAST).select("tenant", key, "page"), key, templates).where(F.col("score") >= COVERAGE)
     best = best.groupBy("tenant", key).agg(F.max_by("template", F.struct("score", -F.col("place"))).alias("by_page"))
     only = templates.groupBy("tenant").agg(F.when(F.count("*") == 1, F.min("template")).alias("only")).where("only is not null")
-    out = files.select("tenant", key, "name").join(named, ["tenant", "name"], "left").join(best, ["tenant", key], "left").join(only, "tenant", "left")
+    out = files.select("tenant", key, "name").join(named.hint("merge"), ["tenant", "name"], "left").join(best.hint("merge"), ["tenant", key], "left").join(only, "tenant", "left")
     how = F.when(F.col("by_name").isNotNull(), "name").when(F.col("by_page").isNotNull(), "page").when(F.col("only").isNotNull(), "only")
     return out.select("tenant", key, F.coalesce("by_name", "by_page", "only").alias("template"), how.alias("how"))
