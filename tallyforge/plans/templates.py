@@ -13,9 +13,8 @@ WHEN p_size % 5 = 3 THEN concat('{% for y in ds_', CAST(p_size % 2 AS VARCHAR(20
 
 
 def scanned(spark, sf_dir):
-    rows = read(spark, sf_dir, "part").selectExpr("p_brand AS template", "p_partkey", f"{_LINE} AS line")
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "line"))), lambda x: x["line"])
-    return rows.groupBy("template").agg(F.array_join(lines, "\n").alias("text"))
+    """(template, p_partkey, text): a template's lines, in order of their part; no mark reaches over the end of a line."""
+    return read(spark, sf_dir, "part").selectExpr("p_brand AS template", "p_partkey", f"{_LINE} AS text")
 
 
 _T = f"SELECT p_brand AS template, p_partkey, p_size, p_type, {_LINE} AS line, replace({_NAME}, '-', '_') AS n FROM part"
@@ -39,7 +38,7 @@ SELECT template, arr AS "array", item_alias, field, CAST(row_number() OVER (PART
 @query(_LOOPS)
 def loop_scan(spark, sf_dir):
     """I2, I4."""
-    return I.loops(scanned(spark, sf_dir), "template", "text")
+    return I.loops(scanned(spark, sf_dir), "template", "text", "p_partkey")
 
 
 _KIND = "CASE WHEN contains(lower(name), 'ngay_') OR contains(lower(name), 'bao_cao') THEN 'string' WHEN starts_with(name, 'tong_') THEN 'number' WHEN starts_with(name, 'is_') THEN 'boolean' WHEN starts_with(name, 'danh_sach') THEN 'array' ELSE 'string' END"
@@ -52,7 +51,7 @@ _SCHEMAS = f"""WITH h AS (SELECT template, lower(name) AS name, CAST(sum(occurre
 def template_schemas(spark, sf_dir):
     """I6."""
     t = scanned(spark, sf_dir)
-    out = I.schemas(I.holes(t, "template", "text"), I.loops(t, "template", "text"), "template")
+    out = I.schemas(I.holes(t, "template", "text"), I.loops(t, "template", "text", "p_partkey"), "template")
     return out.withColumn("fields", F.coalesce(F.array_join(F.transform("fields", lambda x: F.concat_ws(":", x["name"], x["type"])), ","), F.lit("")))
 
 
@@ -61,7 +60,7 @@ def template_scan_stats(spark, sf_dir):
     """A35."""
     t = scanned(spark, sf_dir)
     holes = I.holes(t, "template", "text")
-    return I.template_stats(holes, I.schemas(holes, I.loops(t, "template", "text"), "template"), "template")
+    return I.template_stats(holes, I.schemas(holes, I.loops(t, "template", "text", "p_partkey"), "template"), "template")
 
 
 @query(f"SELECT p_partkey, CASE WHEN p_size % 9 = 0 THEN 'MAX' WHEN contains(lower(name), 'ngay_') THEN '' WHEN starts_with(name, 'tong_') THEN 'SUM' WHEN starts_with(name, 'danh_sach') THEN 'CONCAT' ELSE 'LAST' END AS method FROM (SELECT p_partkey, p_size, {_NAME} AS name FROM part)")
