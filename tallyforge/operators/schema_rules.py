@@ -21,16 +21,18 @@ def repaired(name: Column) -> Column:
 def unique_names(fields: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
     """``fields`` with ``unique``: ``name``, or with a number behind it where one before by ``order`` has it, so that no two of ``keys`` are alike.
 
-    A number that makes a name which is there already is left out. Each round settles all first holders of a name; those that lose try their next number.
+    A number that makes a name which is there already is left out. A name's holders but the first get its free numbers from 2 on in their order: the k-th gets
+    k + 1 and one more for each taken number that fewer than k free ones go before.
     """
-    now = fields.withColumn("_n", F.lit(1)).withColumn("unique", F.col(name))
-    while True:
-        # names as they are written win over numbered ones
-        holders = Window.partitionBy(*keys, "unique").orderBy(F.col("_n") > 1, order)
-        now = now.withColumn("_loses", F.col("unique").isNotNull() & (F.row_number().over(holders) > 1))
-        if not now.where("_loses").limit(1).count():
-            return now.drop("_n", "_loses")
-        now = now.withColumn("_n", F.when(F.col("_loses"), F.col("_n") + 1).otherwise(F.col("_n"))).withColumn("unique", F.when(F.col("_loses"), F.concat(F.col(name), F.lit("_"), F.col("_n").cast("string"))).otherwise(F.col("unique"))).drop("_loses")
+    numbered = r"(?s)^(.*)_([1-9][0-9]{0,17})\z"
+    ranked = fields.withColumn("_k", F.when(F.col(name).isNotNull(), F.row_number().over(Window.partitionBy(*keys, name).orderBy(order)) - 1).otherwise(0).cast("long"))
+    # names as they are written win over numbered ones
+    taken = fields.where(F.col(name).rlike(numbered)).select(*keys, F.regexp_extract(name, numbered, 1).alias(name), F.regexp_extract(name, numbered, 2).try_cast("long").alias("_t")).where("_t > 1").distinct()
+    free = F.col("_t") - 1 - F.row_number().over(Window.partitionBy(*keys, name).orderBy("_t"))
+    both = ranked.withColumn("_taken", F.lit(0)).unionByName(taken.select(*keys, name, free.alias("_k"), F.lit(1).alias("_taken")), allowMissingColumns=True)
+    skipped = F.sum("_taken").over(Window.partitionBy(*keys, name).orderBy("_k", "_taken").rowsBetween(Window.unboundedPreceding, 0))
+    number = F.concat(F.col(name), F.lit("_"), (F.col("_k") + 1 + skipped).cast("string"))
+    return both.withColumn("unique", F.when(F.col("_k") > 0, number).otherwise(F.col(name))).where("_taken = 0").select(*fields.columns, "unique")
 
 
 def field_codes(fields: DataFrame, keys: list[str], order: str) -> DataFrame:
