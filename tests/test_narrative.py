@@ -72,3 +72,10 @@ def test_incidents(spark):
     found = one(spark, f"{CASE} {CASE}", N.summary_incidents)
     assert [r.thoi_gian for r in found] == ["16:33 ngày 2/4/2026"] * 2 and found[1].dia_diem == "khu đất trống đường số 5"
     assert one(spark, "x" * 81, lambda x: N.plausible(x, "noi_dung_tin_bao")) == "" and one(spark, "đang đi", lambda x: N.plausible(x, "ket_qua_xu_ly")) == ""
+
+
+def test_vehicles_are_looked_for_once(spark):
+    """A lambda's expressions are worked out at each place that names them: the sentence was searched again for each vehicle."""
+    df = spark.createDataFrame([("Xe thang 61CD-002.85, xe bồn 61A-001.11 và xe 61A-001.12 (nhỏ hỏng",)], "x string").select(N.damaged_vehicles(F.col("x")).alias("v"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("chờ thanh lý") == 1
+    assert [tuple(v) for v in df.first().v] == [("thang 61CD-002.85", "(nhỏ hỏng)"), ("bồn 61A-001.11", "(nhỏ hỏng)"), ("61A-001.12", "(nhỏ hỏng)")]
