@@ -33,7 +33,8 @@ def stat_table_cascade(spark, sf_dir):
 @query("SELECT o_orderkey, o_orderkey % 5 AS tong_so_vu_cnch FROM orders WHERE o_orderkey % 3 = 2 AND o_orderkey % 5 > 0")
 def incident_count_from_table(spark, sf_dir):
     """X7."""
-    return cells.incident_count(cells.cascade(stat_reports(spark, sf_dir), "o_orderkey", "tables", "text"), "o_orderkey")
+    rows = cells.cascaded(stat_reports(spark, sf_dir), "o_orderkey", "tables", "text")
+    return rows.select("o_orderkey", F.explode(F.filter(F.array(cells.first_incidents(F.col("_rows"))), lambda n: n.isNotNull())).alias("tong_so_vu_cnch"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN o_orderkey % 5 ELSE 99 END AS cnch FROM orders")
