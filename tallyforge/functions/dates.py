@@ -116,7 +116,10 @@ def coerced_date(x: Column) -> Column:
 
     The note is null where nothing changed, else ``time``, ``date``, ``words``, ``free`` or ``not_recognised``. Blank texts give null.
     """
-    s = stripped(x)
+    return let(stripped(x), _told_date)
+
+
+def _told_date(s: Column) -> Column:
     part = lambda pattern, i: F.regexp_extract(s, pattern, i)
     hour, minute = part(CLOCK, 1).try_cast("int"), part(CLOCK, 2).try_cast("int")
     time = F.when(hour.between(0, 23) & minute.between(0, 59), F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), part(CLOCK, 2)))
@@ -125,12 +128,12 @@ def coerced_date(x: Column) -> Column:
         made = F.concat_ws("-", part(pattern, y), F.lpad(part(pattern, m), 2, "0"), F.lpad(part(pattern, d), 2, "0"))
         return F.date_format(F.when(F.regexp_like(s, F.lit(pattern)), F.try_to_date(made, "yyyy-MM-dd")), "dd/MM/yyyy")
 
+    told = lambda value, note: F.struct(value.cast("string").alias("value"), note.cast("string").alias("note"))
+    found = lambda value, note: let(value, lambda v: F.when(v.isNotNull(), told(v, note(v))))
+    as_ = lambda name: lambda v: F.lit(name)
     numbers = F.coalesce(day(BY_DAY, 1, 2, 3), day(BY_YEAR, 3, 2, 1))
-    words = day(IN_WORDS, 1, 2, 3)
-    free = F.date_format(free_date(s), "dd/MM/yyyy")
-    value = F.when(s != "", F.coalesce(time, numbers, words, free, s))
-    note = F.when(time.isNotNull(), "time").when(numbers.isNotNull(), F.when(numbers != s, "date")).when(words.isNotNull(), "words").when(free.isNotNull(), "free").when(s != "", "not_recognised")
-    return F.struct(value.alias("value"), note.alias("note"))
+    forms = (found(time, as_("time")), found(numbers, lambda v: F.when(v != s, "date")), found(day(IN_WORDS, 1, 2, 3), as_("words")), found(F.date_format(free_date(s), "dd/MM/yyyy"), as_("free")))
+    return F.when(s != "", F.coalesce(*forms, told(s, F.lit("not_recognised")))).otherwise(told(F.lit(None), F.lit(None)))
 
 
 #: The forms of an incident's time.

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import dates, text
 from tallyforge.functions.numbers import boolean, measured_note, measured_number, stripped
+from tallyforge.functions.text import let
 
 #: Thresholds and fields of the standing template.
 YEARS, MOST_KET_QUA, TOLERANCE = (2020, 2035), 100000, 3
@@ -132,13 +133,20 @@ CONTRACT_HEADER = ("so_bao_cao", "ngay_bao_cao", "don_vi_bao_cao", "thoi_gian_tu
 
 def contract_codes(payload: Column) -> Column:
     """V7 over a JSON text: parts that are missing, then header fields, then parts of another kind."""
-    keys, inner = F.coalesce(F.json_object_keys(payload), F.array().cast("array<string>")), F.coalesce(F.json_object_keys(F.get_json_object(payload, "$.header")), F.array().cast("array<string>"))
-    is_kind = lambda k: F.coalesce(F.get_json_object(payload, f"$.{k}").startswith(CONTRACT[k]), F.lit(False))
+    keys_of = lambda x: F.coalesce(F.json_object_keys(x), F.array().cast("array<string>"))
+    is_kind = lambda x, k: F.coalesce(x.startswith(CONTRACT[k]), F.lit(False))
     short = lambda k: "nghiep_vu" if k.startswith("phan_I") else k
-    return codes(
-        *(F.when(~F.array_contains(keys, k), f"missing_top_level:{k}") for k in sorted(CONTRACT)), F.when(~is_kind("header"), "invalid_header_type"), *(F.when(is_kind("header") & ~F.array_contains(inner, k), f"missing_header:{k}") for k in sorted(CONTRACT_HEADER)),
-        *(F.when(~is_kind(k), f"invalid_{short(k)}_type") for k in sorted(CONTRACT) if k != "header"),
-    )
+
+    def of_header(header: Column) -> Column:
+        inner = F.when(is_kind(header, "header"), keys_of(header))
+        return F.concat(codes(F.when(~is_kind(header, "header"), "invalid_header_type")), let(inner, lambda ks: codes(*(F.when(~F.array_contains(ks, k), f"missing_header:{k}") for k in sorted(CONTRACT_HEADER)))))
+
+    def told(p: Column) -> Column:
+        top = let(keys_of(p), lambda ks: codes(*(F.when(~F.array_contains(ks, k), f"missing_top_level:{k}") for k in sorted(CONTRACT))))
+        kinds = codes(*(F.when(~is_kind(F.get_json_object(p, f"$.{k}"), k), f"invalid_{short(k)}_type") for k in sorted(CONTRACT) if k != "header"))
+        return F.concat(top, let(F.get_json_object(p, "$.header"), of_header), kinds)
+
+    return let(payload, told)
 
 
 def snapshot(header: Column, told: Column, stats: Column, values: Column, lists: dict[str, Column]) -> Column:
@@ -169,13 +177,21 @@ def coerced(x: Column, name: str, kind: str) -> tuple[Column, Column]:
 def validated(raw: Column, fields: dict[str, str]) -> Column:
     """B2 over a map of texts: ``clean`` (a field of each declared type), and the report: valid, completeness in percent, corrected, missing and extra fields, sorted."""
     raw = F.coalesce(raw, F.create_map().cast("map<string,string>"))
-    at = {f: F.try_element_at(raw, F.lit(f)) for f in fields}
-    made = {f: coerced(at[f], f, kind) for f, kind in fields.items()}
-    missing = codes(*(F.when(at[f].isNull(), f) for f in sorted(fields)))
-    corrected = codes(*(F.when(at[f].isNotNull() & made[f][1], f) for f in sorted(fields)))
+
+    def field(x: Column, name: str, kind: str) -> Column:
+        value, changed = coerced(x, name, kind)
+        return F.struct(value.alias("value"), changed.alias("changed"), x.isNull().alias("missing"))
+
+    values = lambda m: F.struct(*(let(F.try_element_at(m, F.lit(f)), (lambda f, kind: lambda x: field(x, f, kind))(f, kind)).alias(f) for f, kind in fields.items()))
+    return let(raw, lambda m: let(values(m), lambda v: _report(m, v, fields)))
+
+
+def _report(raw: Column, made: Column, fields: dict[str, str]) -> Column:
+    corrected = codes(*(F.when(~made[f]["missing"] & made[f]["changed"], f) for f in sorted(fields)))
     extra = F.array_sort(F.array_except(F.map_keys(raw), F.array(*map(F.lit, fields))))
-    done = F.round((len(fields) - F.size(missing)) * 100.0 / len(fields), 1)
-    return F.struct(F.struct(*(made[f][0].alias(f) for f in fields)).alias("clean"), (F.size(missing) == 0).alias("is_valid"), done.cast("double").alias("completeness_pct"), corrected.alias("corrected"), missing.alias("missing"), extra.alias("extra"))
+    clean = F.struct(*(made[f]["value"].alias(f) for f in fields))
+    done = lambda missing: F.round((len(fields) - F.size(missing)) * 100.0 / len(fields), 1).cast("double")
+    return let(codes(*(F.when(made[f]["missing"], f) for f in sorted(fields))), lambda missing: F.struct(clean.alias("clean"), (F.size(missing) == 0).alias("is_valid"), done(missing).alias("completeness_pct"), corrected.alias("corrected"), missing.alias("missing"), extra.alias("extra")))
 
 
 def validated_array(raw: Column, fields: dict[str, str]) -> Column:
