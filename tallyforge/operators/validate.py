@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import dates, text
-from tallyforge.functions.numbers import boolean, measured_note, measured_number, stripped
+from tallyforge.functions.numbers import boolean, measured_note, measured_number, noted, stripped
 from tallyforge.functions.text import let
 
 #: Thresholds and fields of the standing template.
@@ -174,6 +174,16 @@ def coerced(x: Column, name: str, kind: str) -> tuple[Column, Column]:
     return x, F.lit(False)
 
 
+def coerced_once(x: Column, name: str, kind: str) -> Column:
+    """``coerced`` as a struct (value, changed) for use in lambdas, where each mention of an expression is worked out anew."""
+    pair = lambda value, changed: F.struct(value.alias("value"), changed.alias("changed"))
+    if kind == "number":
+        return let(stripped(x), lambda raw: let(measured_number(raw), lambda n: pair(n, noted(n, raw).isNotNull())))
+    if kind == "string" and any(w in name for w in DATE_WORDS):
+        return let(dates.coerced_date(x), lambda found: pair(found["value"], found["note"].isNotNull()))
+    return pair(*coerced(x, name, kind))
+
+
 def validated(raw: Column, fields: dict[str, str]) -> Column:
     """B2 over a map of texts: ``clean`` (a field of each declared type), and the report: valid, completeness in percent, corrected, missing and extra fields, sorted."""
     raw = F.coalesce(raw, F.create_map().cast("map<string,string>"))

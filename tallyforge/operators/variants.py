@@ -8,7 +8,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.operators.validate import coerced
+from tallyforge.functions.text import let
+from tallyforge.operators.validate import coerced_once
 
 Path = tuple[str, ...]
 #: Names of column types by those of values; a list, and what has several types, is text.
@@ -109,47 +110,62 @@ def json_normalize(rows: DataFrame, column: str, keep: list[str], corrupt: str =
     return parsed.select(*keep, *out, F.when(F.col("_v").isNull(), F.col(column)).alias(corrupt))
 
 
-def _kind(v: Column) -> Column:
-    """The type of a variant as warnings name it."""
-    s = F.schema_of_variant(v)
+def _kind(s: Column) -> Column:
+    """The type of a variant as warnings name it, by its schema."""
     return F.when(s.startswith("OBJECT<"), "object").when(s.startswith("ARRAY<"), "array").when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(s.isNull() | (s == "VOID"), "null").otherwise("number")
 
 
-def _text(v: Column) -> Column:
-    return F.coalesce(F.try_variant_get(v, "$", "string"), F.when(F.schema_of_variant(v) != "VOID", v.cast("string")))
+def _text(v: Column, there: Column) -> Column:
+    return F.coalesce(F.try_variant_get(v, "$", "string"), F.when(there, v.cast("string")))
 
 
-def nested(v: Column, spec: dict, path: Column) -> tuple[Column, Column]:
-    """The variant ``v`` as ``spec`` declares it, and its warnings, each with the path of what it is about.
+def nested(v: Column, spec: dict, path: Column) -> Column:
+    """The variant ``v`` as ``spec`` declares it (``clean``), and its ``warnings``, each with the path of what it is about.
 
     ``spec``: type (string, number, boolean, array, object), name, items of an array, fields of an object; nested as deep as it is. Numbers, booleans and
     dates are coerced, and a warning tells where; what is no array is wrapped; items that should be objects and aren't are left out; a field that is missing is null.
+    A value, its schema and what is made of its parts are each bound once, so the work grows with the values and not with the depth of ``spec``.
     """
+    return let(v, lambda x: let(F.schema_of_variant(x), lambda s: _nested(x, s, spec, path)))
+
+
+def _both(clean: Column, warnings: Column) -> Column:
+    return F.struct(clean.alias("clean"), warnings.alias("warnings"))
+
+
+def _nested(v: Column, s: Column, spec: dict, path: Column) -> Column:
     kind = spec.get("type", "string")
     none = F.array().cast("array<string>")
     say = lambda text: F.concat(path, F.lit(": "), text)
-    there = F.coalesce(F.schema_of_variant(v) != "VOID", F.lit(False))
+    there = F.coalesce(s != "VOID", F.lit(False))
     if kind == "object":
-        made = [(f["name"], *nested(at_path(v, (f["name"],)), f, F.concat(path, F.lit("." + f["name"])))) for f in spec["fields"]]
-        odd = F.when(there & ~is_object(v), F.array(say(F.concat(F.lit("expected object, got "), _kind(v)))))
-        clean = F.when(is_object(v), F.struct(*(c.alias(n) for n, c, _ in made)))
-        return clean, F.coalesce(odd, F.when(is_object(v), F.concat(*(w for *_, w in made))), none)
+        names = [f["name"] for f in spec["fields"]]
+        made = F.struct(*(nested(at_path(v, (f["name"],)), f, F.concat(path, F.lit("." + f["name"]))).alias(f"f{k}") for k, f in enumerate(spec["fields"])))
+        fits = let(made, lambda m: _both(F.struct(*(m[f"f{k}"]["clean"].alias(n) for k, n in enumerate(names))), F.concat(*(m[f"f{k}"]["warnings"] for k in range(len(names))))))
+        odd = F.when(there, F.array(say(F.concat(F.lit("expected object, got "), _kind(s)))))
+        return let(F.when(s.startswith("OBJECT<"), fits), lambda m: _both(m["clean"], F.coalesce(m["warnings"], odd, none)))
     if kind == "array":
         items = spec.get("items", {})
+        is_array = s.startswith("ARRAY<")
         whole = F.when(there, F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v)))
-        each = F.transform(whole, lambda x, i: F.struct(*(c.alias(n) for c, n in zip(nested(x, items, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))), ("clean", "warnings"), strict=True)), is_object(x).alias("fits")))
-        kept = F.filter(each, lambda e: e["fits"]) if items.get("type") == "object" else each
-        odd = F.when(there & (_kind(v) != "array"), F.array(say(F.concat(F.lit("expected array, got "), _kind(v)))))
-        return F.transform(kept, lambda e: e["clean"]), F.concat(F.coalesce(odd, none), F.coalesce(F.flatten(F.transform(each, lambda e: e["warnings"])), none))
-    text = _text(v)
-    value, changed = coerced(text, spec.get("name", ""), kind)
-    told = changed if kind == "string" else changed & (_kind(v) != kind)
-    return value, F.when(there & F.coalesce(told, F.lit(False)), F.array(say(F.concat(F.lit("read "), F.lit(kind), F.lit(" from "), text)))).otherwise(none)
+        wanted = F.lit(items.get("type") != "object")
+        each = F.transform(whole, lambda x, i: F.struct(nested(x, items, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))).alias("made"), (wanted | is_object(x)).alias("fits")))
+        odd = F.when(there & ~is_array, F.array(say(F.concat(F.lit("expected array, got "), _kind(s)))))
+        return let(each, lambda xs: _both(F.transform(F.filter(xs, lambda e: e["fits"]), lambda e: e["made"]["clean"]), F.concat(F.coalesce(odd, none), F.coalesce(F.flatten(F.transform(xs, lambda e: e["made"]["warnings"])), none))))
+
+    def told(text: Column) -> Column:
+        return let(coerced_once(text, spec.get("name", ""), kind), lambda c: marked(text, c["value"], c["changed"]))
+
+    def marked(text: Column, value: Column, changed: Column) -> Column:
+        odd = changed if kind == "string" else changed & (_kind(s) != kind)
+        return _both(value, F.when(there & F.coalesce(odd, F.lit(False)), F.array(say(F.concat(F.lit("read "), F.lit(kind), F.lit(" from "), text)))).otherwise(none))
+
+    return let(_text(v, there), told)
 
 
 def validated_nested(rows: DataFrame, column: str, spec: dict, keep: list[str]) -> DataFrame:
     """``keep``, ``clean`` and ``warnings`` of the JSON in ``column`` against ``spec``; what is no JSON is a warning of its own."""
     v = rows.select(*keep, column, F.try_parse_json(column).alias("_v"))
-    clean, warnings = nested(F.col("_v"), spec, F.lit(spec.get("name", "$")))
-    bad = F.when(F.col(column).isNotNull() & F.col("_v").isNull(), F.array(F.lit("not JSON"))).otherwise(F.array().cast("array<string>"))
-    return v.select(*keep, clean.alias("clean"), F.concat(bad, warnings).alias("warnings"))
+    made = v.select(*keep, column, F.col("_v").isNull().alias("_none"), nested(F.col("_v"), spec, F.lit(spec.get("name", "$"))).alias("_made"))
+    bad = F.when(F.col(column).isNotNull() & F.col("_none"), F.array(F.lit("not JSON"))).otherwise(F.array().cast("array<string>"))
+    return made.select(*keep, F.col("_made.clean").alias("clean"), F.concat(bad, "_made.warnings").alias("warnings"))

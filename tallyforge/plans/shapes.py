@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators.schema_rules import field_codes, repaired, rule_codes, unique_names
 from tallyforge.operators.variants import json_normalize, validated_nested
-from tallyforge.plans.registry import query, read
+from tallyforge.plans.registry import query, read, spread
 
 #: Payloads with keys that differ by row, nested, of several types, and some that are no JSON; expressions that Spark and DuckDB read alike.
 _PROPS = """CASE WHEN event_id % 6 = 0 THEN props WHEN event_id % 6 = 1 THEN concat('{"k":', CAST(user_id AS VARCHAR(20)), ',"more":{"user":', CAST(user_id AS VARCHAR(20)), ',"tags":[1,', CAST(event_id AS VARCHAR(20)), ']}}')
@@ -28,6 +28,10 @@ _FORM = {"name": "form", "type": "object", "fields": [
 _JSON = """concat('{"so":"', CAST(o_orderkey AS VARCHAR(20)), ' vụ","duyet":', CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE '"không"' END, ',"ngay_lap":"7h30","vu":', CASE WHEN o_orderkey % 3 = 0 THEN '{"noi":"A","muc":[{"n":1},5]}' WHEN o_orderkey % 3 = 1 THEN concat('[{"noi":"', o_orderpriority, '"},"x",{"muc":{"n":"', CAST(o_custkey AS VARCHAR(20)), ' kg"}}]') ELSE '[]' END, '}')"""
 
 
+def forms(spark, sf_dir):
+    return spread(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), "o_orderkey").select("o_orderkey", F.expr(_JSON).alias("j"))
+
+
 @query(
     "SELECT o_orderkey, o_orderkey::DOUBLE AS so, o_orderkey % 2 = 0 AS duyet, '07:30' AS ngay_lap, CAST([1, 2, 0][o_orderkey % 3 + 1] AS INTEGER) AS vu, CASE WHEN o_orderkey % 3 = 1 THEN o_custkey::DOUBLE WHEN o_orderkey % 3 = 0 THEN 1.0 END AS n,"
     " 'form.so: read number from ' || o_orderkey || ' vụ' || CASE WHEN o_orderkey % 2 = 1 THEN '|form.duyet: read boolean from không' ELSE '' END || '|form.ngay_lap: read string from 7h30'"
@@ -35,7 +39,7 @@ _JSON = """concat('{"so":"', CAST(o_orderkey AS VARCHAR(20)), ' vụ","duyet":',
 )
 def validated_nested_forms(spark, sf_dir):
     """Objects in arrays in objects in arrays, each value coerced and told by its path."""
-    rows = validated_nested(read(spark, sf_dir, "orders").select("o_orderkey", F.expr(_JSON).alias("j")), "j", _FORM, ["o_orderkey"])
+    rows = validated_nested(forms(spark, sf_dir), "j", _FORM, ["o_orderkey"])
     last = F.element_at(F.flatten(F.transform(F.filter("clean.vu", lambda x: x["muc"].isNotNull()), lambda x: x["muc"])), -1)
     found = F.when(F.size("clean.vu") > 0, last["n"])
     return rows.select("o_orderkey", F.col("clean.so").cast("double").alias("so"), "clean.duyet", "clean.ngay_lap", F.size("clean.vu").alias("vu"), found.cast("double").alias("n"), F.array_join("warnings", "|").alias("warnings"))

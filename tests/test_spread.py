@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import narrative as N
-from tallyforge.plans import assembly
+from tallyforge.operators.variants import nested
+from tallyforge.plans import assembly, shapes
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,3 +27,13 @@ def test_parts_from_shared_forms(spark, text):
     assert all(row[:4])
     assert row.day == {"T": "05/06/1995", "n": "05/06/1995"}.get((text or " ")[0], "")
     assert row.security == (None if text is None else "")
+
+
+def test_forms_are_dealt_and_bound_once(spark):
+    assert tasks(shapes.forms(spark, SF)) > 1
+    spec = {"name": "a", "type": "number"}
+    for _ in range(8):
+        spec = {"name": "a", "type": "object", "fields": [spec]}
+    # a value that was not bound stood in its warnings some 3 times a level
+    plan = spark.sql("select '1' as j").select(nested(F.try_parse_json("j"), spec, F.lit("a")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("try_variant_get") <= 40
