@@ -2,7 +2,7 @@
 
 A pattern that matches a name, and a field that a page contains, have runs of characters in
 common with it. Of each pattern's or field's runs of three characters (of a shorter one all of it) the one that the fewest
-others have is its key; names and pages are spread to their runs of one to three characters, a hash
+others have is its key; names and pages are spread to their runs of one to three characters (where the index has few keys, to these alone), a hash
 join brings candidates together, and only these are verified. So no name meets every pattern and no page every field,
 however many templates there are. Patterns that need no character at all (``\\d+``) are packed into blocks that names meet by
 the number of the block.
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 parser = re._parser  # the parsed form of a pattern, which the standard library has no other name for
 
-#: Characters of a key at most; candidates of a page that are verified together; patterns of a block.
-GRAM, TOGETHER, BLOCK = 3, 1000, 256
+#: Characters of a key at most; candidates of a page that are verified together; patterns of a block; keys of an index that tasks may know beforehand; rows of a batch of runs.
+GRAM, TOGETHER, BLOCK, FEW, OUT = 3, 1000, 256, 10_000, 20_000
 #: Share of a template's fields that a first page must name, and characters it must have more than.
 COVERAGE, LEAST = 0.7, 20
 #: Other characters that match an ASCII letter if case doesn't count.
@@ -74,6 +74,14 @@ def keys_of(run: str) -> list[str]:
     return [run[k : k + GRAM] for k in range(max(1, len(run) - GRAM + 1))]
 
 
+def _runs(s: str, wanted: frozenset[str] | None) -> list[str]:
+    """The distinct runs of one to three characters of ``s``, or those of them that are wanted."""
+    if wanted is not None and len(wanted) <= GRAM * len(s):
+        return [g for g in wanted if g in s]
+    runs = {s[k : k + n] for n in range(1, GRAM + 1) for k in range(len(s) - n + 1)}
+    return list(runs if wanted is None else runs & wanted)
+
+
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the keys a pattern could have, and why it doesn't compile, to (tenant, template, place, pattern)."""
     for batch in batches:
@@ -101,18 +109,28 @@ def bad_patterns(templates: DataFrame) -> DataFrame:
     return _parsed(templates).where("error is not null").select("tenant", "template", "pattern", "error")
 
 
-def spread(rows: DataFrame, text: str) -> DataFrame:
-    """``rows`` without the column ``text``, once for each distinct run of one to three characters of it, in ``gram``."""
+def few_grams(indexed: DataFrame) -> frozenset[str] | None:
+    """The keys of an index if they are at most ``FEW``, which tasks may know beforehand; else none."""
+    rows = indexed.select("gram").distinct().limit(FEW + 1).collect()
+    return frozenset(r.gram for r in rows) if len(rows) <= FEW else None
+
+
+def spread(rows: DataFrame, text: str, wanted: frozenset[str] | None = None) -> DataFrame:
+    """``rows`` without the column ``text``, once for each distinct run of one to three characters of it, in ``gram``; with ``wanted``, for each of these alone."""
     kept = [c for c in rows.columns if c != text]
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows_at: list[int] = []
+            grams: list[str] = []
             for i, s in enumerate(batch.column(len(kept)).to_pylist()):
-                s = s or ""
-                found = sorted({s[k : k + n] for n in range(1, GRAM + 1) for k in range(len(s) - n + 1)})
-                at = pa.array([i] * len(found), pa.int64())
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(kept))), pa.array(found, pa.string())], names=[*kept, "gram"])
+                found = _runs(s or "", wanted)
+                rows_at.extend([i] * len(found)), grams.extend(found)
+                if len(grams) >= OUT or i == batch.num_rows - 1:
+                    at = pa.array(rows_at, pa.int64())
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(kept))), pa.array(grams, pa.string())], names=[*kept, "gram"])
+                    rows_at, grams = [], []
 
     return rows.select(*kept, text).mapInArrow(run, f"{schema}, gram string")
 
@@ -130,7 +148,7 @@ def by_name(names: DataFrame, templates: DataFrame) -> DataFrame:
     item = ["template", "place", "pattern"]
     indexed = _keyed(parsed.where(F.size("grams") > 0), item)
     fold = F.lower(F.translate("name", "".join(map(chr, _FOLD)), "".join(_FOLD.values())))
-    met = spread(names.withColumn("text", fold), "text").join(indexed.hint("merge"), ["tenant", "gram"]).select("tenant", "name", F.array(F.struct(*item)).alias("items"))
+    met = spread(names.withColumn("text", fold), "text", few_grams(indexed)).join(indexed.hint("merge"), ["tenant", "gram"]).select("tenant", "name", F.array(F.struct(*item)).alias("items"))
     # patterns that any name could have: blocks of a tenant's, which its names meet
     free = parsed.where(F.size("grams") == 0)
     blocks = free.groupBy("tenant").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -167,7 +185,7 @@ def coverage(pages: DataFrame, key: str, templates: DataFrame) -> DataFrame:
 
     tenant = templates.schema["tenant"].dataType.simpleString()
     indexed = _keyed(listed.select("tenant", "field").distinct().mapInArrow(grams, f"tenant {tenant}, field string, grams array<string>"), ["field"])
-    met = spread(pages.select("tenant", key, F.lower("page").alias("page")), "page").join(indexed.hint("merge"), ["tenant", "gram"]).select("tenant", key, "field")
+    met = spread(pages.select("tenant", key, F.lower("page").alias("page")), "page", few_grams(indexed)).join(indexed.hint("merge"), ["tenant", "gram"]).select("tenant", key, "field")
     # a page's candidates come to its text some at a time
     many = met.groupBy("tenant", key).agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
     some = met.join(many.hint("merge"), ["tenant", key]).groupBy("tenant", key, F.expr("pmod(xxhash64(field), parts)").alias("part")).agg(F.collect_list("field").alias("fields"))

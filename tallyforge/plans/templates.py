@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import infer as I
 from tallyforge.operators.matching import detected
-from tallyforge.plans.registry import query, read
+from tallyforge.plans.registry import query, read, spread
 
 #: A line of a template, by a part's size; expressions that Spark and DuckDB read alike.
 _NAME = "concat(CASE WHEN p_size % 6 = 0 THEN 'tong_' WHEN p_size % 6 = 1 THEN 'ngay_' WHEN p_size % 6 = 2 THEN 'danh_sach_' WHEN p_size % 6 = 3 THEN 'is_' ELSE 'Ghi-' END, replace(p_type, ' ', '_'))"
@@ -82,5 +82,5 @@ def template_detection(spark, sf_dir):
     k = F.col("r_regionkey")
     fields = F.when(k == 0, F.array(F.lit("ring"), F.lit("nation"))).when(k == 2, F.array(*map(F.lit, ("economy", "nation", "bolt")))).when(k == 4, F.array(F.lit("promo"), F.lit("standard"))).otherwise(F.array(F.lit("region"), F.lit("none")))
     templates = read(spark, sf_dir, "region").select(F.col("r_name").alias("template"), k.alias("place"), F.when(k == 1, "widget.*7").when(k == 3, "^red").when(k == 2, "[bad").alias("pattern"), fields.alias("fields"), F.explode(F.array(F.lit(0), F.lit(1))).alias("tenant"))
-    files = read(spark, sf_dir, "part").select((F.col("p_size") % 2).alias("tenant"), "p_partkey", F.concat("p_name", F.lit("_"), F.col("p_size").cast("string"), F.lit(".pdf")).alias("name"), F.expr(_PAGE).alias("page"))
+    files = spread(read(spark, sf_dir, "part"), "p_partkey").select((F.col("p_size") % 2).alias("tenant"), "p_partkey", F.concat("p_name", F.lit("_"), F.col("p_size").cast("string"), F.lit(".pdf")).alias("name"), F.expr(_PAGE).alias("page"))
     return detected(files, templates, "p_partkey").drop("tenant")

@@ -81,3 +81,20 @@ def test_no_templates_no_files(spark):
     files, templates = spark.createDataFrame([(1, 1, "a", "b" * 30)], FILES), spark.createDataFrame([], TEMPLATES)
     assert [tuple(r) for r in M.detected(files, templates, "k").collect()] == [(1, 1, None, None)]
     assert M.detected(files.limit(0), templates, "k").count() == 0
+
+
+@pytest.mark.parametrize("wanted", [None, frozenset(), frozenset({"abc", "z", "b"}), frozenset(f"k{i}" for i in range(100)) | {"bc", "a"}])
+def test_runs_that_are_wanted(wanted):
+    for s in ("", "a", "abcab", "zz"):
+        runs = {s[k : k + n] for n in (1, 2, 3) for k in range(len(s) - n + 1)}
+        assert sorted(M._runs(s, wanted)) == sorted(runs if wanted is None else runs & wanted)
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_only_keys_of_a_small_index_are_spread(spark, monkeypatch, few):
+    monkeypatch.setattr(M, "FEW", few)
+    index = spark.createDataFrame([("abc",), ("bca",), ("abc",)], "gram string")
+    wanted = M.few_grams(index)
+    rows = M.spread(spark.createDataFrame([(1, "xabcx"), (2, None), (3, "q" * 30)], "k int, t string"), "t", wanted).collect()
+    assert (wanted is None) == (few == 0)
+    assert sorted(map(tuple, rows)) == [(1, "abc")] if few else len(rows) > 10
