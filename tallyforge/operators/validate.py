@@ -70,36 +70,51 @@ ROOTS = {"tong_so_vu_chay": "2", "tong_so_vu_no": "8", "tong_so_vu_cnch": "14"}
 
 def stat_values(stats: Column) -> Column:
     """A stat table as a map of its codes; the last row of a code counts. Make it a column of its own: many checks read it."""
-    named = F.transform(stats, lambda r: F.struct(stripped(F.coalesce(r["stt"], F.lit(""))).alias("k"), F.coalesce(r["ket_qua"].cast("bigint"), F.lit(0)).alias("v")))
-    rows = F.filter(F.coalesce(named, F.array().cast("array<struct<k:string,v:bigint>>")), lambda r: r["k"] != "")
-    keys = F.array_distinct(F.transform(rows, lambda r: r["k"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(rows, lambda r: r["k"] == k), -1)["v"]))
+    named = F.transform(stats, lambda r, i: F.struct(stripped(F.coalesce(r["stt"], F.lit(""))).alias("k"), i.alias("i"), F.coalesce(r["ket_qua"].cast("bigint"), F.lit(0)).alias("v")))
+    rows = F.filter(F.coalesce(named, F.array().cast("array<struct<k:string,i:int,v:bigint>>")), lambda r: r["k"] != "")
+    last = lambda xs: F.filter(xs, lambda r, j: (j == F.size(xs) - 1) | (F.get(xs, j + 1)["k"] != r["k"]))
+    return F.map_from_entries(F.transform(let(F.array_sort(rows), last), lambda r: F.struct(r["k"], r["v"])))
+
+
+#: Counts of documents by kind.
+COUNTED = ("tong_cong_van", "tong_bao_cao", "tong_ke_hoach")
 
 
 def _first_date(x: Column) -> Column:
     return F.try_to_date(F.regexp_extract(F.coalesce(x, F.lit("")), r"(\d{1,2}/\d{1,2}/\d{4})", 1), "d/M/yyyy")
 
 
+def _same(word: str):
+    return lambda x: x == word
+
+
 def invariant_codes(header: Column, told: Column, values: Column, incidents: Column, documents: Column, vehicles: Column) -> Column:
     """V5: required codes, sums, roots, counts of lists, dates within the period, repeated incidents, text hygiene. ``values``: see ``stat_values``."""
+    size = lambda xs: F.greatest(F.coalesce(F.size(xs), F.lit(0)), F.lit(0))
+    code = F.transform(documents, lambda d: F.upper(F.regexp_replace(F.coalesce(d["so_ky_hieu"], F.lit("")), r"\s+", "")))
+    # what is read more than once is bound once: an expression in a lambda is worked out for each element
+    kinds = F.transform(code, lambda c: F.when(c.rlike("(^|/)BC(?:[-/]|$)"), "tong_bao_cao").when(c.rlike("(^|/)KH(?:[-/]|$)"), "tong_ke_hoach").when(c != "", "tong_cong_van"))
+    spans = let(dates.dates_in(F.coalesce(header["thoi_gian_tu_den"], F.lit(""))), lambda d: F.when(F.size(d) >= 2, F.struct(F.array_min(d).alias("start"), F.array_max(d).alias("end"))))
+    sized = let(kinds, lambda ks: F.struct(*(size(F.filter(ks, _same(f))).alias(f) for f in COUNTED)))
+    return let(F.struct(spans.alias("span"), sized.alias("sized")), lambda b: _invariant_codes(header, told, values, incidents, vehicles, b["span"], b["sized"]))
+
+
+def _invariant_codes(header: Column, told: Column, values: Column, incidents: Column, vehicles: Column, span: Column, sized: Column) -> Column:
     v = lambda k: F.coalesce(F.try_element_at(values, F.lit(k)), F.lit(0))
     n = lambda f: F.coalesce(told[f].cast("bigint"), F.lit(0))
     size = lambda xs: F.greatest(F.coalesce(F.size(xs), F.lit(0)), F.lit(0))
-    code = F.transform(documents, lambda d: F.upper(F.regexp_replace(F.coalesce(d["so_ky_hieu"], F.lit("")), r"\s+", "")))
-    kind = F.transform(code, lambda c: F.when(c.rlike("(^|/)BC(?:[-/]|$)"), "tong_bao_cao").when(c.rlike("(^|/)KH(?:[-/]|$)"), "tong_ke_hoach").when(c != "", "tong_cong_van"))
-    held = lambda k: size(F.filter(kind, lambda x: x == k))
-    span = dates.dates_in(F.coalesce(header["thoi_gian_tu_den"], F.lit("")))
-    start, end = F.when(F.size(span) >= 2, F.array_min(span)), F.when(F.size(span) >= 2, F.array_max(span))
-    outside = lambda d: (d < start) | (d > end)
+    outside = lambda d: let(d, lambda x: (x < span["start"]) | (x > span["end"]))
     places = lambda found, name: F.transform(F.filter(F.transform(incidents, lambda x, i: F.when(found(x, i), i + 1)), lambda i: i.isNotNull()), name)
     late = places(lambda x, i: outside(_first_date(x["ngay_xay_ra"])), lambda i: F.concat(F.lit("date_mismatch:danh_sach_cnch["), i.cast("string"), F.lit("].ngay_xay_ra_outside_period")))
     part = lambda x, f: stripped(F.coalesce(x[f], F.lit("")))
-    sig = F.transform(incidents, lambda x: F.concat_ws("\u0001", *(part(x, f) for f in ("thoi_gian", "ngay_xay_ra", "dia_diem", "noi_dung_tin_bao"))))
-    again = F.transform(F.filter(F.transform(sig, lambda s, i: F.when((F.array_position(sig, s) <= i) & (F.translate(s, "\u0001", "") != ""), i + 1)), lambda i: i.isNotNull()), lambda i: F.concat(F.lit("duplicate_incident_signature:"), i.cast("string")))
+    sig = F.transform(incidents, lambda x, i: F.struct(F.concat_ws("\u0001", *(part(x, f) for f in ("thoi_gian", "ngay_xay_ra", "dia_diem", "noi_dung_tin_bao"))).alias("s"), (i + 1).alias("i")))
+    # in order of signature and place a repeated one stands behind its like
+    like = lambda xs: F.filter(xs, lambda x, j: (j > 0) & (F.get(xs, j - 1)["s"] == x["s"]) & (F.translate(x["s"], "\u0001", "") != ""))
+    again = F.transform(F.array_sort(F.transform(let(F.array_sort(sig), like), lambda x: x["i"])), lambda i: F.concat(F.lit("duplicate_incident_signature:"), i.cast("string")))
     fixed = codes(
         *(F.when(~F.coalesce(F.map_contains_key(values, F.lit(k)), F.lit(False)), f"missing_stt:{k}") for k in REQUIRED), *(F.when(v(t) != reduce(lambda a, b: a + b, map(v, parts)), name) for name, (t, parts) in FORMULAS.items()),
         *(F.when(n(f) != v(k), f"root_mismatch:{f}!=stt{k}") for f, k in ROOTS.items()), F.when(n("tong_xe_hu_hong") != size(vehicles), "count_mismatch:tong_xe_hu_hong!=len(danh_sach_phuong_tien_hu_hong)"),
-        *(F.when(n(f) != held(f), f"count_mismatch:{f}") for f in ("tong_cong_van", "tong_bao_cao", "tong_ke_hoach")), F.when(outside(_first_date(header["ngay_bao_cao"])), "date_mismatch:ngay_bao_cao_outside_period"),
+        *(F.when(n(f) != sized[f], f"count_mismatch:{f}") for f in COUNTED), F.when(outside(_first_date(header["ngay_bao_cao"])), "date_mismatch:ngay_bao_cao_outside_period"),
         F.when(stripped(F.coalesce(told["cong_tac_an_ninh"], F.lit(""))).rlike(r"(?i)^(?:P?CCC)\s*:\s*"), "text_hygiene:cong_tac_an_ninh_has_prefix"),
     )
     return F.concat(fixed, F.coalesce(late, F.array()), F.coalesce(again, F.array()))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import narrative as N
+from tallyforge.operators import validate
 from tallyforge.operators.variants import nested
 from tallyforge.plans import assembly, shapes
 
@@ -37,3 +38,19 @@ def test_forms_are_dealt_and_bound_once(spark):
     # a value that was not bound stood in its warnings some 3 times a level
     plan = spark.sql("select '1' as j").select(nested(F.try_parse_json("j"), spec, F.lit("a")).alias("x"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("try_variant_get") <= 40
+
+
+def test_invariants_read_period_once_and_repeats_in_order(spark):
+    kinds = "h struct<thoi_gian_tu_den:string,ngay_bao_cao:string>, t struct<tong_so_vu_chay:long,tong_so_vu_no:long,tong_so_vu_cnch:long,tong_xe_hu_hong:long,tong_cong_van:long,tong_bao_cao:long,tong_ke_hoach:long,cong_tac_an_ninh:string>, s array<struct<stt:string,ket_qua:long>>, i array<struct<thoi_gian:string,ngay_xay_ra:string,dia_diem:string,noi_dung_tin_bao:string>>, d array<struct<so_ky_hieu:string>>, x array<string>"
+    case = lambda *xs: [(None, day, place, None) for day, place in xs]
+    rows = [
+        (("1/6/1995 30/6/1995", "5/6/1995"), (0, 0, 0, 0, 0, 1, 0, ""), [("31", 4), (" 2 ", 1), ("31", 9), ("", 5), ("2", 0)], case(("1/7/1995", "b"), ("2/6/1995", "a"), ("1/7/1995", "b"), (None, " "), (None, ""), ("1/7/1995", "b"), ("2/6/1995", "a")), [("1/BC",), (" ",)], None),
+        (None, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, kinds).withColumn("values", validate.stat_values(F.col("s")))
+    out = df.select("values", validate.invariant_codes(*map(F.col, ("h", "t", "values", "i", "d", "x"))).alias("codes"))
+    assert out._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 1
+    got, none = out.collect()
+    assert got["values"] == {"31": 9, "2": 0} and none["values"] == {}
+    assert [c for c in got["codes"] if not c.startswith(("missing", "formula"))] == [f"date_mismatch:danh_sach_cnch[{k}].ngay_xay_ra_outside_period" for k in (1, 3, 6)] + [f"duplicate_incident_signature:{k}" for k in (3, 6, 7)]
+    assert all(c.startswith("missing_stt:") for c in none["codes"])
