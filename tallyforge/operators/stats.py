@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions.dates import dates_in
 from tallyforge.functions.narrative import result_text
 from tallyforge.functions.numbers import int_or_zero, stripped
+from tallyforge.functions.text import let
 from tallyforge.operators.rules import EQUATIONS, derive_additive
 
 #: The named field of each stat code.
@@ -39,10 +40,19 @@ def code_of(stt: Column) -> Column:
 
 
 def named_stats(rows: DataFrame, keys: list[str], order: Column, fields: dict[int, str] = STAT_FIELDS) -> DataFrame:
-    """(stt, ket_qua) rows to named columns, one grouped pass for all codes. The first row of a code counts, by ``order``; no value is 0; a code that doesn't occur is null."""
-    coded = rows.select(*keys, code_of(F.col("stt")).alias("_code"), F.coalesce("ket_qua", F.lit(0)).alias("_value"), order.alias("_order"))
-    one = lambda c: F.min_by(F.when(F.col("_code") == c, F.col("_value")), F.when(F.col("_code") == c, F.col("_order")))
-    return coded.groupBy(*keys).agg(*(one(c).alias(name) for c, name in fields.items()))
+    """(stt, ket_qua) rows to named columns. The first row of a code counts, by ``order``; no value is 0; a code that doesn't occur is null.
+
+    The first row of each code is found by code, then a report's codes (one value each) become its columns: a buffer of all columns for each
+    report that a task reads would grow with columns and rows.
+    """
+    code = code_of(F.col("stt"))
+    coded = rows.select(*keys, code.alias("_all"), F.coalesce("ket_qua", F.lit(0)).alias("_value"), order.alias("_order"))
+    coded = coded.withColumn("_code", F.when(F.col("_all").isin(list(fields)), F.col("_all")))
+    first = coded.groupBy(*keys, "_code").agg(F.min_by("_value", "_order").alias("_value"))
+    held = first.groupBy(*keys).agg(F.collect_list(F.when(F.col("_code").isNotNull(), F.struct("_code", "_value"))).alias("_held"))
+    # in a lambda, since as many look-ups in generated code are a method too long for the JVM to compile
+    found = held.select(*keys, let(F.map_from_entries("_held"), lambda m: F.struct(*(F.try_element_at(m, F.lit(c)).alias(name) for c, name in fields.items()))).alias("_found"))
+    return found.select(*keys, "_found.*")
 
 
 def derived(named: DataFrame, fields: dict[int, str] = STAT_FIELDS) -> DataFrame:

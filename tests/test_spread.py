@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import narrative as N
-from tallyforge.operators import validate
+from tallyforge.operators import stats, validate
 from tallyforge.operators.variants import nested
 from tallyforge.plans import assembly, shapes
 
@@ -54,3 +54,11 @@ def test_invariants_read_period_once_and_repeats_in_order(spark):
     assert got["values"] == {"31": 9, "2": 0} and none["values"] == {}
     assert [c for c in got["codes"] if not c.startswith(("missing", "formula"))] == [f"date_mismatch:danh_sach_cnch[{k}].ngay_xay_ra_outside_period" for k in (1, 3, 6)] + [f"duplicate_incident_signature:{k}" for k in (3, 6, 7)]
     assert all(c.startswith("missing_stt:") for c in none["codes"])
+
+
+def test_named_stats_hold_one_code_at_a_time(spark):
+    rows = spark.createDataFrame([(1, 2, " 14 ", 5), (1, 1, "14", None), (1, 3, "x", 7), (2, 1, "99", 1), (2, 2, None, 1), (None, 5, "8", 3), (3, None, "8", 4)], "job int, place long, stt string, ket_qua long")
+    named = stats.named_stats(rows, ["job"], F.col("place"))
+    assert named._jdf.queryExecution().optimizedPlan().toString().count("min_by") == 1
+    got = {r.job: {c: v for c, v in r.asDict().items() if c != "job" and v is not None} for r in named.collect()}
+    assert got == {1: {"stt_14_tong_cnch": 0}, 2: {}, None: {"stt_08_tong_no": 3}, 3: {}}
