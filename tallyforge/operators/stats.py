@@ -72,14 +72,18 @@ def synced(rows: DataFrame, named: DataFrame, key: str, place: str, fields: dict
 
     The result has ``place`` anew: where something was added, by code (what is no number comes last), else as it was.
     """
-    pairs = F.filter(F.array(*(F.struct(F.lit(c).alias("code"), F.col(n).cast("long").alias("ket_qua")) for c, n in fields.items())), lambda x: x["ket_qua"].isNotNull())
-    flat = named.select(key, F.explode(pairs).alias("x")).select(key, F.col("x.code").alias("code"), "x.ket_qua")
-    held = rows.select(key, stripped(F.col("stt")).alias("stt")).distinct()
-    added = flat.withColumn("stt", F.col("code").cast("string")).join(held, [key, "stt"], "left_anti")
-    both = rows.select(key, F.col(place).alias("_at"), "stt", F.col("ket_qua").cast("long").alias("ket_qua"), "noi_dung", F.lit(False).alias("_new"))
-    both = both.unionByName(added.select(key, F.lit(None).cast("long").alias("_at"), "stt", "ket_qua", label_of(F.col("code")).alias("noi_dung"), F.lit(True).alias("_new")))
+    item = lambda n, late, at, stt, ket_qua, noi_dung: F.struct(n.alias("n"), late.alias("late"), at.alias("at"), stt.alias("stt"), ket_qua.alias("ket_qua"), noi_dung.alias("noi_dung"))
     number = F.when(stripped(F.col("stt")).rlike(r"^\d+$"), code_of(F.col("stt"))).otherwise(9999)
-    listed = both.groupBy(key).agg(F.bool_or("_new").alias("_any"), F.collect_list(F.struct(number.alias("n"), F.col("_new").alias("late"), F.col("_at").alias("at"), "stt", "ket_qua", "noi_dung")).alias("_rows"))
+    old = item(number, F.lit(False), F.col(place).cast("long"), F.col("stt"), F.col("ket_qua").cast("long"), F.col("noi_dung"))
+    pairs = F.filter(F.array(*(F.struct(F.lit(c).alias("code"), F.col(n).cast("long").alias("ket_qua")) for c, n in fields.items())), lambda x: x["ket_qua"].isNotNull())
+    # a report's rows and what its named columns offer meet in one shuffle
+    both = rows.select(key, old.alias("_old"), F.lit(None).cast("array<struct<code:int,ket_qua:bigint>>").alias("_pairs"))
+    both = both.unionByName(named.select(key, F.lit(None).cast("struct<n:int,late:boolean,at:bigint,stt:string,ket_qua:bigint,noi_dung:string>").alias("_old"), pairs.alias("_pairs")))
+    met = both.groupBy(key).agg(F.collect_list("_old").alias("_old"), F.flatten(F.collect_list("_pairs")).alias("_pairs"))
+    held = met.select(key, "_old", "_pairs", F.array_compact(F.transform("_old", lambda x: stripped(x["stt"]))).alias("_held"))
+    lacked = F.filter("_pairs", lambda x: ~F.array_contains("_held", x["code"].cast("string")))
+    new = F.transform(lacked, lambda x: item(x["code"], F.lit(True), F.lit(None).cast("long"), x["code"].cast("string"), x["ket_qua"], label_of(x["code"])))
+    listed = held.select(key, "_old", new.alias("_new")).select(key, (F.size("_new") > 0).alias("_any"), F.concat("_old", "_new").alias("_rows"))
     by_code = F.array_sort("_rows")
     as_was = F.array_sort(F.transform("_rows", lambda x: F.struct(x["at"].alias("at"), x["stt"].alias("stt"), x["ket_qua"].alias("ket_qua"), x["noi_dung"].alias("noi_dung"))))
     short = lambda xs: F.transform(xs, lambda x: F.struct(x["stt"].alias("stt"), x["ket_qua"].alias("ket_qua"), x["noi_dung"].alias("noi_dung")))

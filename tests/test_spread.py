@@ -62,3 +62,13 @@ def test_named_stats_hold_one_code_at_a_time(spark):
     assert named._jdf.queryExecution().optimizedPlan().toString().count("min_by") == 1
     got = {r.job: {c: v for c, v in r.asDict().items() if c != "job" and v is not None} for r in named.collect()}
     assert got == {1: {"stt_14_tong_cnch": 0}, 2: {}, None: {"stt_08_tong_no": 3}, 3: {}}
+
+
+def test_synced_rows_meet_in_one_shuffle(spark):
+    rows = spark.createDataFrame([(1, 5, " 17", 2, "a"), (1, 1, "16", 3, "b"), (None, 3, None, 1, "c")], "job int, place long, stt string, ket_qua long, noi_dung string")
+    named = spark.createDataFrame([(1, 5, 3, 9), (None, None, 4, None), (7, 1, None, None)], "job int, stt_15_cnch_cuu_nguoi int, stt_16_cnch_truc_tiep int, stt_17_cnch_tu_thoat int")
+    out = stats.synced(rows, named, "job", "place", {c: stats.STAT_FIELDS[c] for c in (15, 16, 17)})
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted(map(tuple, out.collect()), key=repr)
+    label = stats.STAT_LABELS[15]
+    assert got == sorted([(1, 0, "15", 5, label), (1, 1, "16", 3, "b"), (1, 2, " 17", 2, "a"), (None, 0, "16", 4, "STT 16"), (None, 1, None, 1, "c"), (7, 0, "15", 1, label)], key=repr)
