@@ -6,6 +6,7 @@ from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from tallyforge.operators.lifecycle import TRANSITIONS
 from tallyforge.streaming import jobs
@@ -154,3 +155,32 @@ def test_state_holds_what_is_open(spark, tmp_path):
     q.awaitTermination()
     held = [sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in q.recentProgress]
     assert max(held) <= 120 and held[-1] <= 20
+
+
+def test_events_of_a_key_wait_in_blocks(spark, tmp_path):
+    """A trigger's events of a key are one value of state, of a key with very many some; whatever the block, the rows are the same."""
+    rows = log(900, keys=3) + [(7, START + timedelta(minutes=k % 500), 10_000 + k, ("processing", "failed", "pending")[k % 3]) for k in range(9000)]
+    rows += [(None, START, 30_000, "processing"), (None, START, 30_001, "approved")]
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(str(tmp_path / "in"))
+    events, run = stream(spark, tmp_path / "in", 64), str(tmp_path / "run")
+    jobs.replay(events, "job", Machine(), "10 days", run, ended=False)
+    held = spark.read.format("statestore").option("path", f"{run}/log").option("stateVarName", "events").load()
+    values = {r.job: r.n for r in held.groupBy("key.job").agg(F.count("*").alias("n")).collect()}
+    assert set(values) == {0, 1, 2, 7, None}
+    assert values[7] == 3
+    assert max(n for job, n in values.items() if job != 7) == 1
+    told = jobs.replay(events, "job", Machine(), "10 days", run).collect()
+    order = lambda r: (r[0] is None, r[0] or 0, r[1])
+    got = sorted(((r.job, r.tie, r.from_state, r.to_state, r.valid) for r in told), key=order)
+    assert got == sorted(machine([r for r in rows if r[0] is not None]) + machine([r for r in rows if r[0] is None]), key=order)
+
+
+def test_a_deadline_comes_when_nothing_waits(spark, tmp_path):
+    """The events of a batch are told two triggers before its deadline passes."""
+    for minutes, batch in ((0, 1), (30, 2), (120, 3), (121, 3)):
+        rows = [(batch, START + timedelta(minutes=minutes), 10 * minutes + job, job, "ab"[job], ("processing", "approved")[job]) for job in range(2)]
+        write(spark, tmp_path / "in", rows, 1, schema=BATCH)
+    run = str(tmp_path / "run")
+    told = jobs.replay(stream(spark, tmp_path / "in", 1, BATCH), "batch", Closer(60), "0 seconds", run, ended=False).collect()
+    assert [(r.batch, r.template, r.jobs, r.forced, r.late) for r in sorted(told)] == [(1, "b", [1], True, False), (2, "b", [1], True, False)]
+    assert {r.batch: r.closed_at - int(START.timestamp() * 1e6) for r in told} == {1: 3_600_000_000, 2: 5_400_000_000}
